@@ -75,7 +75,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     The texts are range-partitioned by ``doc_id`` (one shuffle, no key is gathered) and
     sorted within partitions; tokens are made only after that.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     n = partitions_for(docs.sparkSession)
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     (

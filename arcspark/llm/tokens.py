@@ -1,51 +1,90 @@
 """Token ids by a public tokenizer, word by word, with a bounded cache.
 
-The vocabularies used here never join characters across ASCII white space and ignore
-it, so the ids of a text are those of its white-space-separated pieces, one after the
-other. Each distinct piece is encoded once per worker while it is in the cache.
+The vocabularies used here never join characters across ASCII white space, ignore it and
+the case of letters, and split punctuation that ends a word from the letter or digit before
+it. So the ids of a text are those of its lower-cased white-space-separated words, one after
+the other, and those of a word are those of its core and of its last punctuation. Each
+distinct core is encoded once per worker while it is in the cache.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+#: Words in each of the two generations of the cache.
+CACHE_WORDS = 500_000
 TOKENIZER = "word_bpe_49k.json"
+_PUNCTUATION = string.punctuation.encode()
+_ASCII_CORE = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _core(word: bytes) -> bytes:
+    """The word without its last ASCII punctuation, if a letter or digit comes before that."""
+    core = word.rstrip(_PUNCTUATION)
+    if not core or len(core) == len(word) or b"<|" in word:
+        return word
+    if core[-1] in _ASCII_CORE or core[-1] > 127 and core.decode("utf-8", "replace").lower()[-1].isalpha():
+        return core
+    return word
 
 
 class WordEncoder:
-    """``encode(texts)`` gives little-endian uint32 ids as bytes, one item a text."""
+    """``encode(raw)`` gives little-endian uint32 ids as bytes for UTF-8 bytes of a text."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._ids = Tokenizer.from_file(path), {}
+        self._tokenizer = Tokenizer.from_file(path)
+        self._ids: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self._ids) + len(words) > CACHE_WORDS:
-            self._ids.clear()
-        found = self._tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    def _tokenize(self, words: list[bytes]) -> None:
+        found = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         for word, encoding in zip(words, found, strict=True):
             self._ids[word] = np.array(encoding.ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
+    def _recall(self, words: set[bytes]) -> list[bytes]:
+        """Take words over from the older generation; what is in neither."""
+        older, ids, fresh = self._older, self._ids, []
+        for word in words:
+            known = older.get(word)
+            if known is not None:
+                ids[word] = known
+            elif word not in ids:
+                fresh.append(word)
+        return fresh
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the ids of these words into the cache."""
+        if len(self._ids) + 2 * len(words) > CACHE_WORDS:
+            self._ids, self._older = {}, self._ids
+        cores = [(w, _core(w)) for w in self._recall(words)]
+        self._tokenize(self._recall({x for w, c in cores for x in ((c, w[len(c) :]) if len(c) < len(w) else (w,))}))
+        for word, core in cores:
+            if len(core) < len(word):
+                self._ids[word] = self._ids[core] + self._ids[word[len(core) :]]
+
+    def encode(self, raw: bytes | None) -> bytes:
         """Ids of one whole text; null is empty. Memory: the text, its words and ids."""
-        words = (text or "").encode("utf-8", "surrogatepass").split()
+        if not raw:
+            return b""
+        words = (raw if b"<|" in raw else raw.lower()).split()  # special tokens are told by case
         out = []
         for at in range(0, len(words), 1 << 16):
             part = words[at : at + (1 << 16)]
-            try:
-                out.append(b"".join(map(self._ids.__getitem__, part)))
-            except KeyError:
-                unknown = list(set(part).difference(self._ids))
-                self._learn(unknown)
-                if any(w not in self._ids for w in part):  # the cache was emptied
-                    self._learn(list(set(part).difference(self._ids)))
-                out.append(b"".join(map(self._ids.__getitem__, part)))
+            ids = list(map(self._ids.get, part))
+            if None in ids:
+                holes = [i for i, x in enumerate(ids) if x is None]
+                self._learn({part[i] for i in holes})
+                for i in holes:
+                    ids[i] = self._ids[part[i]]
+            out.append(b"".join(ids))
         return b"".join(out)
 
 
