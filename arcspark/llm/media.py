@@ -39,8 +39,10 @@ from arcspark.plans.scratch import materialise, scratch_path
 UNIT, TAIL = 192, 16
 LEAST, MASK, MOST = 256, (1 << 10) - 1, 4096
 MAGIC = b"GCK1"
+#: Bytes of a payload's SHA-256 that joins carry, and the compression level of shuffled and stored bytes.
+KEY, LEVEL = 16, 9
 STORE = (
-    "payload binary, own array<struct<seq:int,digest:binary,shared:boolean,data:binary>>, "
+    "payload binary, sha256 binary, own array<struct<seq:int,digest:binary,shared:boolean,data:binary>>, "
     "refs array<struct<seq:int,digest:binary>>"
 )
 
@@ -94,7 +96,7 @@ def cuts(docs: DataFrame) -> DataFrame:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data, size = payload_of(text.as_py())
             digests = [hashlib.blake2b(c, digest_size=16).digest() for c in chunks_of(data)]
-            out.append((doc_id, size, hashlib.sha256(data).digest(), digests))
+            out.append((doc_id, size, hashlib.sha256(data).digest()[:KEY], digests))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
@@ -128,12 +130,12 @@ def compressed(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        packer, seen = zstandard.ZstdCompressor(level=3), set()
+        packer, seen = zstandard.ZstdCompressor(level=LEVEL), set()
         for batch in batches:
             out = []
             for text in batch.column(1):
                 data, _ = payload_of(text.as_py())
-                key = hashlib.sha256(data).digest()
+                key = hashlib.sha256(data).digest()[:KEY]
                 if key not in seen:
                     seen.add(key)
                     out.append((key, packer.compress(data)))
@@ -155,11 +157,12 @@ def write(docs: DataFrame, path: str) -> DataFrame:
     joined = once.join(planned, "payload", "left").select("payload", "packed", "owned")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        unpack, own, refs = zstandard.ZstdDecompressor(), [], []
+        unpack, sums, own, refs = zstandard.ZstdDecompressor(), [], [], []
         for packed, owned in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             mine = {x["seq"]: x["shared"] for x in owned or ()}
-            here, there = [], []
-            for seq, data in enumerate(chunks_of(unpack.decompress(packed))):
+            here, there, whole = [], [], unpack.decompress(packed)
+            sums.append(hashlib.sha256(whole).digest())
+            for seq, data in enumerate(chunks_of(whole)):
                 digest = hashlib.blake2b(data, digest_size=16).digest()
                 if seq in mine:
                     here.append({"seq": seq, "digest": digest, "shared": mine[seq], "data": data})
@@ -170,26 +173,26 @@ def write(docs: DataFrame, path: str) -> DataFrame:
         ref = [("seq", pa.int32()), ("digest", pa.binary())]
         full = pa.struct([*ref, ("shared", pa.bool_()), ("data", pa.binary())])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(own, pa.list_(full)), pa.array(refs, pa.list_(pa.struct(ref)))],
-            names=["payload", "own", "refs"],
+            [batch.column(0), pa.array(sums, pa.binary()), pa.array(own, pa.list_(full)), pa.array(refs, pa.list_(pa.struct(ref)))],
+            names=["payload", "sha256", "own", "refs"],
         )
 
-    arrow_map(joined, rows, STORE).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 6).parquet(path)
+    arrow_map(joined, rows, STORE).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(path)
     return recipes.select("doc_id", "n_bytes", "payload")
 
 
 def rebuilt(spark: SparkSession, path: str) -> DataFrame:
-    """``payload, parts``: all chunks (seq, data) of every stored payload."""
+    """``payload, sha256, parts``: all chunks (seq, data) of every stored payload."""
     stored = spark.read.schema(STORE).parquet(path)
     whole = stored.where(F.size("refs") == 0).select(
-        "payload", F.transform("own", lambda x: F.struct(x["seq"].alias("seq"), x["data"].alias("data"))).alias("parts")
+        "payload", "sha256", F.transform("own", lambda x: F.struct(x["seq"].alias("seq"), x["data"].alias("data"))).alias("parts")
     )
     rest = stored.where(F.size("refs") > 0)
     shared = stored.select(F.explode("own").alias("c")).where("c.shared").select("c.digest", "c.data")
     wanted = rest.select("payload", F.explode("refs").alias("r")).select("payload", "r.seq", "r.digest")
     fetched = wanted.join(shared, "digest").groupBy("payload").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
     mended = rest.join(fetched, "payload").select(
-        "payload",
+        "payload", "sha256",
         F.concat(F.transform("own", lambda x: F.struct(x["seq"].alias("seq"), x["data"].alias("data"))), "fetched").alias("parts"),
     )
     return whole.unionByName(mended)
@@ -211,13 +214,14 @@ def features(parts: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for key, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for key, told, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             ordered = [x["data"] for x in sorted(held, key=lambda x: x["seq"])]
             data = b"".join(ordered)
-            if hashlib.sha256(data).digest() != key:
+            digest = hashlib.sha256(data).digest()
+            if digest != told or digest[:KEY] != key:
                 raise ValueError(f"payload {key.hex()} doesn't verify")
             media = b"".join([MAGIC, *(y for x in ordered for y in (len(x).to_bytes(4, "little"), x))])
-            out.append((key, len(data), key.hex(), zlib.crc32(data[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(data, len(ordered))))
+            out.append((key, len(data), digest.hex(), zlib.crc32(data[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(data, len(ordered))))
         i, s = pa.int64(), pa.string()
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), i, s, i, i, s, s), strict=True)],
