@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcspark.llm import langid, media, packing, sharding, token_store
+from arcspark.llm import jaccard, langid, media, packing, pii, sharding, token_store
 from arcspark.llm.common import table
 from arcspark.llm.tokens import tokenizer_path
 
@@ -23,6 +23,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,7 +35,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_sharding, op3_language_id, op5_token_output, op8_best_fit_packing)
+    f.__name__: f for f in (
+        op1_media_columns, op2_sharding, op3_language_id, op4_ngram_jaccard, op5_token_output, op8_best_fit_packing, op9_pii,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
