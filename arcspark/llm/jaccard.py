@@ -188,11 +188,17 @@ def _live(buckets: DataFrame, percent: int) -> DataFrame:
     return buckets.join(met.select("a.token", "a.n", "a.pos").distinct(), ["token", "n", "pos"], "left_semi")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``id, tokens`` of the documents named; ids are broadcast only up to BROADCAST_IDS of them."""
+def _only(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` whose ``key`` is among ``ids``, which are broadcast only up to BROADCAST_IDS of them."""
+    ids = ids.distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    named = ids.select(F.col("id").alias("doc_id"))
-    part = _texts(docs).join(F.broadcast(named) if few else named, "doc_id", "left_semi")
+    named = ids.select(F.col(ids.columns[0]).alias(key))
+    return table.join(F.broadcast(named) if few else named, key, "left_semi")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``id, tokens`` of the documents named."""
+    part = _only(_texts(docs), ids, "doc_id")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
@@ -203,18 +209,20 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 def _attached(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     """``pairs`` (a, b, ...) with columns of ``table`` (id, ...) for both ends, as c_a and c_b."""
-    for end in "ab":
-        named = table.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
+    ends = {x: _only(table, pairs.select(x), "id") for x in "ba"}
+    for end, rows in ends.items():
+        named = rows.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
         pairs = pairs.join(named, end)
     return pairs
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share prefix tokens in all other orders and link by their whole sets."""
+    """The (written) pairs (a, b) that share prefix tokens in all other orders and link by their whole sets."""
     kept = _attached(pairs, reps, *_others())
     for x in _others():
         kept = kept.where(F.arrays_overlap(f"{x}_a", f"{x}_b"))
-    whole = _attached(kept.select("a", "b"), sets, "tokens").select("a", "b", "tokens_a", "tokens_b")
+    kept = materialise(kept.select("a", "b"), "pairs")
+    whole = _attached(kept, sets, "tokens").select("a", "b", "tokens_a", "tokens_b")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         linked = []
@@ -235,18 +243,20 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     classes = heads.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct(*columns)).alias("r"))
     reps = materialise(classes.select("key", F.col("r.doc_id").alias("id"), "r.n", "r.typical", "r.prefix", *(f"r.{x}" for x in _others())), "sets")
 
-    tokens = reps.select("id", "n", "typical", F.posexplode("prefix").alias("pos", "token"))
+    tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     buckets = materialise(tokens.join(often, "token"), "buckets")
     live = materialise(_live(buckets, percent), "live")
     sets = materialise(_sets(docs, live.select("id").distinct(), words), "tokens")
 
+    known = _only(reps.select("id", "typical"), live.select("id"), "id")
     typical = F.struct("typical", -F.col("id"), "id", "n", "pos")
-    top = live.groupBy("token").agg(F.max(typical).alias("top"))
+    top = live.join(known, "id").groupBy("token").agg(F.max(typical).alias("top"))
     to_top = live.join(top, "token").where(
         (F.col("id") != F.col("top.id")) & _may_link(F.col("n"), F.col("pos"), F.col("top.n"), F.col("top.pos"), percent)
     )
     spokes = to_top.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()
+    spokes = materialise(spokes, "spokes")
     links = materialise(_verified(spokes, reps, sets, percent), "links")
 
     merged = component_labels(links, "a", "b")
@@ -265,6 +275,7 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
         single = met.where(F.col(f"c_{s}") == 1).withColumn("member", F.col(f"id_{s}"))
         met = single.unionByName(several).drop(f"id_{s}").withColumnRenamed("member", f"id_{s}")
     pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).where("a <> b").distinct()
+    pairs = materialise(pairs, "candidates")
     more = materialise(_verified(pairs, reps, sets, percent), "links")
 
     found = component_labels(links.unionByName(more), "a", "b")
