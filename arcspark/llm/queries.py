@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcspark.llm import jaccard, langid, media, packing, pii, sharding, token_store
+from arcspark.llm import decontaminate, html_text, jaccard, langid, media, packing, pii, quality, sharding, token_store
 from arcspark.llm.common import table
 from arcspark.llm.tokens import tokenizer_path
 
@@ -31,6 +31,14 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,9 +47,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model, "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_media_columns, op2_sharding, op3_language_id, op4_ngram_jaccard, op5_token_output, op8_best_fit_packing, op9_pii,
+        op1_media_columns, op2_sharding, op3_language_id, op4_ngram_jaccard, op5_token_output, op6_decontamination,
+        op7_html_extraction, op8_best_fit_packing, op9_pii, op10_quality_classifier,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
