@@ -37,7 +37,7 @@ from arcspark.llm.common import arrow_map, small_batches
 from arcspark.plans.scratch import materialise, scratch_path
 
 UNIT, TAIL = 192, 16
-LEAST, MASK, MOST = 256, (1 << 10) - 1, 4096
+LEAST, MASK, MOST = 512, (1 << 11) - 1, 8192
 MAGIC = b"GCK1"
 #: Bytes of a payload's SHA-256 that joins carry, and the compression level of shuffled and stored bytes.
 KEY, LEVEL = 16, 9
@@ -221,16 +221,16 @@ def features(parts: DataFrame) -> DataFrame:
             if digest != told or digest[:KEY] != key:
                 raise ValueError(f"payload {key.hex()} doesn't verify")
             media = b"".join([MAGIC, *(y for x in ordered for y in (len(x).to_bytes(4, "little"), x))])
-            out.append((key, len(data), digest.hex(), zlib.crc32(data[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(data, len(ordered))))
-        i, s = pa.int64(), pa.string()
+            out.append((key, len(data), digest, zlib.crc32(data[-TAIL:]), len(media), hashlib.sha256(media).digest(), feature_of(data, len(ordered))))
+        i, b, s = pa.int64(), pa.binary(), pa.string()
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), i, s, i, i, s, s), strict=True)],
+            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), i, b, i, i, b, s), strict=True)],
             names=["payload", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
         )
 
     return arrow_map(
         parts, rows,
-        "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        "payload binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string",
     )
 
 
@@ -238,4 +238,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Store every document's payload, read all of them back, and return what was read."""
     path = path or scratch_path(docs.sparkSession, "media")
     whose = write(docs, path)
-    return whose.join(features(rebuilt(docs.sparkSession, path)), "payload").drop("payload")
+    found = whose.join(features(rebuilt(docs.sparkSession, path)), "payload").drop("payload")
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
