@@ -1 +1 @@
-
+"""Column functions: semirings, exact rationals, planar geometry."""

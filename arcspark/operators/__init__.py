@@ -1 +1 @@
-
+"""Graph operators: views, traversals, shortest paths, flows, trees, packing problems, segments."""
