@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,13 +25,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What the operators of a worker process keep between tasks.
+_CACHES: list = []
+
+
+class WordCache(dict):
+    """word -> ``make(word)``, kept while there is room; one operator's at a time in a process."""
+
+    def __init__(self, make: Callable, limit: int = 300_000) -> None:
+        super().__init__()
+        self._make, self._limit = make, limit
+        _CACHES.append(self)
+
+    def __missing__(self, word):
+        if len(self) >= self._limit:
+            self.clear()
+        self[word] = value = self._make(word)
+        return value
+
+
+def claim(mine) -> None:
+    """Empty the other caches of this worker process, so that tasks of different operators don't add up."""
+    if any(len(c) for c in _CACHES if c is not mine):
+        for cache in _CACHES:
+            if cache is not mine:
+                cache.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_map(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+    df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, begin: Callable[[], None] = gc.collect
 ) -> DataFrame:
-    """``mapInArrow`` of a function from one batch to one batch."""
+    """``mapInArrow`` of a function from one batch to one batch; ``begin`` is called first in each task."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         return (rows(b) for b in batches if b.num_rows)
 
     return df.mapInArrow(run, schema)

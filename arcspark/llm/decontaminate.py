@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import small_batches
+from arcspark.llm.common import WordCache, claim, small_batches
 from arcspark.plans.scratch import materialise
 
 WINDOW, LEAST, RUN, SHARE, TABLE_BITS = 8, 4, 13, 0.6, 22
@@ -55,30 +55,29 @@ _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNITS = frozenset(x.encode() for x in UNITS)
 
 
-class _Words(dict):
-    """word -> hash of its literal form with its flags in the low bits, kept while there is room."""
+def _code(word: bytes) -> int:
+    """Hash of a word's literal form with its flags in the low bits."""
+    core = word.strip(_PUNCTUATION)
+    flags = ENDS if word[-1:] in b".!?:;|" or word[-2:-1] in b".!?" and len(word) > 1 else 0
+    if core.isascii():
+        low, title = core.lower(), core[:1].isupper() and (len(core) == 1 or core[1:].islower())
+    else:
+        text = core.decode("utf-8", "replace")
+        low, title = text.lower().encode(), text[:1].isupper() and (len(text) == 1 or text[1:].islower())
+    if not core:
+        flags |= BLANK
+    elif core[:1].isdigit() and _NUMBER.match(low):
+        flags |= NUMBER
+    else:
+        flags |= TITLE * bool(title) | UNIT * (low in _UNITS)
+    return xxhash.xxh64_intdigest(low) & ~31 | flags
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        core = word.strip(_PUNCTUATION)
-        flags = ENDS if word[-1:] in b".!?:;|" or word[-2:-1] in b".!?" and len(word) > 1 else 0
-        if core.isascii():
-            low, title = core.lower(), core[:1].isupper() and (len(core) == 1 or core[1:].islower())
-        else:
-            text = core.decode("utf-8", "replace")
-            low, title = text.lower().encode(), text[:1].isupper() and (len(text) == 1 or text[1:].islower())
-        if not core:
-            flags |= BLANK
-        elif core[:1].isdigit() and _NUMBER.match(low):
-            flags |= NUMBER
-        else:
-            flags |= TITLE * bool(title) | UNIT * (low in _UNITS)
-        self[word] = value = xxhash.xxh64_intdigest(low) & ~31 | flags
-        return value
+_WORDS = WordCache(_code)
 
 
-_WORDS = _Words()
+def _begin() -> None:
+    claim(_WORDS)
 
 
 def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -150,6 +149,7 @@ def _found(df: DataFrame, key: str, sizes: tuple[int, ...], table: np.ndarray |
                 names=["id", "size", "hash", "pos", "slots"],
             )
 
+        _begin()
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import arrow_map
+from arcspark.llm.common import WordCache, arrow_map, claim
 
 BITS, SAMPLE, EPOCHS, RATE, DECAY, SEED = 18, 12_000, 30, 0.3, 1e-5, 7
 SCALE, TELLING = 10.0, 12.0
@@ -45,22 +45,21 @@ def bucket(kind: bytes, value: bytes) -> int:
     return xxhash.xxh64_intdigest(kind + b"\x00" + value) & _MASK
 
 
-class _Features(dict):
-    """word -> its two buckets in one number, kept while there is room."""
+def _buckets(word: bytes) -> int:
+    """The buckets of a word and of its shape, in one number."""
+    core = word.strip(_PUNCTUATION)
+    core = core.lower() if core.isascii() else core.decode("utf-8", "replace").lower().encode()
+    shape = word
+    for run, sign in _RUNS:
+        shape = run.sub(sign, shape)
+    return bucket(b"word", core) << BITS | bucket(b"shape", shape[:12])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        core = word.strip(_PUNCTUATION)
-        core = core.lower() if core.isascii() else core.decode("utf-8", "replace").lower().encode()
-        shape = word
-        for run, sign in _RUNS:
-            shape = run.sub(sign, shape)
-        self[word] = value = bucket(b"word", core) << BITS | bucket(b"shape", shape[:12])
-        return value
 
+_FEATURES = WordCache(_buckets)
 
-_FEATURES = _Features()
+
+def _begin() -> None:
+    claim(_FEATURES)
 
 
 def _decile(share: float) -> bytes:
@@ -195,7 +194,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
         )
 
     kinds = dict(part.dtypes)
-    table = arrow_map(part, rows, f"doc_id {kinds['doc_id']}, grade int, at array<int>, value array<float>").toArrow().sort_by("doc_id")
+    table = arrow_map(part, rows, f"doc_id {kinds['doc_id']}, grade int, at array<int>, value array<float>", _begin).toArrow().sort_by("doc_id")
     grades = table["grade"].to_numpy()
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(1 << BITS, dtype=np.float32), np.zeros(n_grades - 1))
@@ -218,7 +217,7 @@ def score(docs: DataFrame, model: Model, *columns: str, wanted: int = 2, keep_fr
         )
 
     schema = ", ".join(f"`{n}` {t}" for n, t in part.dtypes[:-1])
-    return arrow_map(part, rows, f"{schema}, expected_grade double, p_wanted double, keep boolean")
+    return arrow_map(part, rows, f"{schema}, expected_grade double, p_wanted double, keep boolean", _begin)
 
 
 def select(docs: DataFrame, ratings: DataFrame, wanted: int = 2, keep_from: float = 0.5) -> DataFrame:
@@ -230,4 +229,4 @@ def select(docs: DataFrame, ratings: DataFrame, wanted: int = 2, keep_from: floa
         kept = [bool(shared.value.tails(x.as_py())[wanted - 1] >= keep_from) for x in batch.column(at)]
         return batch.filter(pa.array(kept, pa.bool_()))
 
-    return arrow_map(docs, rows, docs.schema)
+    return arrow_map(docs, rows, docs.schema, _begin)

@@ -16,6 +16,8 @@ from itertools import filterfalse
 
 import numpy as np
 
+from arcspark.llm.common import _CACHES, claim
+
 #: Words in each of the two generations of the cache.
 CACHE_WORDS = 500_000
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +45,13 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._ids: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
+        _CACHES.append(self)
+
+    def __len__(self) -> int:
+        return len(self._ids) + len(self._older)
+
+    def clear(self) -> None:
+        self._ids, self._older = {}, {}
 
     def _tokenize(self, words: list[bytes]) -> None:
         found = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -88,12 +97,18 @@ class WordEncoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and vocabulary file."""
+@lru_cache(maxsize=None)
+def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def encoder(path: str) -> WordEncoder:
+    """One encoder per worker process and vocabulary file; other operators' caches are emptied."""
+    found = _encoder(path)
+    claim(found)
+    return found
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
