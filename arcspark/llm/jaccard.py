@@ -38,11 +38,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import arrow_map, small_batches
+from arcspark.llm.common import WordCache, arrow_map, claim, small_batches
 from arcspark.operators.components import component_labels
 from arcspark.plans.scratch import materialise
 
-SKETCH_BITS, BLOCK_BITS = 22, 14
+SKETCH_BITS, BLOCK_BITS = 24, 16
 BROADCAST_IDS = 2_000_000
 _MIX, _FOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 #: Odd multipliers that permute token hashes: one more order each.
@@ -50,17 +50,11 @@ ORDERS = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 EMPTY = np.zeros(0, dtype=np.uint64)
 
 
-class _Words(dict):
-    """Hashes of words, kept while there is room."""
+_WORDS = WordCache(xxhash.xxh64_intdigest, 200_000)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
 
-
-_WORDS = _Words()
+def _begin() -> None:
+    claim(_WORDS)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -96,11 +90,13 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
     size, block = 1 << SKETCH_BITS, 1 << BLOCK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, dtype=np.int64)
+        _begin()
+        seen = np.zeros(size, dtype=np.int32)
         for batch in batches:
-            held = [(shingle_set(t.as_py(), words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) for t in batch.column(0)]
+            held = [(shingle_set(t.as_py(), words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32) for t in batch.column(0)]
             if held:
-                seen += np.bincount(np.concatenate(held), minlength=size)
+                slots, more = np.unique(np.concatenate(held), return_counts=True)
+                seen[slots] += more.astype(np.int32)
         pack = zstandard.ZstdCompressor(level=1)
         at = [k for k in range(size // block) if seen[k * block : (k + 1) * block].any()]
         yield pa.RecordBatch.from_arrays(
@@ -113,8 +109,8 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(unpack.decompress(counts), dtype=np.int64)
-                sums[k] = sums[k] + more if k in sums else more
+                more = np.frombuffer(unpack.decompress(counts), dtype=np.int32)
+                sums[k] = sums[k] + more if k in sums else more.astype(np.int64)
         levels = {k: np.clip(np.rint(6 * np.log2(1 + v)), 0, 255).astype(np.uint8).tobytes() for k, v in sums.items()}
         yield pa.RecordBatch.from_arrays(
             [pa.array(levels.keys(), pa.int32()), pa.array(levels.values(), pa.binary())], names=["block", "levels"]
@@ -135,7 +131,8 @@ def prefix_size(n: int, percent: int) -> int:
 def prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
     """``doc_id, n, key, typical, prefix, other_1, ...``: a row for each document.
 
-    ``key`` identifies the set; ``typical`` is the mean level of its tokens.
+    ``key`` identifies the set; ``typical`` is the mean level of its tokens; of the other
+    orders' prefixes 15 bits of each token are kept, as tokens that are equal agree in them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -151,19 +148,19 @@ def prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> D
             head, p = level.astype(np.uint64) << np.uint64(56), prefix_size(n, percent)
             first = tokens[np.argsort(head | (tokens >> np.uint64(8)), kind="stable")[:p]]
             rest = [
-                (tokens[np.argsort(head | ((tokens * m) >> np.uint64(8)), kind="stable")[:p]] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+                (tokens[np.argsort(head | ((tokens * m) >> np.uint64(8)), kind="stable")[:p]] & np.uint64(0x7FFF)).astype(np.int16)
                 for m in ORDERS
             ]
             key = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
             out.append((n, key, round(float(level.mean()), 4), first.view(np.int64), *rest))
-        kinds = (pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int64()), *(pa.list_(pa.int32()) for _ in ORDERS))
+        kinds = (pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int64()), *(pa.list_(pa.int16()) for _ in ORDERS))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))],
             names=["doc_id", "n", "key", "typical", "prefix", *_others()],
         )
 
-    others = "".join(f", {x} array<int>" for x in _others())
-    return arrow_map(_texts(docs), rows, f"doc_id long, n long, key binary, typical double, prefix array<long>{others}")
+    others = "".join(f", {x} array<short>" for x in _others())
+    return arrow_map(_texts(docs), rows, f"doc_id long, n long, key binary, typical double, prefix array<long>{others}", _begin)
 
 
 def _others() -> list[str]:
@@ -204,7 +201,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         tokens = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["id", "tokens"])
 
-    return arrow_map(part, rows, "id long, tokens binary")
+    return arrow_map(part, rows, "id long, tokens binary", _begin)
 
 
 def _attached(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -238,10 +235,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
 
 def components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document; exact at Jaccard >= percent/100."""
-    heads = materialise(prefixes(docs, words, percent, rarity(docs, words)), "prefixes")
+    heads = materialise(prefixes(docs, words, percent, rarity(docs, words)), "prefixes", compression="zstd")
     columns = ["doc_id", "n", "typical", "prefix", *_others()]
     classes = heads.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct(*columns)).alias("r"))
-    reps = materialise(classes.select("key", F.col("r.doc_id").alias("id"), "r.n", "r.typical", "r.prefix", *(f"r.{x}" for x in _others())), "sets")
+    reps = materialise(classes.select("key", F.col("r.doc_id").alias("id"), "r.n", "r.typical", "r.prefix", *(f"r.{x}" for x in _others())), "sets", compression="zstd")
 
     tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
