@@ -67,6 +67,17 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores before them until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def crc32_of(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; null counts as empty."""
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))

@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcspark.llm.common import unused
 from arcspark.plans.scratch import materialise
 
 #: The base patterns in forms that scan in linear time and match the same strings.
@@ -231,13 +232,14 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
 
     Null texts stay null. Only rows that have spans are joined with them.
     """
+    own, key, whose, held = unused(docs, "_own", "_key", "_id", "_spans")
     spans = find(docs, support, disclosure).where((F.size("base") > 0) | (F.size("terms") > 0))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.concat("base", "terms").alias("_spans"))
-    spans = spans.dropDuplicates(["_id", "_key"])
-    keyed = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))
+    spans = spans.select(F.col("doc_id").alias(whose), F.col("text_key").alias(key), F.concat("base", "terms").alias(held))
+    spans = spans.dropDuplicates([whose, key])
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(whose)) & (F.col(own) == F.col(key))
     both = keyed.join(spans, on, "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col("_spans")))
+    text = F.when(F.col(held).isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col(held)))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long")).cast(docs.schema["n_chars"].dataType))
