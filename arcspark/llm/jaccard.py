@@ -205,8 +205,14 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def _attached(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-    """``pairs`` (a, b, ...) with columns of ``table`` (id, ...) for both ends, as c_a and c_b."""
+    """``pairs`` (a, b) with columns of ``table`` (id, ...) for both ends, as c_a and c_b.
+
+    Up to BROADCAST_IDS pairs go to the rows of ``table`` for the first end; only rows of
+    paired ids are shuffled for the second.
+    """
     ends = {x: _only(table, pairs.select(x), "id") for x in "ba"}
+    if pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        pairs = F.broadcast(pairs)
     for end, rows in ends.items():
         named = rows.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
         pairs = pairs.join(named, end)
