@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ from arcspark.llm.common import WordCache, arrow_map, claim, small_batches
 from arcspark.operators.components import component_labels
 from arcspark.plans.scratch import materialise
 
-SKETCH_BITS, BLOCK_BITS = 24, 16
+SKETCH_BITS, BLOCK_BITS = 23, 15
 BROADCAST_IDS = 2_000_000
 _MIX, _FOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 #: Odd multipliers that permute token hashes: one more order each.
@@ -128,16 +129,15 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, words: int, percent: int, levels: Broadcast) -> DataFrame:
     """``doc_id, n, key, typical, prefix, other_1, ...``: a row for each document.
 
     ``key`` identifies the set; ``typical`` is the mean level of its tokens; of the other
     orders' prefixes 15 bits of each token are kept, as tokens that are equal agree in them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table, out = shared.value, []
+        table, out = levels.value, []
         for text in batch.column(1):
             tokens = shingle_set(text.as_py(), words)
             n = len(tokens)
@@ -241,7 +241,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
 
 def components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document; exact at Jaccard >= percent/100."""
-    heads = materialise(prefixes(docs, words, percent, rarity(docs, words)), "prefixes", compression="zstd")
+    levels = docs.sparkSession.sparkContext.broadcast(rarity(docs, words))  # 2^SKETCH_BITS bytes
+    heads = materialise(prefixes(docs, words, percent, levels), "prefixes", compression="zstd")
+    levels.destroy()  # what it was for is written
     columns = ["doc_id", "n", "typical", "prefix", *_others()]
     classes = heads.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min(F.struct(*columns)).alias("r"))
     reps = materialise(classes.select("key", F.col("r.doc_id").alias("id"), "r.n", "r.typical", "r.prefix", *(f"r.{x}" for x in _others())), "sets", compression="zstd")

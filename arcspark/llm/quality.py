@@ -106,15 +106,13 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> np.ndarray:
+def telling(at: np.ndarray, ends: np.ndarray, grades: np.ndarray, n_grades: int) -> np.ndarray:
     """Which features get a weight: the largest likelihood-ratio statistic over the grade boundaries."""
-    at = np.concatenate([x for x, _ in rows])
-    whose = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
-    total = np.bincount(at, minlength=1 << BITS).astype(float)
+    sizes, total = np.diff(ends), np.bincount(at, minlength=1 << BITS).astype(float)
     best = np.zeros(1 << BITS)
     for k in range(1, n_grades):
-        low = (grades < k).astype(float)
-        here, share = np.bincount(at, low[whose], minlength=1 << BITS), low.mean()
+        low = grades < k
+        here, share = np.bincount(at[np.repeat(low, sizes)], minlength=1 << BITS), low.mean()
         best = np.maximum(best, 2 * (_surprise(here, total * share) + _surprise(total - here, total * (1 - share))))
     chosen = best >= TELLING
     chosen[bucket(b"always", b"")] = True
@@ -127,10 +125,14 @@ def _surprise(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return np.where(some, seen * np.log(np.where(some, seen, 1) / np.where(some, expected, 1)), 0.0)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> Model:
-    """Adagrad on the cumulative-link log likelihood, in shuffled batches."""
-    chosen = telling(rows, grades, n_grades)
-    rows = [(at[chosen[at]], values[chosen[at]]) for at, values in rows]
+def fit(at: np.ndarray, values: np.ndarray, ends: np.ndarray, grades: np.ndarray, n_grades: int) -> Model:
+    """Adagrad on the cumulative-link log likelihood, in shuffled batches.
+
+    Document i has the features ``at[ends[i]:ends[i + 1]]`` with their values; none is empty.
+    """
+    kept = telling(at, ends, grades, n_grades)[at]
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(kept, ends[:-1]))])
+    at, values = at[kept], values[kept]
     weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     share = np.array([(grades >= k).mean() for k in range(1, n_grades)]) if len(grades) else np.full(n_grades - 1, 0.5)
     start = -np.log(np.clip(share, 1e-3, 1 - 1e-3) / np.clip(1 - share, 1e-3, 1))
@@ -139,11 +141,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     free_squares, rng = np.full(len(free), 1e-6), np.random.default_rng(SEED)
     for epoch in range(EPOCHS):
         rate = RATE / (1 + epoch / 4)
-        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
-            sizes = [len(rows[i][0]) for i in batch]
-            at = np.concatenate([rows[i][0] for i in batch])
-            values = np.concatenate([rows[i][1] for i in batch])
-            score = np.add.reduceat(weights[at] * values, np.cumsum([0, *sizes[:-1]]))
+        for batch in np.array_split(rng.permutation(len(grades)), max(1, len(grades) // 256)):
+            sizes = ends[batch + 1] - ends[batch]
+            here = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in batch])
+            of, x = at[here], values[here]
+            score = np.add.reduceat(weights[of] * x, np.concatenate([[0], np.cumsum(sizes[:-1])]))
             steps = np.exp(free[1:])
             thresholds = np.cumsum(np.concatenate([free[:1], steps]))
             y = grades[batch]
@@ -153,8 +155,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
             p = np.maximum(low - high, 1e-9)
             d_low, d_high = low * (1 - low) / p, high * (1 - high) / p
             slope = d_low - d_high
-            gradient = np.bincount(at, np.repeat(-slope, sizes) * values, minlength=1 << BITS) / len(batch)
-            touched = np.unique(at)
+            gradient = np.bincount(of, np.repeat(-slope, sizes) * x, minlength=1 << BITS) / len(batch)
+            touched = np.unique(of)
             g = gradient[touched] + DECAY * weights[touched]
             squares[touched] += g * g
             weights[touched] -= rate * g / np.sqrt(squares[touched])
@@ -199,8 +201,11 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(1 << BITS, dtype=np.float32), np.zeros(n_grades - 1))
     at, value = table["at"].combine_chunks(), table["value"].combine_chunks()
-    ends, flat_at, flat = at.offsets.to_numpy(), at.values.to_numpy().astype(np.int64), value.values.to_numpy().astype(np.float64)
-    return fit([(flat_at[a:b], flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], grades.astype(np.int64), n_grades)
+    del table
+    model = fit(at.flatten().to_numpy(), value.flatten().to_numpy(), at.offsets.to_numpy() - at.offsets[0].as_py(), grades.astype(np.int64), n_grades)
+    del at, value
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *columns: str, wanted: int = 2, keep_from: float = 0.5) -> DataFrame:

@@ -59,4 +59,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_html_extraction, op8_best_fit_packing, op9_pii, op10_quality_classifier,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: SQL where it can express an operator; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": f"""with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] end as g
+from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
+r(id, c) using key (id) as (select doc_id, doc_id from documents union select l.y, min(r.c) from r join l on l.x = r.id
+left join recurring.r k on k.id = l.y group by l.y having min(r.c) < coalesce(min(k.c), 9223372036854775807))
+select id as doc_id, coalesce(n.n, 0)::bigint as n_shingles, r.c as component_id from r left join n on n.doc_id = r.id""",
+}

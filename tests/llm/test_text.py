@@ -190,7 +190,8 @@ def test_thresholds_are_ordered_and_tails_fall():
     rows, grades = [], rng.integers(0, 4, 600)
     for g in grades:
         rows.append((np.array([quality.bucket(b"always", b""), 5 + g]), np.array([1.0, 3.0])))
-    model = quality.fit(rows, grades, 4)
+    flat = [np.concatenate(x) for x in zip(*rows)]
+    model = quality.fit(*flat, np.arange(0, 2 * len(rows) + 1, 2), grades, 4)
     assert np.all(np.diff(model.thresholds) > 0)
     scores = [float(model.weights[at] @ values) for at, values in (rows[list(grades).index(g)] for g in range(4))]
     assert scores == sorted(scores)
