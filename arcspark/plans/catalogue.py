@@ -339,7 +339,11 @@ def competing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # trees and flows
 
 
-@query()
+@query(f"""with recursive {_TRADE}, e as (select row_number() over (order by src, dst, w) - 1 as edge_id, src, dst, w from t),
+k as (select *, row_number() over (order by w, edge_id) as n from e where src <> dst), u as (select src, dst, n from k union all select dst, src, n from k),
+m(s, id, n) using key (s, id) as (select n_nationkey::bigint, n_nationkey::bigint, 0::bigint from nation union select m.s, u.dst, min(greatest(m.n, u.n)) from m join u on u.src = m.id
+left join recurring.m q on q.s = m.s and q.id = u.dst group by m.s, u.dst having min(greatest(m.n, u.n)) < coalesce(min(q.n), 1000000000000))
+select edge_id, k.src, k.dst, w as cost from k join m on m.s = k.src and m.id = k.dst where m.n = k.n""")
 def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.spanning_forest(views.undirect(datasets.trade(spark, sf_dir)), "w")
 
