@@ -4,9 +4,10 @@ import pytest
 from graphs import HEXAGON, graph, ids, rows
 from pyspark.sql import functions as F
 
+from arcspark.functions import rational as R
 from arcspark.functions.semiring import MAX_CAPACITY_PATH, MOST_RELIABLE_PATH, SHORTEST_PATH, SPANNING_TREE
 from arcspark.graph import Graph, GraphError, UndirectedGraph
-from arcspark.operators import flow, knapsack, paths, sampling, traverse, trees, views
+from arcspark.operators import flow, knapsack, paths, planar, sampling, traverse, trees, views
 from arcspark.operators.components import component_labels
 from arcspark.operators.segments import intersections
 from arcspark.sources import builders, dot
@@ -289,3 +290,34 @@ def test_dot(spark):
     g = graph(spark, 2, "0-1:3").with_vertex_map("label", F.lit('a"b\\c')).with_vertex_map("pos", F.struct(F.lit(1.0).alias("x"), F.lit(2.5).alias("y"))).with_arc_map("color", F.lit("red"))
     got = [x for *_, x in rows(dot.dot_lines(g, (5, 7)), "section", "pos", "line")]
     assert got == ['digraph { size="5,7";', '  0 [label="a\\"b\\\\c", pos="1.0,2.5!"];', '  1 [label="a\\"b\\\\c", pos="1.0,2.5!"];', '  0 -> 1 [color="red"];', "}"]
+
+
+def test_planar_dual(spark):
+    # a triangle 0-1-2: inner face 0, outer face 1
+    arcs = [(0, 0, 1, 3, 0), (1, 1, 2, 4, 0), (2, 2, 0, 5, 0), (3, 1, 0, 0, 1), (4, 2, 1, 1, 1), (5, 0, 2, 2, 1)]
+    g = Graph(
+        spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.0)], "id long, x double, y double"),
+        spark.createDataFrame(arcs, "arc_id long, src long, dst long, twin long, face long"),
+    )
+    assert rows(planar.faces(g)) == [(0, 3), (1, 3)]
+    assert rows(planar.bounding_arcs(g, spark.createDataFrame([(1,)], "face long")), "arc_id") == [(3,), (4,), (5,)]
+    assert rows(planar.arc_coordinates(g))[1] == (1, 1.0, 0.0, 0.0, 1.0)
+    d = planar.dual(g)
+    assert rows(d.vertices) == [(0,), (1,)] and rows(d.arcs, "arc_id", "src", "dst") == [(0, 1, 0), (1, 1, 0), (2, 1, 0), (3, 0, 1), (4, 0, 1), (5, 0, 1)]
+    with pytest.raises(GraphError):
+        planar.dual(Graph(g.vertices, g.arcs.withColumn("twin", F.lit(0))))
+
+
+def test_rationals_are_exact(spark):
+    big = 10**12
+    row = spark.range(1).select(
+        R.add(R.rational(1, 3), R.rational(1, 6)).alias("a"), R.multiply(R.rational(-2, big), R.rational(big, 4)).alias("m"),
+        R.divide(R.rational(3, 4), R.rational(-3, 8)).alias("d"), R.subtract(R.rational(1, 2), R.rational(1, 2)).alias("z"),
+        R.rational(-5, 0).alias("inf"), R.negate(R.rational(2, -6)).alias("n"), R.compare(R.rational(1, 0), R.rational(10**9, 1)).alias("c"),
+        R.compare(R.rational(-1, 3), R.rational(-1, 4)).alias("l"), R.gcd(F.lit(0), F.lit(0)).alias("g"),
+        R.overflows(F.lit(1 << 62), F.lit(1 << 62), "+").alias("o"), R.overflows(F.lit(3), F.lit(4), "*").alias("p"), R.bounded(F.lit(5), 0, 9).alias("b"),
+    ).first()
+    assert [tuple(map(int, row[k])) for k in ("a", "m", "d", "z", "inf", "n")] == [(1, 2), (-1, 2), (-2, 1), (0, 1), (1, 0), (1, 3)]
+    assert (row.c, row.l, int(row.g), row.o, row.p, row.b) == (1, -1, 0, True, False, 5)
+    with pytest.raises(Exception, match="outside"):
+        spark.range(1).select(R.bounded(F.lit(10), 0, 9)).collect()
