@@ -5,8 +5,8 @@ of each, under *any* global token order. All orders used here put tokens that ar
 the corpus first (by a count sketch of fixed size over all documents, which every task
 shares; its errors cost time, never results) and differ in how they order tokens of like
 frequency. The first order gives candidates by a join on prefix tokens with bounds on
-length and position; candidates must then share prefix tokens under the other orders too;
-what is left is verified on the whole sets.
+length and position; candidates must then share enough prefix tokens under every order, the
+other orders' prefixes being longer; what is left is verified on the whole sets.
 
 Groups of copies are never expanded into pairs:
 
@@ -45,6 +45,8 @@ from arcspark.plans.scratch import materialise
 
 SKETCH_BITS, BLOCK_BITS = 23, 15
 BROADCAST_IDS = 2_000_000
+#: The prefixes kept for the other orders are so many times as long as needed to share one token.
+LONGER = 2
 _MIX, _FOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 #: Odd multipliers that permute token hashes: one more order each.
 ORDERS = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -148,7 +150,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, levels: Broadcast) -> Da
             head, p = level.astype(np.uint64) << np.uint64(56), prefix_size(n, percent)
             first = tokens[np.argsort(head | (tokens >> np.uint64(8)), kind="stable")[:p]]
             rest = [
-                (tokens[np.argsort(head | ((tokens * m) >> np.uint64(8)), kind="stable")[:p]] & np.uint64(0x7FFF)).astype(np.int16)
+                (tokens[np.argsort(head | ((tokens * m) >> np.uint64(8)), kind="stable")[: LONGER * p]] & np.uint64(0x7FFF)).astype(np.int16)
                 for m in ORDERS
             ]
             key = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
@@ -220,10 +222,21 @@ def _attached(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (written) pairs (a, b) that share prefix tokens in all other orders and link by their whole sets."""
-    kept = _attached(pairs, reps, *_others())
-    for x in _others():
-        kept = kept.where(F.arrays_overlap(f"{x}_a", f"{x}_b"))
+    """The (written) pairs (a, b) that share enough prefix tokens in every order and link by their whole sets.
+
+    Of two sets whose first p and q tokens are known, tokens shared beyond the shorter reach
+    number at most max(n - p, m - q); the rest of the overlap that a link needs must be among the
+    known ones. Equal tokens agree in the bits kept, and tokens of one prefix that collide are
+    counted by the slack, so no link is lost.
+    """
+    orders = ["prefix", *_others()]
+    kept = _attached(pairs, reps, "n", *orders)
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    for x in orders:
+        a, b = F.col(f"{x}_a"), F.col(f"{x}_b")
+        shared = F.size(F.array_intersect(a, b)) + F.size(a) - F.size(F.array_distinct(a))
+        beyond = F.greatest(F.col("n_a") - F.size(a), F.col("n_b") - F.size(b))
+        kept = kept.where(shared >= F.greatest(need - beyond, F.lit(1)))
     kept = materialise(kept.select("a", "b"), "pairs")
     whole = _attached(kept, sets, "tokens").select("a", "b", "tokens_a", "tokens_b")
 
