@@ -39,9 +39,9 @@ from arcspark.plans.scratch import materialise, scratch_path
 UNIT, TAIL = 192, 16
 LEAST, MASK, MOST = 512, (1 << 11) - 1, 8192
 MAGIC = b"GCK1"
-#: Bytes of a payload's SHA-256 that joins carry, and the compression level of shuffled payloads
-#: (the store's writers, of which an executor has many, keep to their default with small buffers).
-KEY, LEVEL = 16, 9
+#: Bytes of a payload's SHA-256 that joins carry, and the compression levels of shuffled payloads and of
+#: the store (an executor has many of its writers, so their buffers are to be small).
+KEY, LEVEL, STORE_LEVEL = 16, 9, 6
 STORE = (
     "payload binary, sha256 binary, own array<struct<seq:int,digest:binary,shared:boolean,data:binary>>, "
     "refs array<struct<seq:int,digest:binary>>"
@@ -178,7 +178,7 @@ def write(docs: DataFrame, path: str) -> DataFrame:
             names=["payload", "sha256", "own", "refs"],
         )
 
-    arrow_map(joined, rows, STORE).write.option("compression", "zstd").parquet(path)
+    arrow_map(joined, rows, STORE).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", STORE_LEVEL).parquet(path)
     return recipes.select("doc_id", "n_bytes", "payload")
 
 
