@@ -55,13 +55,14 @@ def claim(mine) -> None:
 
 
 def arrow_map(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, begin: Callable[[], None] = gc.collect
+    df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, begin: Callable[[], None] | None = None
 ) -> DataFrame:
     """``mapInArrow`` of a function from one batch to one batch; ``begin`` is called first in each task."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin()
+        if begin:
+            begin()
         return (rows(b) for b in batches if b.num_rows)
 
     return df.mapInArrow(run, schema)

@@ -75,8 +75,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         words = encoder(tokenizer)
         for batch in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(words.encode(text.as_py()) + end)
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), words.encode_many(batch.column(1).to_pylist()), strict=True):
+                ids = memoryview(encoded + end)
                 n = len(ids) // 4
                 rows += [
                     (doc_id, k, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]))

@@ -42,12 +42,12 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
 
         part, start, words = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1)
+            doc_ids, encoded = batch.column(0), words.encode_many(batch.column(1).to_pylist())
             at = 0
             while at < batch.num_rows:
                 packed, held, first = [], 0, at
                 while at < batch.num_rows and held < 4 << 20:
-                    packed.append(words.encode(texts[at].as_py()))
+                    packed.append(next(encoded))
                     held += len(packed[-1])
                     at += 1
                 counts = np.array([len(x) // 4 + 1 for x in packed], dtype=np.int64)
@@ -111,7 +111,7 @@ def digests(stored: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(3)
-        values = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        values = ids.values.to_numpy(zero_copy_only=False).view("<u4")
         ends = ids.offsets.to_numpy()
         crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.RecordBatch.from_arrays(

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import os
 import string
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 
@@ -58,43 +58,71 @@ class WordEncoder:
         for word, encoding in zip(words, found, strict=True):
             self._ids[word] = np.array(encoding.ids, dtype="<u4").tobytes()
 
-    def _recall(self, words: set[bytes]) -> list[bytes]:
-        """Take words over from the older generation; what is in neither."""
-        older, ids, fresh = self._older, self._ids, []
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the ids of these words into the cache, from the older generation where it has them."""
+        if len(self._ids) + 2 * len(words) > CACHE_WORDS:
+            self._ids, self._older = {}, self._ids
+        ids, older, split, wanted = self._ids, self._older, [], set()
         for word in words:
             known = older.get(word)
             if known is not None:
                 ids[word] = known
-            elif word not in ids:
-                fresh.append(word)
-        return fresh
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Put the ids of these words into the cache."""
-        if len(self._ids) + 2 * len(words) > CACHE_WORDS:
-            self._ids, self._older = {}, self._ids
-        cores = [(w, _core(w)) for w in self._recall(words)]
-        self._tokenize(self._recall({x for w, c in cores for x in ((c, w[len(c) :]) if len(c) < len(w) else (w,))}))
-        for word, core in cores:
+                continue
+            core = _core(word)
             if len(core) < len(word):
-                self._ids[word] = self._ids[core] + self._ids[word[len(core) :]]
+                tail = word[len(core) :]
+                split.append((word, core, tail))
+                wanted.add(core)
+                wanted.add(tail)
+            else:
+                wanted.add(word)
+        fresh = []
+        for word in wanted:
+            if word not in ids:
+                known = older.get(word)
+                if known is None:
+                    fresh.append(word)
+                else:
+                    ids[word] = known
+        self._tokenize(fresh)
+        for word, core, tail in split:
+            ids[word] = ids[core] + ids[tail]
+
+    def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        ids = list(map(self._ids.get, words))
+        if None in ids:
+            holes = [i for i, x in enumerate(ids) if x is None]
+            self._learn({words[i] for i in holes})
+            for i in holes:
+                ids[i] = self._ids[words[i]]
+        return ids
+
+    def encode_many(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Ids of whole texts, in order; null is empty. Looks up up to 65,536 words at once."""
+        waiting: list[int] = []
+        words: list[bytes] = []
+        for raw in texts:
+            raw = raw or b""
+            own = (raw if b"<|" in raw else raw.lower()).split()  # special tokens are told by case
+            if waiting and len(words) + len(own) > 1 << 16:
+                yield from self._joined(words, waiting)
+                words, waiting = [], []
+            if len(own) > 1 << 16:
+                yield b"".join(b"".join(self._looked_up(own[at : at + (1 << 16)])) for at in range(0, len(own), 1 << 16))
+            else:
+                words += own
+                waiting.append(len(own))
+        yield from self._joined(words, waiting)
+
+    def _joined(self, words: list[bytes], sizes: list[int]) -> Iterator[bytes]:
+        ids, at = self._looked_up(words), 0
+        for n in sizes:
+            yield b"".join(ids[at : at + n])
+            at += n
 
     def encode(self, raw: bytes | None) -> bytes:
-        """Ids of one whole text; null is empty. Memory: the text, its words and ids."""
-        if not raw:
-            return b""
-        words = (raw if b"<|" in raw else raw.lower()).split()  # special tokens are told by case
-        out = []
-        for at in range(0, len(words), 1 << 16):
-            part = words[at : at + (1 << 16)]
-            ids = list(map(self._ids.get, part))
-            if None in ids:
-                holes = [i for i, x in enumerate(ids) if x is None]
-                self._learn({part[i] for i in holes})
-                for i in holes:
-                    ids[i] = self._ids[part[i]]
-            out.append(b"".join(ids))
-        return b"".join(out)
+        """Ids of one whole text."""
+        return next(self.encode_many([raw]))
 
 
 @lru_cache(maxsize=None)

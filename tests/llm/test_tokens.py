@@ -80,3 +80,10 @@ def test_packing_is_close_to_the_bound(rng):
         total += n
         p.place(n)
     assert p.opened <= 1.04 * total / 2048
+
+
+def test_texts_keep_their_order_whatever_their_size():
+    e = tokens.WordEncoder(PATH)
+    texts = [b"", None, b"a b " * 40_000, b"", b"c, d", b"x " * 65_536, b"e"]
+    one = [tokens.WordEncoder(PATH).encode(t) for t in texts]
+    assert list(e.encode_many(texts)) == one and [len(x) // 4 for x in one] == [0, 0, 80_000, 0, 3, 65_536, 1]
