@@ -53,6 +53,14 @@ def test_base_spans_by_brute_force(spark, rng, odd_docs):
         assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["at 10.0.0.1 now", "0.0.0.0", "1.000.2.3", "192.168.0.1, 127.0.0.1", "00256.0.0.1", "0.0.0.256", "0" * 4_000 + ".0.0.00255", "0" * 4_000 + ".0.0.256"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.base_sha256 for r in pii.digests(pii.find(docs)).collect()}
+    assert found == {i: hashlib.sha256(",".join(base_spans(t)).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert [r.text for r in pii.sanitise(docs).orderBy("doc_id").limit(4).collect()] == ["at [IP] now", "[IP]", "[IP]", "[IP], [IP]"]
+
+
 def test_terms_that_disclose_an_entity(spark, no_docs):
     rows = [(i, f"Report {i} says the Zorblatt office, mail boss@corp.example now and the rest number{i}") for i in range(5)]
     rows += [(10 + i, f"Report {i} says the usual office now and the rest is mail, nothing else {i}") for i in range(40)]
