@@ -146,6 +146,19 @@ def test_repeated_text_of_a_host_goes_and_copies_stay():
     assert len(set(copies)) == 1 and copies[0].startswith("Read about our company")
 
 
+def test_repeats_count_over_the_whole_host(spark, monkeypatch):
+    page = "<html><body><p>Read about our company and its many fine services here</p><p>Unique %s words %s of page %s stand alone %s.</p></body></html>"
+    rows = [(i, f"http://one.example/{i}", page % (i, i * 7, i * 13, i * 17)) for i in range(401)]
+    rows += [(1000 + i, f"http://two.example/{i}", page % (i, i * 7, i * 13, i * 17)) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Unique {i} words {i * 7} of page {i * 13} stand alone {i * 17}." for i in range(401)}
+    want |= {1000 + i: "Read about our company and its many fine services here " + want[i] for i in range(2)}
+    for batch, n in ((400, 1), (5, 7)):
+        monkeypatch.setattr(html_text, "BATCH_PAGES", batch)
+        monkeypatch.setattr(html_text, "partitions_for", lambda _, n=n: n)
+        assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+
+
 def test_suffix_classes_by_brute_force(rng):
     import numpy as np
 
