@@ -125,7 +125,7 @@ def erdos_renyi_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with u as (select distinct user_id as id from events) select id, id % 7 as grp, 0 as mark from u""")
 def vertex_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.sparse_handoff(spark, sf_dir).with_vertex_map("grp", F.col("id") % 7).with_vertex_map("mark", 0)
+    g = datasets.whole_handoff(spark, sf_dir).with_vertex_map("grp", F.col("id") % 7).with_vertex_map("mark", 0)
     return g.vertices
 
 
@@ -142,7 +142,7 @@ def dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_SPARSE} select id, 0 as fresh from sv union all select id + 1000000, 1 from sv where id % 10 = 0")
 def add_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.sparse_handoff(spark, sf_dir).with_vertex_map("fresh", 0)
+    g = datasets.whole_handoff(spark, sf_dir).with_vertex_map("fresh", 0)
     new = g.vertices.where("id % 10 = 0").select((F.col("id") + 1000000).alias("id"), F.lit(1).alias("fresh"))
     return g.add_vertices(new).vertices
 
@@ -256,6 +256,27 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.strongly_connected_components(datasets.sparse_handoff(spark, sf_dir))
 
 
+# the same three over all handoffs; SQL's closure of pairs is too slow for two of them
+
+
+@query(f"""with recursive {_HANDOFF}, r(id) as (select min(user_id) from events union select h.dst from r join h on h.src = r.id)
+select distinct user_id as id, user_id in (select id from r) as reached from events""")
+def whole_bfs_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = datasets.whole_handoff(spark, sf_dir)
+    return traverse.reached(g, traverse.breadth_first_search(g, _least_user(spark, sf_dir)))
+
+
+@query()
+def whole_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = datasets.whole_handoff(spark, sf_dir)
+    return traverse.traversal_forest(g, g.vertices.where("id % 10 = 0"))
+
+
+@query()
+def whole_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.strongly_connected_components(datasets.whole_handoff(spark, sf_dir))
+
+
 @query("select event_id as id, min(event_id) over (partition by user_id) as component from events")
 def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.weakly_connected_components(datasets.chain(spark, sf_dir))

@@ -29,6 +29,11 @@ def handoff(spark: SparkSession, sf_dir: str) -> Graph:
     return from_arcs(handoff_arcs(spark, sf_dir))
 
 
+def whole_handoff(spark: SparkSession, sf_dir: str) -> Graph:
+    """All handoffs over all users, those without any included."""
+    return from_arcs(handoff_arcs(spark, sf_dir), read(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct())
+
+
 def sparse_handoff(spark: SparkSession, sf_dir: str, modulus: int = 50) -> Graph:
     """The handoffs whose rank is a multiple of ``modulus``'s share by hash of the pair: a sparse graph with several strong components."""
     arcs = handoff_arcs(spark, sf_dir).where((F.col("src") * 31 + F.col("dst") * 17) % modulus == 0).distinct()
