@@ -428,6 +428,75 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.weighted_sample(items, 10_000, seed=7)
 
 
+# whole tables: the queries above whose SQL lists cuts, masks or paths read only a part of theirs
+
+
+@query()
+def whole_widest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.shortest_paths(datasets.trade(spark, sf_dir), "w", spark.range(1), MAX_CAPACITY_PATH)
+
+
+@query()
+def whole_reliable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = datasets.trade(spark, sf_dir).with_arc_map("p", F.pow(F.lit(0.5), F.col("w") % 4))
+    return paths.shortest_paths(g, "p", spark.range(1), MOST_RELIABLE_PATH)
+
+
+@query()
+def whole_pareto_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = datasets.trade(spark, sf_dir).with_arc_map("b", F.col("w") % 7).with_arc_map("r", F.col("w") % 5) | views.subgraph(None, "src < dst")
+    return paths.pareto_paths(g, "b", "r", spark.range(1))
+
+
+@query()
+def whole_competing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = datasets.trade(spark, sf_dir).with_arc_map("r", F.col("w") - F.col("w") % 3)
+    return paths.competing_searches(g, "w", "r", spark.range(1), spark.range(12, 13))
+
+
+@query()
+def whole_dominated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem")
+    labels = lines.select((F.col("l_orderkey") % 50).alias("id"), F.col("l_linenumber").cast("long").alias("blue"), (F.col("l_suppkey") % 20).alias("red")).distinct()
+    return paths.is_dominated(labels, labels)
+
+
+def _whole_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = builders.numbered(datasets.trade_arcs(spark, sf_dir).where("src <> dst"), "arc_id", "src", "dst")
+    return named.select(F.lit(1).alias("problem_id"), "arc_id", "src", "dst", F.col("w").alias("capacity"))
+
+
+@query()
+def whole_max_flow_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = flow.max_flow(_whole_trade(spark, sf_dir), _terminals(spark))
+    return flow.flow_value(flows, _terminals(spark)).select("problem_id", F.col("value").cast("long").alias("value"))
+
+
+@query()
+def whole_min_cut_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = flow.max_flow(_whole_trade(spark, sf_dir), _terminals(spark))
+    cut = flow.minimum_cut(flows, "target").groupBy("problem_id").agg(F.sum("capacity").alias("value"))
+    asked = _terminals(spark).select("problem_id")
+    return asked.join(cut, "problem_id", "left").select("problem_id", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+
+
+def _whole_knapsacks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = datasets.knapsack_items(spark, sf_dir, None)
+    return items, items.select("problem_id").distinct().withColumn("budget", F.lit(60).cast("long"))
+
+
+@query()
+def whole_knapsack_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = knapsack.knapsack(*_whole_knapsacks(spark, sf_dir))
+    return taken.groupBy("problem_id").agg(F.sum("value").alias("value"))
+
+
+@query()
+def whole_unbounded_knapsack_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = knapsack.knapsack(*_whole_knapsacks(spark, sf_dir), repeat=True)
+    return taken.groupBy("problem_id").agg(F.sum(F.col("value") * F.col("count")).alias("value"))
+
+
 # geometry and numbers
 
 _SEGMENTS = """s as (select o_orderkey as seg_id, (o_orderkey * 7919) % 4001 as x1, (o_orderkey * 104729 + o_custkey * 31) % 4001 as y1,

@@ -92,11 +92,13 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> Graph:
     return from_arcs(arcs, ids)
 
 
-def knapsack_items(spark: SparkSession, sf_dir: str, per_problem: int = 12) -> DataFrame:
-    """``problem_id, item_id, value, cost``: a problem for each part brand with its first parts (the problem's size is part of its definition)."""
+def knapsack_items(spark: SparkSession, sf_dir: str, per_problem: int | None = 12) -> DataFrame:
+    """``problem_id, item_id, value, cost``: a problem for each part brand, with its first parts or (None) all of them."""
     part = read(spark, sf_dir, "part")
     place = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
-    return part.withColumn("k", place).where(F.col("k") <= per_problem).select(
+    if per_problem is not None:
+        part = part.withColumn("k", place).where(F.col("k") <= per_problem)
+    return part.select(
         F.col("p_brand").alias("problem_id"), F.col("p_partkey").alias("item_id"),
         F.floor("p_retailprice").cast("long").alias("value"), F.col("p_size").cast("long").alias("cost"),
     )
