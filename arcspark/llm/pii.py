@@ -1,20 +1,19 @@
 """Operator 9: information-theoretic sanitisation, in DataFrame functions only.
 
 Base entities (email, ip, card, phone) are found by pattern in every whole text. From the
-corpus, the strength with which a term near an entity reveals it is estimated by pointwise
-mutual information over documents,
+corpus, the strength with which a term reveals one is estimated by pointwise mutual
+information over whole documents,
 
     PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e))),    IC(e) = -log2(n(e) / N),
 
-with n(t, e) the documents in which t stands within ``WINDOW`` code points of e, n(t) all
-documents that hold t, and n(e) those that hold e. A term with PMI / IC of at least
-``DISCLOSURE``, seen in at least ``SUPPORT`` different contexts of e, discloses it: its
-occurrences near e become spans of kind ``term``. Copies of a context count once for the
-support, so repeated rows prove nothing. Sanitising generalises entities to their kind and
-replaces disclosing terms by a placeholder.
+with n(t, e) the documents that hold t and e, n(t) all that hold t, and n(e) those that hold
+e. A term with PMI / IC of at least ``DISCLOSURE``, seen in at least ``SUPPORT`` different
+contexts, discloses e: all its occurrences in all texts become spans of kind ``term``. A
+context is the text within ``WINDOW`` code points of e with the words next to the term;
+copies of one count once for the support, so repeated rows prove nothing. Sanitising
+generalises entities to their kind and replaces disclosing terms by a placeholder.
 
-Spans are in code points, end exclusive. Only spans and windows leave the text scans, never
-whole texts; counts are aggregated map-side first, as one entity may be in a third of the
+Spans are in code points, end exclusive. Counts are aggregated map-side first, as one entity may be in a third of the
 rows, and joins on entities can be split when skewed.
 
 Defined cases: null text counts as empty; rows that share ``doc_id`` and text get the same
@@ -69,6 +68,12 @@ def placed(text: Column, found: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, folded).otherwise(none)
 
 
+def words(text: Column) -> Column:
+    """The terms of a text outside base spans, in lower case and in order; of the base kinds only emails hold letters."""
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.transform(matches(bare, TERM), F.lower)
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -110,9 +115,10 @@ def joined(spans: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, spans, windows``: base spans by kind and start, and the text around each.
+    """``doc_id, text_key, spans, windows, words``: base spans by kind and start, a hash of the text around each, and the terms.
 
-    ``spans``: (kind, s, e, entity); ``windows``: for each, the text from ``at`` on.
+    ``spans``: (kind, s, e, entity); ``windows``: for each, a hash of the text around it; ``words``: all
+    terms in order, of rows with spans only.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -129,70 +135,88 @@ def entities(docs: DataFrame) -> DataFrame:
 
     def window(x: Column) -> Column:
         at = F.greatest(x["s"] - WINDOW, F.lit(0))
-        return F.struct(at.alias("at"), F.substring(F.col("text"), at + 1, x["e"] - at + WINDOW).alias("around"))
-
-    return rows.select("doc_id", "text_key", "spans", F.transform("spans", window).alias("windows"))
-
-
-def nearby_terms(found: DataFrame) -> DataFrame:
-    """``doc_id, text_key, kind, entity, context, term, s, e``: whole terms near base spans, outside all of them."""
-    each = found.where(F.size("spans") > 0).select(
-        "doc_id", "text_key", "spans", F.explode(F.arrays_zip("spans", "windows")).alias("x")
-    ).select("doc_id", "text_key", "spans", F.col("x.spans").alias("own"), "x.windows.at", "x.windows.around")
-    each = each.withColumn("m", matches(F.col("around"), TERM))
-    each = each.withColumn("terms", placed(F.col("around"), F.col("m"), TERM))
-    length = F.char_length("around")
-    full_right = F.col("own.e") - F.col("at") + WINDOW
-    whole = F.filter(
-        "terms",
-        lambda t: ((t["s"] > 0) | (F.col("at") == 0))
-        & ((t["e"] < length) | (length < full_right))
-        & ~F.exists("spans", lambda b: (b["s"] < t["e"] + F.col("at")) & (t["s"] + F.col("at") < b["e"])),
-    )
-    return each.select(
-        "doc_id", "text_key", "own.kind", "own.entity", F.xxhash64("around").alias("context"), "at", F.explode(whole).alias("t")
-    ).select(
-        "doc_id", "text_key", "kind", "entity", "context", F.lower("t.value").alias("term"),
-        (F.col("t.s") + F.col("at")).alias("s"), (F.col("t.e") + F.col("at")).alias("e"),
-    )
+        return F.xxhash64(F.substring(F.col("text"), at + 1, x["e"] - at + WINDOW))
+
+    held = F.when(F.size("spans") > 0, words(F.col("text"))).otherwise(none)
+    return rows.select("doc_id", "text_key", "spans", F.transform("spans", window).alias("windows"), held.alias("words"))
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """``term, n_t``: in how many rows each term stands, over all whole texts."""
-    words = F.array_distinct(matches(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), TERM))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    held = F.array_distinct(words(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``kind, entity, term, strength`` of the pairs that reach both thresholds."""
+def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``kind, entity, term, strength`` of the pairs that reach both thresholds.
+
+    n(t, e) is at most n(e), so n(t) of a disclosing term is at most n(e) (N / n(e)) ^ (1 - ``disclosure``);
+    that and the support prune terms and entities before they meet, and lose no pair.
+    """
     named = ["kind", "entity"]
     n = found.count()
-    by_doc = near.groupBy(*named, "term", "doc_id", "text_key").agg(F.min("context").alias("context"))
-    by_context = by_doc.groupBy(*named, "term", "context").agg(F.count("*").alias("n"))
-    together = by_context.groupBy(*named, "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts"))
-    together = together.where(F.col("contexts") >= support)
-    held = found.select("doc_id", F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"))))).alias("x"))
-    having = held.groupBy("x.kind", "x.entity").agg(F.count("*").alias("n_e"))
-    known = together.join(having, named).join(document_counts(docs), "term")
     total = F.lit(float(max(n, 1)))
+    rows = found.where(F.size("spans") > 0).withColumn("row", F.xxhash64("doc_id", "text_key"))
+    each = rows.select("row", "doc_id", F.explode(F.arrays_zip("spans", "windows")).alias("x")).select("row", "x.spans.kind", "x.spans.entity", "x.windows")
+    held = rows.select(F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"))))).alias("x"))
+    having = held.groupBy("x.kind", "x.entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    holds = each.groupBy("row", *named).agg(F.min("windows").alias("near")).join(having, named)
+    holds = materialise(holds.withColumn("most", F.col("n_e") * F.pow(total / F.col("n_e"), 1 - disclosure) * (1 + 1e-9)), "holds")
+    if holds.isEmpty():
+        return holds.select(*named, F.lit("").alias("term"), F.lit(0.0).alias("strength"))
+    bound = holds.agg(F.max("most")).first()[0]
+    spread = document_counts(docs).where((F.col("n_t") >= support) & (F.col("n_t") <= bound))
+    terms = rows.join(holds.select("row").distinct(), "row", "left_semi").select("row", "words", F.posexplode("words").alias("at", "term"))
+    around = F.xxhash64(F.slice("words", F.greatest(F.col("at") - 3, F.lit(1)), F.lit(9)))
+    terms = terms.select("row", "term", around.alias("around")).groupBy("row", "term").agg(F.min("around").alias("around"))
+    met = terms.join(spread, "term").join(holds, "row").where("n_t <= most")
+    by_context = met.groupBy(*named, "term", F.xxhash64("near", "around").alias("context")).agg(
+        F.count("*").alias("n"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")
+    )
+    known = by_context.groupBy(*named, "term").agg(
+        F.sum("n").alias("n_te"), F.count("*").alias("contexts"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")
+    ).where(F.col("contexts") >= support)
     pmi = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     carried = -F.log2(F.col("n_e") / total)
     strength = F.when(carried > 0, pmi / carried).otherwise(F.lit(0.0))
     return known.withColumn("strength", F.least(strength, F.lit(1.0))).where(F.col("strength") >= disclosure).select(*named, "term", "strength")
 
 
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``doc_id, text_key, at``: arrays of (s, e) of every occurrence of the terms, for the rows that have any."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
+    each = rows.select("doc_id", "text_key", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    hit = each.join(terms, "term").groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("told"))
+    hit = hit.withColumnsRenamed({"doc_id": "whose", "text_key": "of"})
+    both = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("whose")) & (F.col("text_key") == F.col("of"))).dropDuplicates(["doc_id", "text_key"])
+    both = both.withColumn("m", matches(F.col("text"), TERM))
+    both = both.withColumn("steps", F.zip_with(
+        F.slice(F.split("text", TERM, -1), F.lit(1), F.size("m")), "m", lambda gap, value: F.struct(gap.alias("gap"), value.alias("value"))
+    ))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.char_length(x["gap"])
+        e = s + F.char_length(x["value"])
+        fresh = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))
+        return F.struct(e.alias("at"), F.when(F.array_contains("told", F.lower(x["value"])), fresh).otherwise(acc["out"]).alias("out"))
+
+    at = F.aggregate("steps", F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+    return both.select("doc_id", "text_key", at.alias("at"))
+
+
 def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``doc_id, text_key, base, terms``: arrays of (kind, s, e), base and added, for every row of ``docs``."""
     found = materialise(entities(docs), "entities")
-    near = materialise(nearby_terms(found), "terms")
-    pairs = disclosing(docs, found, near, support, disclosure)
-    told = near.join(pairs, ["kind", "entity", "term"]).select("doc_id", "text_key", "s", "e").distinct()
-    added = told.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_list(F.struct("s", "e"))).alias("added")
-    )
+    told = materialise(disclosing(docs, found, support, disclosure).select("term").distinct(), "told")
     base = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    terms = F.transform("added", lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
+    if told.isEmpty():
+        return found.select("doc_id", "text_key", base.alias("base"), none.alias("terms"))
+    added = occurrences(docs, told)
+    free = F.filter("at", lambda t: ~F.exists("spans", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    terms = F.transform(free, lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     on = found["doc_id"].eqNullSafe(added["doc_id"]) & (found["text_key"] == added["text_key"])
     return found.join(added, on, "left").select(
         found["doc_id"], found["text_key"], base.alias("base"), F.coalesce(terms, none).alias("terms")

@@ -77,6 +77,21 @@ def test_terms_that_disclose_an_entity(spark, no_docs):
     assert pii.digests(pii.find(no_docs)).collect() == [] and pii.sanitise(no_docs).collect() == []
 
 
+def test_disclosing_terms_anywhere(spark):
+    far = "Some words in between that fill more than the window of sixty-four code points on either side. "
+    rows = [(i, f"Zorblatt{' and more' * i} opens {i}. {far}Mail boss@corp.example now {'x' * (i + 3)}. {far}zorblatt ends") for i in range(5)]
+    rows += [(10 + i, f"Report {i} says the usual and more opens now mail some words in between ends") for i in range(40)]
+    rows += [(60, "A text that holds Zorblatt alone"), (61, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[60].endswith("holds [TERM] alone")
+    assert all("orblatt" not in t for t in clean.values()) and clean[0].startswith("[TERM] opens 0.")
+    assert all(clean[i] == text[i] for i in range(10, 50))
+    copies = spark.createDataFrame([(i, rows[0][1]) for i in range(5)] + rows[5:45], "doc_id long, text string")
+    assert all(r.n_term == 0 for r in pii.digests(pii.find(copies)).collect())
+
+
 def test_sanitise_keeps_rows_and_columns(odd_docs):
     out = pii.sanitise(odd_docs)
     assert out.columns == odd_docs.columns
