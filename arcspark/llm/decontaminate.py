@@ -4,18 +4,19 @@ Words are canonicalised: numbers become a number placeholder, title-case words i
 sentence a name placeholder, and words of measure after a number a unit placeholder; what a
 placeholder replaced is its slot's value. Windows of ``WINDOW`` canonical words (with enough
 literal ones) of benchmark items and of whole documents are hashed and joined on the hash.
-Windows of one item that meet a document on the same diagonal (document position minus item
-position) form an alignment, and its slots are checked: a slot value of the item must stand
-for one value throughout. So a question with other numbers or names is caught, while text
-that only shares a pattern of placeholders isn't.
+Windows of the words as they stand are joined too, so that short items and passages dense in
+numbers or names are found when copied. Windows of one item that meet a document on
+the same diagonal (document position minus item position) form an alignment, and its slots
+are checked: a slot value of the item must stand for one value throughout. So a question with other numbers or names is
+caught, while text that only shares a pattern of placeholders isn't.
 
-A document is contaminated by an item when an alignment with consistent slots covers
-``RUN`` words of the item, or the given share of it where it is shorter.
+A document is contaminated by an item when an alignment covers ``RUN`` words of the item, or
+the given share of it where it is shorter.
 
 Tasks test their windows against a bit table of fixed size made from all benchmark windows
 and send only those that it may hold to the join; a full table would cost time and drop
-nothing. Items of fewer than ``WINDOW`` words are matched by windows of their own length,
-down to ``LEAST`` literal words; shorter ones can't be told from chance and match nothing.
+nothing. Items of fewer than ``WINDOW`` words are matched by windows of their own length.
+Windows of numbers alone match nothing.
 
 Defined cases: null texts hold no words; an empty benchmark or table gives no matches;
 repeated rows of a document or an item count once; other columns are not read by
@@ -32,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arcspark.llm.common import WordCache, claim, small_batches
@@ -80,8 +80,8 @@ def _begin() -> None:
     claim(_WORDS)
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Template hashes, which of them are placeholders, and the words, of a whole text."""
+def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Template hashes, which of them are placeholders, the words, their own hashes, and which are numbers, of a whole text."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
     codes = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
     flags = (codes & _FLAGS).astype(np.uint8)
@@ -102,7 +102,7 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     out = codes & ~_FLAGS
     for mask, kind in ((number, "<number>"), (name, "<name>"), (unit, "<unit>")):
         out[mask] = np.uint64(_NAMED[kind])
-    return out, number | name | unit, words
+    return out, number | name | unit, words, codes & ~_FLAGS, number
 
 
 def windows(hashes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,34 +119,43 @@ def windows(hashes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray
     return h, literal >= min(size, max(LEAST, (size + 1) // 2))
 
 
+def verbatim(words: np.ndarray, number: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``size`` words as they stand, and where not all of them are numbers."""
+    h, _ = windows(words ^ _FOLD, number, size)
+    held = np.concatenate([[0], np.cumsum(~number)])
+    return h, held[size:] > held[:-size] if len(h) else np.zeros(0, bool)
+
+
 def _value(word: bytes) -> str:
     return word.strip(_PUNCTUATION).decode("utf-8", "replace").lower()
 
 
-HITS = "id long, size int, hash long, pos int, slots array<struct<at:int,value:string>>"
+HITS = "id long, size int, hash long, pos int, template boolean, slots array<struct<at:int,value:string>>"
 
 
 def _rows(doc_id: int, text: str | None, sizes: tuple[int, ...], table: np.ndarray | None) -> Iterator[tuple]:
-    hashes, slot, words = canonical(text)
+    hashes, slot, words, own, number = canonical(text)
     for size in sizes:
-        h, good = windows(hashes, slot, size)
-        if table is not None:
-            good = good & table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-        for i in np.flatnonzero(good).tolist():
-            slots = [{"at": int(k), "value": _value(words[i + k])} for k in np.flatnonzero(slot[i : i + size])]
-            yield doc_id, size, int(h[i].astype(np.int64)), i, slots
+        for template in (True, False):
+            h, good = windows(hashes, slot, size) if template else verbatim(own, number, size)
+            if table is not None:
+                good = good & table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+            for i in np.flatnonzero(good).tolist():
+                at = np.flatnonzero(slot[i : i + size]) if template else ()
+                slots = [{"at": int(k), "value": _value(words[i + k])} for k in at]
+                yield doc_id, size, int(h[i].astype(np.int64)), i, template, slots
 
 
 def _found(df: DataFrame, key: str, sizes: tuple[int, ...], table: np.ndarray | None) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(table)
     small_batches(df.sparkSession)
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())])))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                names=["id", "size", "hash", "pos", "slots"],
+                names=["id", "size", "hash", "pos", "template", "slots"],
             )
 
         _begin()
@@ -176,10 +185,38 @@ def _lengths(benchmark: DataFrame) -> DataFrame:
     return part.mapInArrow(run, "item_id long, words int").groupBy("item_id").agg(F.max("words").alias("words"))
 
 
+def judged(hits: list[tuple], need: int) -> tuple[int, int, bool] | None:
+    """``covered, n_slots, changed`` of the best alignment of one item and document that covers ``need`` words.
+
+    A hit is (pos, item_pos, size, given slots, asked slots). A slot value must stand for one value on its diagonal.
+    """
+    lines: dict[int, list[tuple]] = {}
+    for hit in hits:
+        lines.setdefault(hit[0] - hit[1], []).append(hit)
+    best = None
+
+    def tried(some: list[tuple]) -> bool:
+        nonlocal best
+        stands: dict[str, str] = {}
+        pairs = [(a["value"], g["value"], a["at"] < 0) for _, _, _, given, asked in some for g, a in zip(given, asked, strict=True)]
+        for asked, given, _ in pairs:
+            if stands.setdefault(asked, given) != given:
+                return False
+        covered = len({i for _, at, size, _, _ in some for i in range(at, at + size)})
+        if covered >= need:
+            found = covered, len({a for a, _, _ in pairs}), any(a != g for a, g, _ in pairs)
+            best = found if best is None else max(best, found)
+        return True
+
+    for line in lines.values():
+        tried(line)
+    return best
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN, share: float = SHARE) -> DataFrame:
     """``doc_id, item_id, covered, item_words, n_slots, reparameterised, contaminated``, a row for each contaminating pair."""
     lengths = materialise(_lengths(benchmark), "items")
-    short = sorted(r[0] for r in lengths.where(f"words < {window} and words >= {LEAST}").select("words").distinct().collect())
+    short = sorted(r[0] for r in lengths.where(f"words < {window} and words >= 1").select("words").distinct().collect())
     sizes = (*short, window)  # at most ``window`` numbers
     asked = materialise(_found(benchmark, "item_id", sizes, None), "windows")
     asked = asked.join(lengths.withColumnRenamed("item_id", "id"), "id").where(F.col("size") == F.least("words", F.lit(window)))
@@ -188,32 +225,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
     table[[r[0] for r in asked.select(slot.alias("b")).distinct().collect()]] = True  # at most 2^TABLE_BITS numbers
 
     hits = _found(docs, "doc_id", sizes, table)
-    asked = asked.select(F.col("id").alias("item_id"), "size", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "words").dropDuplicates(["item_id", "size", "item_pos"])
-    met = hits.join(asked, ["size", "hash"]).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    met = materialise(met.dropDuplicates(["id", "item_id", "pos", "item_pos"]), "met")
-
-    line = ["id", "item_id", "diagonal"]
-    last = F.lag("item_pos").over(W.partitionBy(*line).orderBy("item_pos"))
-    fresh = F.least("size", F.coalesce(F.col("item_pos") - last, F.col("size")))
-    covered = met.withColumn("fresh", fresh).groupBy(*line).agg(F.sum("fresh").alias("covered"), F.first("words").alias("item_words"))
-    pairs = met.select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).select(
-        *line, F.col("z.item_slots.value").alias("asked"), F.col("z.slots.value").alias("given")
-    ).distinct()
-    slots = pairs.groupBy(*line).agg(
-        F.count("*").alias("n_pairs"), F.count_distinct("asked").alias("n_slots"),
-        F.max(F.col("asked") != F.col("given")).alias("changed"),
-    )
-    lines = covered.join(slots, line, "left").where(F.coalesce(F.col("n_pairs") == F.col("n_slots"), F.lit(True)))
-    enough = F.col("covered") >= F.least(F.lit(run), F.ceil(F.col("item_words") * F.lit(share)))
-    enough = enough & (F.col("covered") >= F.least(F.lit(window), F.col("item_words")))
-    best = lines.where(enough).groupBy(F.col("id").alias("doc_id"), "item_id").agg(
-        F.max(F.struct("covered", F.coalesce("n_slots", F.lit(0)).alias("n"), F.coalesce("changed", F.lit(False)).alias("changed"))).alias("b"),
-        F.max("item_words").alias("item_words"),
-    )
-    return best.select(
-        "doc_id", "item_id", F.col("b.covered").cast("long").alias("covered"), F.col("item_words").cast("long").alias("item_words"),
-        F.col("b.n").cast("long").alias("n_slots"), F.col("b.changed").alias("reparameterised"), F.lit(True).alias("contaminated"),
+    asked = asked.select(F.col("id").alias("item_id"), "size", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "template", "words").dropDuplicates(["item_id", "size", "item_pos", "template"])
+    met = hits.join(asked, ["size", "hash", "template"])
+    each = met.groupBy("id", "item_id", "pos", "item_pos").agg(F.max(F.struct("template", "size", "words", "slots", "item_slots")).alias("m"))
+    pairs = each.groupBy("id", "item_id").agg(
+        F.max("m.words").alias("words"), F.collect_list(F.struct("pos", "item_pos", "m.size", "m.slots", "m.item_slots")).alias("hits")
     )
+    need = F.least(F.lit(run), F.ceil(F.col("words") * F.lit(share)))
+    need = F.greatest(need, F.least(F.lit(window), F.col("words"))).cast("int")
+    widest = F.size(F.array_distinct(F.transform("hits", lambda h: h["item_pos"]))) * F.least(F.lit(window), F.col("words"))
+    pairs = pairs.where(widest >= need).select("id", "item_id", "words", need.alias("need"), "hits")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, item, words, least, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                best = judged([(h["pos"], h["item_pos"], h["size"], h["slots"], h["item_slots"]) for h in found], least)
+                if best:
+                    out.append((doc, item, best[0], words, best[1], best[2], True))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    names = ["doc_id", "item_id", "covered", "item_words", "n_slots", "reparameterised", "contaminated"]
+    return pairs.mapInArrow(judge, "doc_id long, item_id long, covered long, item_words long, n_slots long, reparameterised boolean, contaminated boolean")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

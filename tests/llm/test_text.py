@@ -121,6 +121,14 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
 
+def test_verbatim_leaks(spark):
+    items = [(1, "What is 7 times 8?"), (2, "Name three colours"), (3, "Alpha 12 Beta 15 Gamma 17 Delta 19 Epsilon 23 Zeta 29 Eta 31 Theta 37"), (4, "how many sides has a square")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(10, "asked, What is 7 times 8? now"), (11, "please Name three colours"), (12, "in Alpha 12 Beta 15 Gamma 17 Delta 19 Epsilon 23 Zeta 29 Eta 31 Theta 37 out"), (13, "then How many sides has a square"), (14, "What is 7 times 9? Name two colours")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == {(10, 1), (11, 2), (12, 3), (13, 4)}
+
+
 def test_leaks_by_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
