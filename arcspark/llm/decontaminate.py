@@ -6,8 +6,9 @@ placeholder replaced is its slot's value. Windows of ``WINDOW`` canonical words
 literal ones) of benchmark items and of whole documents are hashed and joined on the hash.
 Windows of the words as they stand are joined too, so that short items and passages dense in
 numbers or names are found when copied. Windows of one item that meet a document on
-the same diagonal (document position minus item position) form an alignment, and its slots
-are checked: a slot value of the item must stand for one value throughout. So a question with other numbers or names is
+neighbouring diagonals (document position minus item position) form an alignment, and its
+slots are checked: a name or unit of the item must stand for one value throughout, or only
+windows that agree word for word count. So a question with other numbers or names is
 caught, while text that only shares a pattern of placeholders isn't.
 
 A document is contaminated by an item when an alignment covers ``RUN`` words of the item, or
@@ -142,7 +143,8 @@ def _rows(doc_id: int, text: str | None, sizes: tuple[int, ...], table: np.ndarr
                 good = good & table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
             for i in np.flatnonzero(good).tolist():
                 at = np.flatnonzero(slot[i : i + size]) if template else ()
-                slots = [{"at": int(k), "value": _value(words[i + k])} for k in at]
+                # numbers are told from names by a place below 0
+                slots = [{"at": -1 - int(k) if number[i + k] else int(k), "value": _value(words[i + k])} for k in at]
                 yield doc_id, size, int(h[i].astype(np.int64)), i, template, slots
 
 
@@ -185,22 +187,31 @@ def _lengths(benchmark: DataFrame) -> DataFrame:
     return part.mapInArrow(run, "item_id long, words int").groupBy("item_id").agg(F.max("words").alias("words"))
 
 
-def judged(hits: list[tuple], need: int) -> tuple[int, int, bool] | None:
+def judged(hits: list[tuple], need: int, band: int) -> tuple[int, int, bool] | None:
     """``covered, n_slots, changed`` of the best alignment of one item and document that covers ``need`` words.
 
-    A hit is (pos, item_pos, size, given slots, asked slots). A slot value must stand for one value on its diagonal.
+    A hit is (pos, item_pos, size, given slots, asked slots). Diagonals less than ``band`` apart
+    are one alignment, so that inserted and lost words don't split it. Names and units must
+    stand for one value throughout; numbers may differ place by place. Where they don't, each
+    diagonal is tried alone, and windows that agree word for word count in any case.
     """
     lines: dict[int, list[tuple]] = {}
     for hit in hits:
         lines.setdefault(hit[0] - hit[1], []).append(hit)
+    groups: list[list[int]] = []
+    for d in sorted(lines):
+        if groups and d - groups[-1][-1] < band:
+            groups[-1].append(d)
+        else:
+            groups.append([d])
     best = None
 
     def tried(some: list[tuple]) -> bool:
         nonlocal best
         stands: dict[str, str] = {}
         pairs = [(a["value"], g["value"], a["at"] < 0) for _, _, _, given, asked in some for g, a in zip(given, asked, strict=True)]
-        for asked, given, _ in pairs:
-            if stands.setdefault(asked, given) != given:
+        for asked, given, number in pairs:
+            if not number and stands.setdefault(asked, given) != given:
                 return False
         covered = len({i for _, at, size, _, _ in some for i in range(at, at + size)})
         if covered >= need:
@@ -208,8 +219,11 @@ def judged(hits: list[tuple], need: int) -> tuple[int, int, bool] | None:
             best = found if best is None else max(best, found)
         return True
 
-    for line in lines.values():
-        tried(line)
+    for group in groups:
+        if not tried([h for d in group for h in lines[d]]):
+            for d in group:
+                tried(lines[d])
+            tried([h for d in group for h in lines[d] if [x["value"] for x in h[3]] == [x["value"] for x in h[4]]])
     return best
 
 
@@ -240,7 +254,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
         for batch in batches:
             out = []
             for doc, item, words, least, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                best = judged([(h["pos"], h["item_pos"], h["size"], h["slots"], h["item_slots"]) for h in found], least)
+                best = judged([(h["pos"], h["item_pos"], h["size"], h["slots"], h["item_slots"]) for h in found], least, window)
                 if best:
                     out.append((doc, item, best[0], words, best[1], best[2], True))
             columns = list(zip(*out, strict=True)) if out else [()] * 7

@@ -129,6 +129,16 @@ def test_verbatim_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == {(10, 1), (11, 2), (12, 3), (13, 4)}
 
 
+def test_leaks_with_changed_places(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(60)]
+    named = [*words[:10], "Alice", *words[10:40], "Alice", *words[40:]]
+    twice = "if a shop sells 5 apples and 5 pears to each man who comes in then what is left"
+    items = spark.createDataFrame([(1, " ".join(named)), (2, twice), (3, " ".join(words[:20]))], "item_id long, text string")
+    docs = [(10, " ".join([*named[:41], "Erin", *named[42:]])), (11, twice.replace("5 apples and 5", "7 apples and 3")), (12, " ".join([*words[:10], "more", *words[10:20]]))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(10, 1), (11, 2), (12, 3)} <= {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()}
+
+
 def test_leaks_by_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
