@@ -252,6 +252,15 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     return arrow_map(whole, rows, "a long, b long").distinct()
 
 
+def _shared(heads: DataFrame, reps: DataFrame) -> DataFrame:
+    """``a, b``: links between the classes of one ``doc_id``, which can have several texts."""
+    rows = heads.where("n > 0 and doc_id is not null").select("doc_id", "key")
+    several = rows.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc_id")
+    own = rows.join(several, "doc_id").distinct().join(reps.select("key", "id"), "key")
+    least = own.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return own.join(least, "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
 def components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document; exact at Jaccard >= percent/100."""
     levels = docs.sparkSession.sparkContext.broadcast(rarity(docs, words))  # 2^SKETCH_BITS bytes
@@ -296,7 +305,7 @@ def components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     pairs = materialise(pairs, "candidates")
     more = materialise(_verified(pairs, reps, sets, percent), "links")
 
-    found = component_labels(links.unionByName(more), "a", "b")
+    found = component_labels(links.unionByName(more).unionByName(_shared(heads, reps)), "a", "b")
     by_key = reps.select("key", "id").join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     return heads.select("doc_id", "n", "key").join(by_key, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),

@@ -76,3 +76,9 @@ def test_odd_rows(odd_docs, no_docs):
     kept = jaccard.keep_first(odd_docs, 3, 90)
     assert kept.columns == odd_docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in odd_docs.collect()} - {6}
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(5, one), (5, two), (3, one), (9, two), (7, "something else entirely here")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.components(docs).collect()} == {(3, 3), (5, 3), (9, 3), (7, 7)}
