@@ -192,16 +192,6 @@ def test_repeats_count_over_the_whole_host(spark, monkeypatch):
         assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
 
 
-def test_suffix_classes_by_brute_force(rng):
-    import numpy as np
-
-    stream = [rng.randrange(4) for _ in range(300)]
-    for depth in (1, 2, 3, 6):
-        rank = html_text.suffix_classes(np.array(stream), depth)
-        order = sorted({tuple(stream[i : i + depth]) for i in range(300)})
-        assert [order[r] for r in rank] == [tuple(stream[i : i + depth]) for i in range(300)]
-
-
 def test_article_text_by_its_markup(spark):
     import html
 
