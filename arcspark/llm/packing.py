@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcspark.llm.common import small_batches
-from arcspark.llm.tokens import encoder
+from arcspark.llm.tokens import encoder, slices, with_end
 from arcspark.plans.scratch import materialise
 
 CAPACITY, OPEN_BINS, PIECES_PER_TASK, END_ID = 2048, 512, 200_000, 0
@@ -69,25 +69,28 @@ class BestFit:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: the pieces of every whole text."""
     small_batches(docs.sparkSession)
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
         for batch in batches:
-            rows: list[tuple[int | None, int, int, int, int]] = []
-            for doc_id, encoded in zip(batch.column(0).to_pylist(), words.encode_many(batch.column(1).to_pylist()), strict=True):
-                ids = memoryview(encoded + end)
-                n = len(ids) // 4
-                rows += [
-                    (doc_id, k, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]))
-                    for k, at in enumerate(range(0, n, capacity))
-                ]
-            if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            at = 0
+            for texts in slices(batch.column(1)):
+                ids, ends = with_end(words.encode_array(texts), end_id)
+                sizes = np.diff(ends)
+                n = -(-sizes // capacity)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(capacity, np.repeat(sizes, n) - start)
+                first, packed = (np.repeat(ends[:-1], n) + start).tolist(), memoryview(ids).cast("B")
+                crc = [zlib.crc32(packed[4 * a : 4 * (a + k)]) for a, k in zip(first, length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    [
+                        batch.column(0).slice(at, len(texts)).take(pa.array(np.repeat(np.arange(len(texts)), n))), pa.array(piece, pa.int32()),
+                        pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()),
+                    ],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+                at += len(texts)
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return kept.mapInArrow(run, PIECES)

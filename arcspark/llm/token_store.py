@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arcspark.llm.common import arrow_map, partitions_for, small_batches
-from arcspark.llm.tokens import encoder
+from arcspark.llm.tokens import encoder, slices, with_end
 from arcspark.plans.scratch import scratch_path
 
 END_ID = 2
@@ -42,28 +42,21 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
 
         part, start, words = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
-            doc_ids, encoded = batch.column(0), words.encode_many(batch.column(1).to_pylist())
             at = 0
-            while at < batch.num_rows:
-                packed, held, first = [], 0, at
-                while at < batch.num_rows and held < 4 << 20:
-                    packed.append(next(encoded))
-                    held += len(packed[-1])
-                    at += 1
-                counts = np.array([len(x) // 4 + 1 for x in packed], dtype=np.int64)
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                values = np.frombuffer(end_id.to_bytes(4, "little").join([*packed, b""]), dtype="<i4")
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            for texts in slices(batch.column(1)):
+                ids, ends = with_end(words.encode_array(texts), end_id)
+                counts = np.diff(ends).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        doc_ids.slice(first, at - first),
+                        batch.column(0).slice(at, len(texts)),
                         pa.array(counts),
-                        ids,
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
                         pa.array(np.full(len(counts), part, np.int32)),
-                        pa.array(start + ends[:-1]),
+                        pa.array(start + ends[:-1].astype(np.int64)),
                     ],
                     names=["doc_id", "n_tokens", "ids", "part", "part_start"],
                 )
+                at += len(texts)
                 start += int(ends[-1])
 
     return docs.mapInArrow(run, schema)

@@ -1,20 +1,28 @@
 """Token ids by a public tokenizer, word by word, with a bounded cache.
 
-The vocabularies used here never join characters across ASCII white space, ignore it and
-the case of letters, and split punctuation that ends a word from the letter or digit before
-it. So the ids of a text are those of its lower-cased white-space-separated words, one after
-the other, and those of a word are those of its core and of its last punctuation. Each
-distinct core is encoded once per worker while it is in the cache.
+A vocabulary whose file has the settings in ``SETTINGS`` never joins characters across ASCII
+white space, ignores it and the case of letters, and splits punctuation that ends a word from
+the letter or digit before it. So the ids of a text are those of its lower-cased
+white-space-separated words, one after the other, and those of a word are those of its core
+and of its last punctuation. Each distinct core is encoded once per worker while it is in the
+cache. A core of Latin-1 letters alone is one word to such a vocabulary and is in normal form
+once it is in lower case, so it goes to the byte-pair model without the normaliser and the splitter,
+many at once and told apart by a digit between them. Texts for any other vocabulary are
+encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import string
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from arcspark.llm.common import _CACHES, claim
 
@@ -23,16 +31,33 @@ CACHE_WORDS = 400_000
 TOKENIZER = "word_bpe_49k.json"
 _PUNCTUATION = string.punctuation.encode()
 _ASCII_CORE = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-
-
-def _core(word: bytes) -> bytes:
-    """The word without its last ASCII punctuation, if a letter or digit comes before that."""
-    core = word.rstrip(_PUNCTUATION)
-    if not core or len(core) == len(word) or b"<|" in word:
-        return word
-    if core[-1] in _ASCII_CORE or core[-1] > 127 and core.decode("utf-8", "replace").lower()[-1].isalpha():
-        return core
-    return word
+#: The normaliser and splitter (as in the vocabulary file) that the above holds for.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+#: UTF-8 of lower-case ASCII letters and of Latin-1 letters.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++")
+#: How byte-level vocabularies write the bytes that don't print: in order, from 256 on.
+_BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173]) if b > 32}
+_AT_ONCE, SLICE_BYTES = 2000, 4 << 20
+
+
+def _cores(words: list[bytes]) -> list[bytes]:
+    """The words without their last ASCII punctuation, where a letter or digit comes before that."""
+    trimmed = pc.ascii_rtrim(pa.array(words, pa.binary()).view(pa.string()), string.punctuation).view(pa.binary()).to_pylist()
+    return [core if len(core) == len(word) or _parts(word, core) else word for word, core in zip(words, trimmed, strict=True)]
+
+
+def _parts(word: bytes, core: bytes) -> bool:
+    if not core or b"<|" in word:
+        return False
+    return core[-1] in _ASCII_CORE or core[-1] > 127 and core.decode("utf-8", "replace").lower()[-1].isalpha()
 
 
 class WordEncoder:
@@ -43,6 +68,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._by_word, self._letters = self._settings(), None
         self._ids: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
         _CACHES.append(self)
@@ -53,78 +79,126 @@ class WordEncoder:
     def clear(self) -> None:
         self._ids, self._older = {}, {}
 
+    def _settings(self) -> bool:
+        """Whether the vocabulary may be used word by word."""
+        told = json.loads(self._tokenizer.to_str())
+        plain = all(told["model"].get(k) in (None, False, "") for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        return plain and told["model"]["type"] == "BPE" and told["post_processor"] is None and all(told[k] == v for k, v in SETTINGS.items())
+
+    def _encode_letters(self, words: list[bytes]) -> None:
+        """Ids of words of Latin-1 letters, by the model itself."""
+        if self._letters is None:
+            from tokenizers import Tokenizer
+            from tokenizers.pre_tokenizers import WhitespaceSplit
+
+            self._letters = Tokenizer(self._tokenizer.model)
+            self._letters.pre_tokenizer = WhitespaceSplit()
+        mark = self._letters.encode("1", add_special_tokens=False).ids
+        for k in range(0, len(words), _AT_ONCE):
+            part = words[k : k + _AT_ONCE]
+            text = b" 1 ".join([*part, b""]).decode()
+            if not text.isascii():
+                text = text.lower().encode().decode("latin-1").translate(_BYTES)
+            ids = np.array(self._letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == mark[0])
+            packed, at = ids.tobytes(), (4 * ends).tolist()
+            self._ids.update(zip(part, map(packed.__getitem__, map(slice, [0, *(x + 4 for x in at)], at)), strict=True))
+
     def _tokenize(self, words: list[bytes]) -> None:
-        found = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for word, encoding in zip(words, found, strict=True):
+        letters, latin, rest = [], [], []
+        for word in words:
+            (rest if not _WORD.fullmatch(word) else letters if word.isascii() else latin).append(word)
+        self._encode_letters(letters)
+        self._encode_letters(latin)
+        found = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        for word, encoding in zip(rest, found, strict=True):
             self._ids[word] = np.array(encoding.ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Put the ids of these words into the cache, from the older generation where it has them."""
+    def _learn(self, words: list[bytes]) -> None:
+        """Put the ids of these distinct words into the cache, from the older generation where it has them."""
         if len(self._ids) + 2 * len(words) > CACHE_WORDS:
             self._ids, self._older = {}, self._ids
-        ids, older, split, wanted = self._ids, self._older, [], set()
-        for word in words:
-            known = older.get(word)
-            if known is not None:
-                ids[word] = known
-                continue
-            core = _core(word)
+        ids, older, split = self._ids, self._older, []
+        words = self._remembered(words)
+        wanted = set()
+        for word, core in zip(words, _cores(words), strict=True):
+            wanted.add(core)
             if len(core) < len(word):
                 tail = word[len(core) :]
                 split.append((word, core, tail))
-                wanted.add(core)
                 wanted.add(tail)
-            else:
-                wanted.add(word)
-        fresh = []
-        for word in wanted:
-            if word not in ids:
-                known = older.get(word)
-                if known is None:
-                    fresh.append(word)
-                else:
-                    ids[word] = known
-        self._tokenize(fresh)
-        for word, core, tail in split:
-            ids[word] = ids[core] + ids[tail]
+        self._tokenize(self._remembered([word for word in wanted if word not in ids]))
+        ids.update([(word, ids[core] + ids[tail]) for word, core, tail in split])
+
+    def _remembered(self, words: list[bytes]) -> list[bytes]:
+        """Move what the older generation has of these words to the cache; the others."""
+        if not self._older:
+            return words
+        found = list(map(self._older.get, words))
+        self._ids.update([(word, x) for word, x in zip(words, found, strict=True) if x is not None])
+        return [word for word, x in zip(words, found, strict=True) if x is None]
 
     def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
         ids = list(map(self._ids.get, words))
         if None in ids:
             holes = [i for i, x in enumerate(ids) if x is None]
-            self._learn({words[i] for i in holes})
+            self._learn([words[i] for i in holes])
             for i in holes:
                 ids[i] = self._ids[words[i]]
         return ids
 
+    def encode_array(self, texts: pa.Array) -> pa.ListArray:
+        """Lists of int32 ids of whole texts (UTF-8 as binary), in order; null is empty."""
+        if not self._by_word:
+            found = [self._tokenizer.encode_batch_fast([(x or b"").decode("utf-8", "replace")], add_special_tokens=False)[0].ids for x in texts.to_pylist()]
+            return pa.array(found, pa.list_(pa.int32()))
+        raw = pc.fill_null(texts, b"").view(pa.string())
+        special = pc.match_substring(raw, "<|")  # special tokens are told by case
+        lower = pc.ascii_lower(raw)
+        split = pc.ascii_split_whitespace(pc.if_else(special, raw, lower) if pc.any(special).as_py() else lower)
+        words = split.values.dictionary_encode()
+        found = self._looked_up(words.dictionary.view(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(found))])
+        )
+        ids = lists.take(words.indices).flatten()
+        ends = np.concatenate([[0], np.cumsum(sizes[words.indices.to_numpy()])])[split.offsets.to_numpy()]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+
     def encode_many(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Ids of whole texts, in order; null is empty. Looks up up to 65,536 words at once."""
-        waiting: list[int] = []
-        words: list[bytes] = []
-        for raw in texts:
-            raw = raw or b""
-            own = (raw if b"<|" in raw else raw.lower()).split()  # special tokens are told by case
-            if waiting and len(words) + len(own) > 1 << 16:
-                yield from self._joined(words, waiting)
-                words, waiting = [], []
-            if len(own) > 1 << 16:
-                yield b"".join(b"".join(self._looked_up(own[at : at + (1 << 16)])) for at in range(0, len(own), 1 << 16))
-            else:
-                words += own
-                waiting.append(len(own))
-        yield from self._joined(words, waiting)
-
-    def _joined(self, words: list[bytes], sizes: list[int]) -> Iterator[bytes]:
-        ids, at = self._looked_up(words), 0
-        for n in sizes:
-            yield b"".join(ids[at : at + n])
-            at += n
+        """Ids of whole texts as little-endian uint32, in order; null is empty."""
+        for part in slices(pa.array(texts, pa.binary())):
+            found = self.encode_array(part)
+            packed, ends = found.values.to_numpy().tobytes(), found.offsets.to_pylist()
+            yield from (packed[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
     def encode(self, raw: bytes | None) -> bytes:
         """Ids of one whole text."""
         return next(self.encode_many([raw]))
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Slices of an array of bytes with about ``most`` of them at most, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def with_end(lists: pa.ListArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The int32 ids of all texts with ``end_id`` after each, and where each text's begin, with their total."""
+    ends = lists.offsets.to_numpy() + np.arange(len(lists) + 1)
+    out = np.empty(int(ends[-1]), np.int32)
+    last = np.zeros(len(out), bool)
+    last[ends[1:] - 1] = True
+    out[last], out[~last] = end_id, lists.values.to_numpy()
+    return out, ends
+
+
 @lru_cache(maxsize=None)
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

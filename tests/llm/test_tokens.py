@@ -87,3 +87,28 @@ def test_texts_keep_their_order_whatever_their_size():
     texts = [b"", None, b"a b " * 40_000, b"", b"c, d", b"x " * 65_536, b"e"]
     one = [tokens.WordEncoder(PATH).encode(t) for t in texts]
     assert list(e.encode_many(texts)) == one and [len(x) // 4 for x in one] == [0, 0, 80_000, 0, 3, 65_536, 1]
+
+
+def test_words_of_letters_and_slices(rng, monkeypatch):
+    t, e = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH)
+    assert e._by_word
+    letters = "abcxyzàéßÿÉÖÞÃ×÷ªµº1'"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ",", ".)", "<|", "'s"]) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 40]).encode() for i in range(0, 4000, 40)]
+    want = [np.array(t.encode(x.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    assert list(e.encode_many(texts)) == want
+    monkeypatch.setattr(tokens, "_AT_ONCE", 3)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    e = tokens.WordEncoder(PATH)
+    for most in (1, 700):
+        parts = list(tokens.slices(tokens.pa.array([*texts, None, b""], tokens.pa.binary()), most))
+        assert sum(map(len, parts)) == len(texts) + 2 and [x for p in parts for x in p.to_pylist()] == [*texts, None, b""]
+        assert [y for p in parts for y in (np.array(x, dtype="<u4").tobytes() for x in e.encode_array(p).to_pylist())] == [*want, b"", b""]
+
+
+def test_other_vocabularies_encode_whole_texts():
+    other = tokens.tokenizer_path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(other), tokens.WordEncoder(other)
+    assert not e._by_word
+    for text in ("Hello  World, again", "", "x\n y é"):
+        assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
