@@ -56,9 +56,9 @@ def _relaxed(arcs: DataFrame, seeds: DataFrame, semiring: Semiring, within: Colu
         won = best.join(labels, "id", "left").where(F.col("dist").isNull() | semiring.better(F.col("new"), F.col("dist")))
         frontier = materialise(won.select("id", F.col("new").alias("dist")), "labels")
         if frontier.isEmpty():
-            return labels
+            break
         labels = materialise(labels.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "labels")
-    raise RuntimeError("labels didn't settle")
+    return labels
 
 
 def _tight(arcs: DataFrame, labels: DataFrame, semiring: Semiring) -> DataFrame:
@@ -186,10 +186,10 @@ def pareto_paths(graph: Graph, blue: str, red: str, sources: DataFrame, max_labe
         fresh = materialise(now.join(kept, ["id", "blue", "red"], "left_anti"), "fresh")
         kept = now
         if fresh.isEmpty():
-            return kept
+            break
         if (kept.groupBy("id").count().agg(F.max("count")).first()[0] or 0) > max_labels:
             raise GraphError(f"a vertex has over {max_labels} labels")
-    raise RuntimeError("labels didn't settle")
+    return kept
 
 
 def is_dominated(fronts: DataFrame, labels: DataFrame) -> DataFrame:

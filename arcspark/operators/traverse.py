@@ -19,12 +19,16 @@ from arcspark.plans.scratch import materialise
 
 #: Arcs of a weak component that a sequential kernel takes.
 TASK_ARCS = 500_000
+#: Hops that a breadth-first search makes by rounds before small components go on in tasks.
+ROUND_HOPS = 24
 
 
 def breadth_first_search(graph: Graph, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``id, dist, pred_arc, pred_vertex`` of the vertices reached from ``sources`` (id).
 
-    The predecessor is the least arc id from the hop before; sources have none.
+    The predecessor is the least arc id from the hop before; sources have none. What is still going on
+    after ``ROUND_HOPS`` rounds is finished by one task for each weak component of at most TASK_ARCS
+    arcs, so that long chains need no round for each hop; larger components go on by rounds.
     """
     none = F.lit(None).cast("long")
     seeds = sources.select("id").distinct().join(graph.vertices.select("id"), "id", "left_semi")
@@ -37,9 +41,49 @@ def breadth_first_search(graph: Graph, sources: DataFrame, max_hops: int | None
         if frontier.isEmpty():
             break
         seen.add(frontier)
+        if hop == ROUND_HOPS:
+            members, _ = _by_size(graph, TASK_ARCS)
+            mine = materialise(members.join(frontier.join(members, "id").select("component").distinct(), "component", "left_semi").select("id", "component"), "small")
+            if not mine.isEmpty():
+                seen.add(materialise(_finished(graph, mine, frontier, seen.table(), max_hops), "bfs"))
+                frontier = materialise(frontier.join(mine.select("id"), "id", "left_anti"), "bfs")
+                if frontier.isEmpty():
+                    break
     return seen.table()
 
 
+def _finished(graph: Graph, members: DataFrame, frontier: DataFrame, seen: DataFrame, max_hops: int | None) -> DataFrame:
+    """What the search finds beyond ``frontier`` in these weak components, one task for each."""
+    left = members.join(seen.select("id"), "id", "left_anti").unionByName(members.join(frontier.select("id"), "id", "left_semi"))
+    left = materialise(left, "left")
+    inside = graph.arcs.select("arc_id", "src", "dst").join(left.select(F.col("id").alias("src"), "component"), "src").join(left.select(F.col("id").alias("dst")), "dst", "left_semi")
+    none = F.lit(None).cast("long")
+    starts = frontier.join(members, "id").select("component", none.alias("arc_id"), F.col("id").alias("src"), F.col("dist").alias("dst"))
+    most = -1 if max_hops is None else max_hops
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.arc_id.isna()
+        dist = {int(u): int(d) for u, d in pdf.loc[first, ["src", "dst"]].itertuples(index=False)}
+        out: dict[int, list[tuple[int, int]]] = {}
+        for arc, u, v in pdf.loc[~first, ["arc_id", "src", "dst"]].astype("int64").itertuples(index=False):
+            out.setdefault(u, []).append((arc, v))
+        level, rows = list(dist), []
+        while level and (most < 0 or dist[level[0]] < most):
+            offers: dict[int, tuple[int, int]] = {}
+            for u in level:
+                for arc, v in out.get(u, ()):
+                    if v not in dist and (v not in offers or (arc, u) < offers[v]):
+                        offers[v] = (arc, u)
+            hop = dist[level[0]] + 1
+            rows += [(v, hop, arc, u) for v, (arc, u) in offers.items()]
+            dist.update(dict.fromkeys(offers, hop))
+            level = list(offers)
+        return pd.DataFrame(rows, columns=["id", "dist", "pred_arc", "pred_vertex"]).astype("int64")
+
+    rows = inside.select("component", "arc_id", "src", "dst").unionByName(starts)
+    return per_group(rows, "component", search, "id long, dist long, pred_arc long, pred_vertex long")
+
+
 def reached(graph: Graph, found: DataFrame) -> DataFrame:
     """``id, reached`` for every vertex, from the result of a search."""
     hit = found.select("id", F.lit(True).alias("reached")).distinct()
@@ -255,9 +299,9 @@ def _least_reaching(arcs: DataFrame, labels: DataFrame) -> DataFrame:
         offered = frontier.select(F.col("id").alias("src"), "label").join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("new"))
         frontier = materialise(offered.join(labels, "id").where("new < label").select("id", F.col("new").alias("label")), "colour")
         if frontier.isEmpty():
-            return labels
+            break
         labels = materialise(labels.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "colour")
-    raise RuntimeError("labels didn't settle")
+    return labels
 
 
 def _coloured(graph: Graph, members: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ task per independent problem, behind a check of the largest problem's size.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,8 +37,11 @@ class Accumulated:
         return out
 
 
-def rounds(limit: int | None = None) -> range:
-    return range(1, (MAX_ROUNDS if limit is None else limit) + 1)
+def rounds(limit: int | None = None) -> Iterator[int]:
+    """1, 2, ... for a loop that ends itself; GraphError where it hasn't after MAX_ROUNDS, unless ``limit`` was asked for."""
+    yield from range(1, (MAX_ROUNDS if limit is None else limit) + 1)
+    if limit is None:
+        raise GraphError(f"not finished after {MAX_ROUNDS} rounds")
 
 
 def per_group(rows: DataFrame, key: str | list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = MAX_TASK_ROWS) -> DataFrame:

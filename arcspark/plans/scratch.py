@@ -16,13 +16,15 @@ _CLEANED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set and all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="arcspark-checkpoint-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()

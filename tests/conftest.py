@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -25,3 +27,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF
+
+
+@pytest.fixture
+def rng():
+    return random.Random(11)
