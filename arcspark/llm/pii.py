@@ -23,6 +23,8 @@ spans; an empty table gives no rows; other columns aren't read by ``find`` and a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ TERM = r"\p{L}{3,}+"
 KINDS = ("email", "ip", "card", "phone")
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 WINDOW, SUPPORT, DISCLOSURE = 64, 3, 0.8
+#: Elements that one fold gathers, and code points of the pieces that a text is rewritten from.
+BLOCK, PIECE = 64, 1024
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -50,22 +54,52 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def placed(text: Column, found: Column, pattern: str) -> Column:
-    """``array<struct<s, e, value>>``: where the matches stand, in code points."""
-    steps = F.zip_with(
-        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found,
-        lambda gap, value: F.struct(F.char_length(gap).alias("gap"), value.alias("value")),
-    )
-    none = F.array().cast("array<struct<s:int,e:int,value:string>>")
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], start: Column) -> Column:
+    """Running results of ``merge`` over an array, starting from ``start``: one for each element, that included.
+
+    Folds copy what they have gathered at each step, so the array is folded in blocks of ``BLOCK``,
+    each from the result over all blocks before it; time grows as the size, not as its square.
+    """
+
+    def grown(some: Column, first: Column) -> Column:
+        return F.aggregate(some, F.array(first), lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x))))
+
+    def joined_up(blocks: Column) -> Column:
+        firsts = grown(F.transform(blocks, lambda b: F.aggregate(b, start, merge)), start)
+        return bound(firsts, lambda f: F.flatten(F.zip_with(
+            blocks, F.slice(f, F.lit(1), F.size(blocks)), lambda b, first: F.slice(grown(b, first), F.lit(2), F.size(b))
+        )))
+
+    def over(v: Column) -> Column:
+        numbers = F.sequence(F.lit(1), F.ceil(F.size(v) / BLOCK).cast("int"))
+        blocks = F.transform(numbers, lambda k: F.slice(v, (k - 1) * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(v) > 0, bound(blocks, joined_up)).otherwise(F.array().cast("array<int>"))
+
+    return bound(values, over)
+
+
+def sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, F.lit(0))
+
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.char_length(x["value"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["value"].alias("value")))
-        return F.struct(e.alias("at"), F.concat(acc["out"], one).alias("out"))
+def gaps(text: Column, found: Column, pattern: str) -> Column:
+    """What stands before each match."""
+    return F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, folded).otherwise(none)
+
+def placed(found: Column, ends: Column) -> Column:
+    """``array<struct<s, e, value>>`` of matches that end at these code points."""
+    return F.zip_with(found, ends, lambda value, e: F.struct((e - F.char_length(value)).alias("s"), e.alias("e"), value.alias("value")))
+
+
+def end_of_each(before: Column, found: Column) -> Column:
+    """Where the matches end, in code points, from what stands before each."""
+    return sums(F.zip_with(before, found, lambda gap, value: F.char_length(gap) + F.char_length(value)))
 
 
 def words(text: Column) -> Column:
@@ -100,12 +134,13 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, found: Column) -> Column:
-    """``array<struct<kind, s, e, entity>>`` of the valid ones among placed matches."""
+def _spans(kind: str, found: Column, near: Column) -> Column:
+    """``array<struct<kind, s, e, entity, near>>`` of the valid ones among placed matches, with a hash of what is around each."""
     entity = F.lower if kind in ("email", "ip") else digits
+    both = F.zip_with(found, near, lambda x, n: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"), n.alias("near")))
     return F.transform(
-        F.filter(found, lambda x: _valid(kind, x["value"])),
-        lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), entity(x["value"]).alias("entity")),
+        F.filter(both, lambda x: _valid(kind, x["value"])),
+        lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), entity(x["value"]).alias("entity"), x["near"].alias("near")),
     )
 
 
@@ -115,30 +150,37 @@ def joined(spans: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, spans, windows, words``: base spans by kind and start, a hash of the text around each, and the terms.
+    """``doc_id, text_key, spans, words``: base spans by kind and start, and the terms.
 
-    ``spans``: (kind, s, e, entity); ``windows``: for each, a hash of the text around it; ``words``: all
-    terms in order, of rows with spans only.
+    ``spans``: (kind, s, e, entity, near), the last a hash of the entity with up to WINDOW code points
+    on either side, as far as the next of its kind; ``words``: all terms in order, of rows with spans only.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
     patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
     none = F.array().cast("array<string>")
-    seen = {
-        f"m_{k}": F.when(F.contains("text", F.lit(HINTS[k])), matches(F.col("text"), p)).otherwise(none)
-        if k in HINTS else matches(F.col("text"), p)
-        for k, p in patterns.items()
-    }
-    rows = rows.withColumns(seen)
-    kept = [_spans(k, placed(F.col("text"), F.col(f"m_{k}"), p)) for k, p in patterns.items()]
-    rows = rows.select("doc_id", "text_key", "text", F.concat(*kept).alias("spans"))
+    for k, p in patterns.items():
+        found = matches(F.col("text"), p)
+        rows = rows.withColumn(f"m_{k}", F.when(F.contains("text", F.lit(HINTS[k])), found).otherwise(none) if k in HINTS else found)
+    empty = F.array().cast("array<struct<kind:string,s:int,e:int,entity:string,near:bigint>>")
+    kept = []
 
-    def window(x: Column) -> Column:
-        at = F.greatest(x["s"] - WINDOW, F.lit(0))
-        return F.xxhash64(F.substring(F.col("text"), at + 1, x["e"] - at + WINDOW))
+    def found_in(k: str) -> Callable[[Column], Column]:
+        m = F.col(f"m_{k}")
 
+        def spans(parts: Column) -> Column:
+            before, after = F.slice(parts, F.lit(1), F.size(m)), F.slice(parts, F.lit(2), F.size(m))
+            around = F.zip_with(before, after, lambda x, y: F.concat(F.right(x, F.lit(WINDOW)), F.lit("|"), F.left(y, F.lit(WINDOW))))
+            near = F.zip_with(around, m, lambda x, value: F.xxhash64(x, value))
+            return _spans(k, placed(m, end_of_each(before, m)), near)
+
+        return spans
+
+    for k, p in patterns.items():
+        kept.append(F.when(F.size(f"m_{k}") > 0, bound(F.split("text", p, -1), found_in(k))).otherwise(empty))
+    rows = rows.select("doc_id", "text_key", "text", F.concat(*kept).alias("spans"))
     held = F.when(F.size("spans") > 0, words(F.col("text"))).otherwise(none)
-    return rows.select("doc_id", "text_key", "spans", F.transform("spans", window).alias("windows"), held.alias("words"))
+    return rows.select("doc_id", "text_key", "spans", held.alias("words"))
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -157,10 +199,12 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclo
     n = found.count()
     total = F.lit(float(max(n, 1)))
     rows = found.where(F.size("spans") > 0).withColumn("row", F.xxhash64("doc_id", "text_key"))
-    each = rows.select("row", "doc_id", F.explode(F.arrays_zip("spans", "windows")).alias("x")).select("row", "x.spans.kind", "x.spans.entity", "x.windows")
-    held = rows.select(F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["entity"].alias("entity"))))).alias("x"))
-    having = held.groupBy("x.kind", "x.entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    holds = each.groupBy("row", *named).agg(F.min("windows").alias("near")).join(having, named)
+    each = rows.select("row", F.explode("spans").alias("x")).select("row", "x.kind", "x.entity", "x.near")
+    # as text, since distinct structs of an array are compared pair by pair
+    once = F.array_distinct(F.transform("spans", lambda x: F.concat(x["kind"], F.lit(":"), x["entity"])))
+    held = rows.select(F.explode(once).alias("x")).groupBy("x").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    having = held.select(F.substring_index("x", ":", 1).alias("kind"), F.expr("substr(x, instr(x, ':') + 1)").alias("entity"), "n_e")
+    holds = each.groupBy("row", *named).agg(F.min("near").alias("near")).join(having, named)
     holds = materialise(holds.withColumn("most", F.col("n_e") * F.pow(total / F.col("n_e"), 1 - disclosure) * (1 + 1e-9)), "holds")
     if holds.isEmpty():
         return holds.select(*named, F.lit("").alias("term"), F.lit(0.0).alias("strength"))
@@ -190,33 +234,31 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     hit = each.join(terms, "term").groupBy("doc_id", "text_key").agg(F.collect_set("term").alias("told"))
     hit = hit.withColumnsRenamed({"doc_id": "whose", "text_key": "of"})
     both = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("whose")) & (F.col("text_key") == F.col("of"))).dropDuplicates(["doc_id", "text_key"])
-    both = both.withColumn("m", matches(F.col("text"), TERM))
-    both = both.withColumn("steps", F.zip_with(
-        F.slice(F.split("text", TERM, -1), F.lit(1), F.size("m")), "m", lambda gap, value: F.struct(gap.alias("gap"), value.alias("value"))
-    ))
-    none = F.array().cast("array<struct<s:int,e:int>>")
+    both = both.withColumn("emails", F.when(F.contains("text", F.lit("@")), matches(F.col("text"), EMAIL)).otherwise(F.array().cast("array<string>")))
+    both = both.withColumn("parts", F.when(F.size("emails") > 0, F.split("text", EMAIL, -1)).otherwise(F.array("text")))
+    both = both.withColumn("first", F.concat(F.array(F.lit(0)), end_of_each(F.slice("parts", F.lit(1), F.size("emails")), F.col("emails"))))
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.char_length(x["gap"])
-        e = s + F.char_length(x["value"])
-        fresh = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))
-        return F.struct(e.alias("at"), F.when(F.array_contains("told", F.lower(x["value"])), fresh).otherwise(acc["out"]).alias("out"))
+    def hits(part: Column, first: Column) -> Column:
+        def told(m: Column) -> Column:
+            at = placed(m, end_of_each(gaps(part, m, TERM), m))
+            mine = F.filter(at, lambda x: F.array_contains("told", F.lower(x["value"])))
+            return F.transform(mine, lambda x: F.struct((first + x["s"]).alias("s"), (first + x["e"]).alias("e")))
 
-    at = F.aggregate("steps", F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return both.select("doc_id", "text_key", at.alias("at"))
+        return bound(matches(part, TERM), told)
+
+    return both.select("doc_id", "text_key", F.flatten(F.zip_with("parts", "first", hits)).alias("at"))
 
 
 def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``doc_id, text_key, base, terms``: arrays of (kind, s, e), base and added, for every row of ``docs``."""
     found = materialise(entities(docs), "entities")
     told = materialise(disclosing(docs, found, support, disclosure).select("term").distinct(), "told")
-    base = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    base = F.transform(F.col("spans"), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     if told.isEmpty():
         return found.select("doc_id", "text_key", base.alias("base"), none.alias("terms"))
     added = occurrences(docs, told)
-    free = F.filter("at", lambda t: ~F.exists("spans", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    terms = F.transform(free, lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    terms = F.transform("at", lambda x: F.struct(F.lit("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     on = found["doc_id"].eqNullSafe(added["doc_id"]) & (found["text_key"] == added["text_key"])
     return found.join(added, on, "left").select(
         found["doc_id"], found["text_key"], base.alias("base"), F.coalesce(terms, none).alias("terms")
@@ -236,19 +278,33 @@ def digests(spans: DataFrame) -> DataFrame:
 
 
 def rewritten(text: Column, spans: Column) -> Column:
-    """The text with each span's place taken by ``[KIND]``; of overlapping spans the first names the place."""
+    """The text with each span's place taken by ``[KIND]``; spans that overlap are one place, named by the first.
+
+    The text is cut from pieces of ``PIECE`` code points, as reaching a place of a string takes time
+    in proportion to what is before it.
+    """
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(held: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        parts = F.transform(F.sequence(first, last), lambda k: F.substring(F.get(held, k), F.greatest(a - k * PIECE, F.lit(0)) + 1, b - F.greatest(a, k * PIECE)))
+        return F.when(b > a, F.array_join(parts, "")).otherwise("")
+
+    def put_together(held: Column, found: Column, until: Column) -> Column:
+        free = F.concat(F.array(F.lit(0)), F.slice(until, F.lit(1), F.size(found) - 1))
+
+        def place(x: Column, at: Column) -> Column:
+            return F.when(x["s"] >= at, F.concat(cut(held, at, x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
 
-    def add(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        fresh = F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+        return F.concat(F.array_join(F.zip_with(found, free, place), ""), cut(held, F.element_at(until, -1), F.char_length(text)))
 
-    def end(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.char_length(text)))), "")
+    def with_ends(held: Column, found: Column) -> Column:
+        ends = running(F.transform(found, lambda x: x["e"]), lambda a, b: F.greatest(a, b), F.lit(0))
+        return bound(ends, lambda until: put_together(held, found, until))
 
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, add, end)).otherwise(text)
+    whole = bound(pieces, lambda held: bound(ordered, lambda found: with_ends(held, found)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:

@@ -244,3 +244,31 @@ def test_thresholds_are_ordered_and_tails_fall():
 @pytest.mark.parametrize("word,kind", [("12", "NUMBER"), ("3.5kg", "NUMBER"), ("Alice,", "TITLE"), ("km", "UNIT"), ("---", "BLANK")])
 def test_word_classes(word, kind):
     assert decontaminate._code(word.encode()) & 31 & getattr(decontaminate, kind)
+
+
+def test_many_entities_in_one_text(spark):
+    n = 30_000
+    long = " ".join(f"Contact{i} user{i}@mail{i % 97}.example.com, 10.0.{i % 256}.{i % 200}" for i in range(n))
+    docs = spark.createDataFrame([(1, long), (2, "x" * 3_000 + " a@b.c " + "é" * 3_000)], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.digests(pii.find(docs)).collect()}
+    assert (found[1].n_email, found[1].n_ip) == (n, n)
+    assert all(found[k].base_sha256 == hashlib.sha256(",".join(base_spans(t)).encode()).hexdigest() for k, t in docs.collect())
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean == {1: " ".join(f"Contact{i} [EMAIL], [IP]" for i in range(n)), 2: "x" * 3_000 + " [EMAIL] " + "é" * 3_000}
+
+
+def test_rewriting_by_brute_force(spark, rng):
+    texts = []
+    for k in range(200):
+        text = "".join(rng.choice("abé😀 ") for _ in range(rng.choice([0, 5, 90, 2_500])))
+        cuts = [sorted(rng.sample(range(len(text) + 1), 2)) for _ in range(rng.randint(0, 130))] if text else []
+        texts.append((k, text, [(a, b, rng.choice(pii.KINDS)) for a, b in cuts]))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, spans array<struct<s:int,e:int,kind:string>>")
+    found = dict(docs.select("doc_id", pii.rewritten(F.col("text"), F.col("spans"))).collect())
+    for k, text, cuts in texts:
+        out, at = [], 0
+        for a, b, kind in sorted(cuts):
+            if a >= at:
+                out += [text[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        assert found[k] == "".join(out) + text[at:], k
