@@ -25,13 +25,10 @@ _HANDOFF = """rk as (select user_id, lead(user_id) over (order by ts, event_id)
 h as (select user_id as src, dst, w::bigint as w from rk where dst is not null),
 a as (select row_number() over (order by src, dst, w) - 1 as arc_id, src, dst, w from h),
 v as (select distinct user_id as id from events where user_id in (select src from h) or user_id in (select dst from h))"""
-_SPARSE = f"""{_HANDOFF},
-sp as (select src, dst, min(w) as w from h where (src * 31 + dst * 17) % 50 = 0 group by src, dst),
-sv as (select distinct user_id as id from events)"""
+_PAIRS = f"""{_HANDOFF}, sp as (select distinct src, dst from h), sv as (select distinct user_id as id from events)"""
 _CHAIN = """c as (select event_id as src, lead(event_id) over (partition by user_id order by ts, event_id) as dst from events)"""
 _TRADE = """t as (select c_nationkey::bigint as src, s_nationkey::bigint as dst, count(*) as w from customer join orders on c_custkey = o_custkey
 join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey group by 1, 2)"""
-_TRADE3 = f"""{_TRADE}, t3 as (select src, dst, w from (select *, row_number() over (partition by src order by w desc, dst) as k from t) where k <= 3)"""
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -140,7 +137,7 @@ def dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # updates
 
 
-@query(f"with {_SPARSE} select id, 0 as fresh from sv union all select id + 1000000, 1 from sv where id % 10 = 0")
+@query(f"with {_PAIRS} select id, 0 as fresh from sv union all select id + 1000000, 1 from sv where id % 10 = 0")
 def add_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = datasets.whole_handoff(spark, sf_dir).with_vertex_map("fresh", 0)
     new = g.vertices.where("id % 10 = 0").select((F.col("id") + 1000000).alias("id"), F.lit(1).alias("fresh"))
@@ -215,10 +212,10 @@ def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.breadth_first_search(datasets.handoff(spark, sf_dir), _least_user(spark, sf_dir)).select("id", "dist")
 
 
-@query(f"""with recursive {_SPARSE}, r(id) as (select min(id) from sv union select sp.dst from r join sp on sp.src = r.id)
-select id, id in (select id from r) as reached from sv""")
+@query(f"""with recursive {_HANDOFF}, r(id) as (select min(user_id) from events union select h.dst from r join h on h.src = r.id)
+select distinct user_id as id, user_id in (select id from r) as reached from events""")
 def bfs_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.sparse_handoff(spark, sf_dir)
+    g = datasets.whole_handoff(spark, sf_dir)
     return traverse.reached(g, traverse.breadth_first_search(g, _least_user(spark, sf_dir)))
 
 
@@ -243,37 +240,16 @@ def critical_path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.topological_sort(datasets.chain(spark, sf_dir)).agg(F.max("rank").alias("critical_length"))
 
 
-@query(f"""with recursive {_SPARSE}, r(id, tree) as (select id, id from sv where id % 10 = 0 union select sp.dst, r.tree from r join sp on sp.src = r.id)
+@query(f"""with recursive {_PAIRS}, r(id, tree) as (select id, id from sv where id % 10 = 0 union select sp.dst, r.tree from r join sp on sp.src = r.id)
 select id, min(tree) as tree from r group by id""")
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.sparse_handoff(spark, sf_dir)
+    g = datasets.whole_handoff(spark, sf_dir)
     return traverse.traversal_forest(g, g.vertices.where("id % 10 = 0"))
 
 
-@query(f"""with recursive {_SPARSE}, r(s, id) as (select id, id from sv union select r.s, sp.dst from r join sp on sp.src = r.id)
+@query(f"""with recursive {_PAIRS}, r(s, id) as (select id, id from sv union select r.s, sp.dst from r join sp on sp.src = r.id)
 select a.s as id, min(a.id) as component from r a join r b on a.s = b.id and a.id = b.s group by a.s""")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.strongly_connected_components(datasets.sparse_handoff(spark, sf_dir))
-
-
-# the same three over all handoffs; SQL's closure of pairs is too slow for two of them
-
-
-@query(f"""with recursive {_HANDOFF}, r(id) as (select min(user_id) from events union select h.dst from r join h on h.src = r.id)
-select distinct user_id as id, user_id in (select id from r) as reached from events""")
-def whole_bfs_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.whole_handoff(spark, sf_dir)
-    return traverse.reached(g, traverse.breadth_first_search(g, _least_user(spark, sf_dir)))
-
-
-@query()
-def whole_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.whole_handoff(spark, sf_dir)
-    return traverse.traversal_forest(g, g.vertices.where("id % 10 = 0"))
-
-
-@query()
-def whole_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.strongly_connected_components(datasets.whole_handoff(spark, sf_dir))
 
 
@@ -298,14 +274,14 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.shortest_paths(datasets.handoff(spark, sf_dir), "w", _least_user(spark, sf_dir))
 
 
-@query(f"with recursive {_TRADE3}, " + _SSSP.format(seed="select 0::bigint, 9223372036854775807", best="max", plus="least(b.dist, e.w)", arcs="t3", better=">", worst="-1"))
+@query(f"with recursive {_TRADE}, " + _SSSP.format(seed="select 0::bigint, 9223372036854775807", best="max", plus="least(b.dist, e.w)", arcs="t", better=">", worst="-1"))
 def widest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.shortest_paths(datasets.trade(spark, sf_dir, 3), "w", spark.range(1), MAX_CAPACITY_PATH)
+    return paths.shortest_paths(datasets.trade(spark, sf_dir), "w", spark.range(1), MAX_CAPACITY_PATH)
 
 
-@query(f"""with recursive {_TRADE3}, e2 as (select src, dst, 1 / (1 << (w % 4)::bigint) as p from t3), """ + _SSSP.format(seed="select 0::bigint, 1.0::double", best="max", plus="b.dist * e.p", arcs="e2", better=">", worst="-1"))
+@query(f"""with recursive {_TRADE}, e2 as (select src, dst, 1 / (1 << (w % 4)::bigint) as p from t), """ + _SSSP.format(seed="select 0::bigint, 1.0::double", best="max", plus="b.dist * e.p", arcs="e2", better=">", worst="-1"))
 def reliable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.trade(spark, sf_dir, 3).with_arc_map("p", F.pow(F.lit(0.5), F.col("w") % 4))
+    g = datasets.trade(spark, sf_dir).with_arc_map("p", F.pow(F.lit(0.5), F.col("w") % 4))
     return paths.shortest_paths(g, "p", spark.range(1), MOST_RELIABLE_PATH)
 
 
@@ -335,25 +311,28 @@ def voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.network_voronoi(g, "w", g.vertices.where("id % 40 = 0"))
 
 
-@query(f"""with recursive {_TRADE3}, e as (select src, dst, w % 7 as b, w % 5 as r from t3 where src < dst),
-l(id, blue, red) as (select 0::bigint, 0::bigint, 0::bigint union select e.dst, l.blue + e.b, l.red + e.r from l join e on e.src = l.id)
-select id, blue, red from l x where not exists (select 1 from l y where y.id = x.id and y.blue <= x.blue and y.red <= x.red and (y.blue < x.blue or y.red < x.red))""")
+@query()
 def pareto_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.trade(spark, sf_dir, 3).with_arc_map("b", F.col("w") % 7).with_arc_map("r", F.col("w") % 5) | views.subgraph(None, "src < dst")
+    g = datasets.trade(spark, sf_dir).with_arc_map("b", F.col("w") % 7).with_arc_map("r", F.col("w") % 5) | views.subgraph(None, "src < dst")
     return paths.pareto_paths(g, "b", "r", spark.range(1))
 
 
-@query("""with l as (select l_orderkey % 50 as id, l_linenumber::bigint as blue, l_suppkey % 20 as red from lineitem where l_orderkey < 400)
+@query("""with l as (select distinct l_orderkey % 50 as id, l_linenumber::bigint as blue, l_suppkey % 20 as red from lineitem)
 select distinct x.id, x.blue, x.red, exists (select 1 from l y where y.id = x.id and y.blue <= x.blue and y.red <= x.red and (y.blue <> x.blue or y.red <> x.red)) as dominated from l x""")
 def dominated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey < 400")
+    lines = read(spark, sf_dir, "lineitem")
     labels = lines.select((F.col("l_orderkey") % 50).alias("id"), F.col("l_linenumber").cast("long").alias("blue"), (F.col("l_suppkey") % 20).alias("red")).distinct()
     return paths.is_dominated(labels, labels)
 
 
-@query()
+@query(f"""with recursive {_TRADE}, d(id, dist, colour, done) using key (id) as (select * from (values (0::bigint, 0::bigint, 0, false), (12, 0, 1, false)) union
+select * from (select c.id, c.dist, c.colour, true from (select * from recurring.d where not done order by dist, colour, id limit 1) c, (select count(*) from d)
+union all select x.id, x.o[1], x.o[2]::int, false from (select t.dst as id, min([c.dist + case when c.colour = 0 then t.w else t.w - t.w % 3 end, c.colour]) as o
+from (select * from recurring.d where not done order by dist, colour, id limit 1) c join t on t.src = c.id where t.dst <> c.id group by t.dst) x left join recurring.d k on k.id = x.id
+where k.id is null or (not k.done and x.o < [k.dist, k.colour::bigint])))
+select id, dist from d where colour = 0""")
 def competing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.trade(spark, sf_dir, 3).with_arc_map("r", F.col("w") - F.col("w") % 3)
+    g = datasets.trade(spark, sf_dir).with_arc_map("r", F.col("w") - F.col("w") % 3)
     return paths.competing_searches(g, "w", "r", spark.range(1), spark.range(12, 13))
 
 
@@ -369,9 +348,8 @@ def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.spanning_forest(views.undirect(datasets.trade(spark, sf_dir)), "w")
 
 
-def _small_trade(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    arcs = datasets.trade_arcs(spark, sf_dir).where((F.col("src") < k) & (F.col("dst") < k) & (F.col("src") != F.col("dst")))
-    named = builders.numbered(arcs, "arc_id", "src", "dst")
+def _flow_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = builders.numbered(datasets.trade_arcs(spark, sf_dir).where("src <> dst"), "arc_id", "src", "dst")
     return named.select(F.lit(1).alias("problem_id"), "arc_id", "src", "dst", F.col("w").alias("capacity"))
 
 
@@ -379,19 +357,15 @@ def _terminals(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, 0, 9)], "problem_id int, s long, t long")
 
 
-_CUTS = f"""{_TRADE}, e as (select src, dst, w from t where src < 10 and dst < 10 and src <> dst), m as (select unnest(range(512)) * 2 + 1 as m),
-cut as (select m.m, sum(case when (m.m >> src::int) & 1 = 1 and (m.m >> dst::int) & 1 = 0 then w else 0 end)::bigint as w from m, e where m.m < 512 group by m.m)"""
-
-
-@query(f"with {_CUTS} select 1 as problem_id, min(w) as value from cut")
+@query()
 def max_flow_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = flow.max_flow(_small_trade(spark, sf_dir), _terminals(spark))
+    flows = flow.max_flow(_flow_arcs(spark, sf_dir), _terminals(spark))
     return flow.flow_value(flows, _terminals(spark)).select("problem_id", F.col("value").cast("long").alias("value"))
 
 
-@query(f"with {_CUTS} select 1 as problem_id, min(w) as value from cut")
+@query()
 def min_cut_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = flow.max_flow(_small_trade(spark, sf_dir), _terminals(spark))
+    flows = flow.max_flow(_flow_arcs(spark, sf_dir), _terminals(spark))
     cut = flow.minimum_cut(flows, "target").groupBy("problem_id").agg(F.sum("capacity").alias("value"))
     asked = _terminals(spark).select("problem_id")
     return asked.join(cut, "problem_id", "left").select("problem_id", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
@@ -399,12 +373,14 @@ def min_cut_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # knapsacks and draws
 
-_ITEMS = """i as (select p_brand as problem_id, p_partkey as item_id, floor(p_retailprice)::bigint as value, p_size::bigint as cost,
-row_number() over (partition by p_brand order by p_partkey) as k from part), it as (select * from i where k <= 12)"""
+_ITEMS = """it as (select p_brand as problem_id, p_partkey as item_id, floor(p_retailprice)::bigint as value, p_size::bigint as cost,
+row_number() over (partition by p_brand order by p_partkey) as k from part), n as (select problem_id, max(k) as n from it group by 1)"""
 
 
-@query(f"""with {_ITEMS}, m as (select unnest(range(4096)) as m), s as (select problem_id, m, sum(value) as v, sum(cost) as c from m, it
-where (m >> (k - 1)::int) & 1 = 1 group by problem_id, m) select problem_id, max(v)::bigint as value from s where c <= 60 group by problem_id""")
+@query(f"""with recursive {_ITEMS}, d(problem_id, k, c, v) as (select problem_id, 0::bigint, 0::bigint, 0::bigint from n union all
+select problem_id, k, c, max(v)::bigint from (select d.problem_id, d.k + 1 as k, d.c + o.c as c, d.v + o.v as v from d join it on it.problem_id = d.problem_id and it.k = d.k + 1,
+lateral (select it.cost as c, it.value as v union all select 0, 0) o where d.c + o.c <= 60) group by 1, 2, 3)
+select d.problem_id, max(v) as value from d join n on n.problem_id = d.problem_id and d.k = n.n group by d.problem_id having max(v) > 0""")
 def knapsack_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = datasets.knapsack_items(spark, sf_dir)
     budgets = items.select("problem_id").distinct().withColumn("budget", F.lit(60).cast("long"))
@@ -428,75 +404,6 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.weighted_sample(items, 10_000, seed=7)
 
 
-# whole tables: the queries above whose SQL lists cuts, masks or paths read only a part of theirs
-
-
-@query()
-def whole_widest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.shortest_paths(datasets.trade(spark, sf_dir), "w", spark.range(1), MAX_CAPACITY_PATH)
-
-
-@query()
-def whole_reliable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.trade(spark, sf_dir).with_arc_map("p", F.pow(F.lit(0.5), F.col("w") % 4))
-    return paths.shortest_paths(g, "p", spark.range(1), MOST_RELIABLE_PATH)
-
-
-@query()
-def whole_pareto_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.trade(spark, sf_dir).with_arc_map("b", F.col("w") % 7).with_arc_map("r", F.col("w") % 5) | views.subgraph(None, "src < dst")
-    return paths.pareto_paths(g, "b", "r", spark.range(1))
-
-
-@query()
-def whole_competing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = datasets.trade(spark, sf_dir).with_arc_map("r", F.col("w") - F.col("w") % 3)
-    return paths.competing_searches(g, "w", "r", spark.range(1), spark.range(12, 13))
-
-
-@query()
-def whole_dominated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem")
-    labels = lines.select((F.col("l_orderkey") % 50).alias("id"), F.col("l_linenumber").cast("long").alias("blue"), (F.col("l_suppkey") % 20).alias("red")).distinct()
-    return paths.is_dominated(labels, labels)
-
-
-def _whole_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = builders.numbered(datasets.trade_arcs(spark, sf_dir).where("src <> dst"), "arc_id", "src", "dst")
-    return named.select(F.lit(1).alias("problem_id"), "arc_id", "src", "dst", F.col("w").alias("capacity"))
-
-
-@query()
-def whole_max_flow_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = flow.max_flow(_whole_trade(spark, sf_dir), _terminals(spark))
-    return flow.flow_value(flows, _terminals(spark)).select("problem_id", F.col("value").cast("long").alias("value"))
-
-
-@query()
-def whole_min_cut_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = flow.max_flow(_whole_trade(spark, sf_dir), _terminals(spark))
-    cut = flow.minimum_cut(flows, "target").groupBy("problem_id").agg(F.sum("capacity").alias("value"))
-    asked = _terminals(spark).select("problem_id")
-    return asked.join(cut, "problem_id", "left").select("problem_id", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-
-
-def _whole_knapsacks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = datasets.knapsack_items(spark, sf_dir, None)
-    return items, items.select("problem_id").distinct().withColumn("budget", F.lit(60).cast("long"))
-
-
-@query()
-def whole_knapsack_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = knapsack.knapsack(*_whole_knapsacks(spark, sf_dir))
-    return taken.groupBy("problem_id").agg(F.sum("value").alias("value"))
-
-
-@query()
-def whole_unbounded_knapsack_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = knapsack.knapsack(*_whole_knapsacks(spark, sf_dir), repeat=True)
-    return taken.groupBy("problem_id").agg(F.sum(F.col("value") * F.col("count")).alias("value"))
-
-
 # geometry and numbers
 
 _SEGMENTS = """s as (select o_orderkey as seg_id, (o_orderkey * 7919) % 4001 as x1, (o_orderkey * 104729 + o_custkey * 31) % 4001 as y1,

@@ -34,13 +34,6 @@ def whole_handoff(spark: SparkSession, sf_dir: str) -> Graph:
     return from_arcs(handoff_arcs(spark, sf_dir), read(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct())
 
 
-def sparse_handoff(spark: SparkSession, sf_dir: str, modulus: int = 50) -> Graph:
-    """The handoffs whose rank is a multiple of ``modulus``'s share by hash of the pair: a sparse graph with several strong components."""
-    arcs = handoff_arcs(spark, sf_dir).where((F.col("src") * 31 + F.col("dst") * 17) % modulus == 0).distinct()
-    users = read(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
-    return from_arcs(arcs.groupBy("src", "dst").agg(F.min("w").alias("w")), users)
-
-
 def chain(spark: SparkSession, sf_dir: str) -> Graph:
     """From each event to the same user's next event: disjoint paths."""
     events = read(spark, sf_dir, "events").select("event_id", "ts", "user_id")
@@ -66,13 +59,9 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
 
 
-def trade(spark: SparkSession, sf_dir: str, heaviest: int | None = None) -> Graph:
-    """The trade graph, or the ``heaviest`` arcs out of each nation."""
-    arcs = trade_arcs(spark, sf_dir)
-    if heaviest:
-        place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))
-        arcs = arcs.withColumn("k", place).where(F.col("k") <= heaviest).drop("k")
-    return from_arcs(arcs, nations(spark, sf_dir))
+def trade(spark: SparkSession, sf_dir: str) -> Graph:
+    """The trade graph over all nations."""
+    return from_arcs(trade_arcs(spark, sf_dir), nations(spark, sf_dir))
 
 
 REGION, NATION, CUSTOMER = 0, 1_000, 1_000_000
@@ -92,13 +81,9 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> Graph:
     return from_arcs(arcs, ids)
 
 
-def knapsack_items(spark: SparkSession, sf_dir: str, per_problem: int | None = 12) -> DataFrame:
-    """``problem_id, item_id, value, cost``: a problem for each part brand, with its first parts or (None) all of them."""
-    part = read(spark, sf_dir, "part")
-    place = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
-    if per_problem is not None:
-        part = part.withColumn("k", place).where(F.col("k") <= per_problem)
-    return part.select(
+def knapsack_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``problem_id, item_id, value, cost``: a problem for each part brand, with all its parts."""
+    return read(spark, sf_dir, "part").select(
         F.col("p_brand").alias("problem_id"), F.col("p_partkey").alias("item_id"),
         F.floor("p_retailprice").cast("long").alias("value"), F.col("p_size").cast("long").alias("cost"),
     )

@@ -26,14 +26,14 @@ def test_searches_over_all_handoffs(spark, sf_dir):
     all_reached = {u: reach(out, u) for u in users}
 
     assert datasets.whole_handoff(spark, sf_dir).arcs.count() == len(events) - 1
-    found = {r.id: r.reached for r in QUERIES["whole_bfs_reached"](spark, sf_dir).collect()}
+    found = {r.id: r.reached for r in QUERIES["bfs_reached"](spark, sf_dir).collect()}
     assert found == {u: u in all_reached[users[0]] for u in users}
     trees = {}
     for root in (u for u in users if u % 10 == 0):
         for v in all_reached[root]:
             trees.setdefault(v, root)
-    assert {r.id: r.tree for r in QUERIES["whole_forest"](spark, sf_dir).collect()} == trees
-    found = {r.id: r.component for r in QUERIES["whole_strong_components"](spark, sf_dir).collect()}
+    assert {r.id: r.tree for r in QUERIES["forest"](spark, sf_dir).collect()} == trees
+    found = {r.id: r.component for r in QUERIES["strong_components"](spark, sf_dir).collect()}
     assert found == {u: min(v for v in all_reached[u] if u in all_reached[v]) for u in users}
     for name, n in (("vertex_map", len(users)), ("add_vertices", len(users) + sum(u % 10 == 0 for u in users))):
         assert QUERIES[name](spark, sf_dir).count() == n
@@ -87,7 +87,7 @@ def arcs(spark):
 
 
 def test_searches_over_all_trade(spark, arcs):
-    found = {n: QUERIES[f"whole_{n}"](spark, SF).collect() for n in ("widest_paths", "reliable_paths", "pareto_fronts", "competing")}
+    found = {n: QUERIES[n](spark, SF).collect() for n in ("widest_paths", "reliable_paths", "pareto_fronts", "competing")}
     assert len(arcs) > 3 * 25
     assert {r.id: r.dist for r in found["widest_paths"]} == best(arcs, 0, min, 2**63 - 1)
     assert {r.id: r.dist for r in found["reliable_paths"]} == best({k: 0.5 ** (w % 4) for k, w in arcs.items()}, 0, lambda a, b: a * b, 1.0)
@@ -108,7 +108,7 @@ def test_searches_over_all_trade(spark, arcs):
 
 def test_flow_over_all_nations(spark, arcs):
     want = largest_flow({k: w for k, w in arcs.items() if k[0] != k[1]}, 0, 9)
-    for name in ("whole_max_flow_value", "whole_min_cut_value"):
+    for name in ("max_flow_value", "min_cut_value"):
         assert [r.value for r in QUERIES[name](spark, SF).collect()] == [want]
 
 
@@ -117,12 +117,12 @@ def test_labels_and_knapsacks_over_all_rows(spark):
     for r in datasets.read(spark, SF, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").collect():
         labels.setdefault(r[0] % 50, set()).add((r[1], r[2] % 20))
     want = {(i, *x): x not in least_front(at) for i, at in labels.items() for x in at}
-    assert {(r.id, r.blue, r.red): r.dominated for r in QUERIES["whole_dominated_labels"](spark, SF).collect()} == want
+    assert {(r.id, r.blue, r.red): r.dominated for r in QUERIES["dominated_labels"](spark, SF).collect()} == want
     brands = {}
     for r in datasets.read(spark, SF, "part").collect():
         brands.setdefault(r.p_brand, []).append((int(r.p_retailprice), r.p_size))
     assert max(map(len, brands.values())) > 12
-    for name, repeat in (("whole_knapsack_value", False), ("whole_unbounded_knapsack_value", True)):
+    for name, repeat in (("knapsack_value", False), ("unbounded_knapsack_value", True)):
         want = {}
         for brand, items in brands.items():
             most = [0] * 61
