@@ -40,6 +40,8 @@ from arcspark.llm.common import WordCache, claim, small_batches
 from arcspark.plans.scratch import materialise
 
 WINDOW, LEAST, RUN, SHARE, TABLE_BITS = 8, 4, 13, 0.6, 22
+#: Slots of the table that one row carries, and windows of the benchmark that are broadcast at most.
+BLOCK_BITS, BROADCAST_WINDOWS = 15, 200_000
 #: Words taken as units of measure after a number.
 UNITS = (
     "km m cm mm mi mile miles ft feet foot inch inches yd yards meter meters metre metres kilometer kilometers "
@@ -176,6 +178,27 @@ def _found(df: DataFrame, key: str, sizes: tuple[int, ...], table: np.ndarray |
     return part.mapInArrow(run, HITS)
 
 
+def _table(asked: DataFrame) -> np.ndarray:
+    """Which top TABLE_BITS of a hash occur: bits set in tasks, 2^TABLE_BITS of them (512 KB) to the driver."""
+    slot = F.shiftrightunsigned("hash", 64 - TABLE_BITS).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            for block in np.unique(at >> BLOCK_BITS).tolist():
+                mine = at[at >> BLOCK_BITS == block] & (1 << BLOCK_BITS) - 1
+                found.setdefault(block, np.zeros(1 << BLOCK_BITS, bool))[mine] = True
+        packed = [np.packbits(x).tobytes() for x in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(packed, pa.binary())], names=["block", "bits"])
+
+    slots = asked.select(slot.alias("slot")).distinct().select((F.col("slot") / (1 << BLOCK_BITS)).cast("int").alias("block"), "slot")
+    table = np.zeros((1 << TABLE_BITS - BLOCK_BITS, 1 << BLOCK_BITS), dtype=bool)
+    for block, bits in slots.repartition(table.shape[0], "block").mapInArrow(run, "block int, bits binary").collect():
+        table[block] |= np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+    return table.ravel()
+
+
 def _lengths(benchmark: DataFrame) -> DataFrame:
     """``item_id, words``: how many canonical words each item has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +257,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
     sizes = (*short, window)  # at most ``window`` numbers
     asked = materialise(_found(benchmark, "item_id", sizes, None), "windows")
     asked = asked.join(lengths.withColumnRenamed("item_id", "id"), "id").where(F.col("size") == F.least("words", F.lit(window)))
-    table = np.zeros(1 << TABLE_BITS, dtype=bool)
-    slot = F.shiftrightunsigned("hash", 64 - TABLE_BITS)
-    table[[r[0] for r in asked.select(slot.alias("b")).distinct().collect()]] = True  # at most 2^TABLE_BITS numbers
+    table = _table(asked)
 
     hits = _found(docs, "doc_id", sizes, table)
     asked = asked.select(F.col("id").alias("item_id"), "size", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "template", "words").dropDuplicates(["item_id", "size", "item_pos", "template"])
+    if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        asked = F.broadcast(asked)  # so that a window that very many documents share isn't gathered
     met = hits.join(asked, ["size", "hash", "template"])
     each = met.groupBy("id", "item_id", "pos", "item_pos").agg(F.max(F.struct("template", "size", "words", "slots", "item_slots")).alias("m"))
     pairs = each.groupBy("id", "item_id").agg(

@@ -45,6 +45,8 @@ from arcspark.plans.scratch import materialise
 
 SKETCH_BITS, BLOCK_BITS = 23, 15
 BROADCAST_IDS = 2_000_000
+#: Tasks whose counts one task adds up at most.
+FAN_IN = 1000
 #: The prefixes kept for the other orders are so many times as long as needed to share one token.
 LONGER = 2
 _MIX, _FOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +95,8 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
     size, block = 1 << SKETCH_BITS, 1 << BLOCK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         _begin()
         seen = np.zeros(size, dtype=np.int32)
         for batch in batches:
@@ -102,27 +106,48 @@ def rarity(docs: DataFrame, words: int) -> np.ndarray:
                 seen[slots] += more.astype(np.int32)
         pack = zstandard.ZstdCompressor(level=1)
         at = [k for k in range(size // block) if seen[k * block : (k + 1) * block].any()]
+        lane = TaskContext.get().partitionId() // FAN_IN
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at, pa.int32()), pa.array([pack.compress(seen[k * block : (k + 1) * block].tobytes()) for k in at], pa.binary())],
-            names=["block", "counts"],
+            [
+                pa.array(at, pa.int32()), pa.array([lane] * len(at), pa.int32()),
+                pa.array([pack.compress(seen[k * block : (k + 1) * block].tobytes()) for k in at], pa.binary()),
+            ],
+            names=["block", "lane", "counts"],
         )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch], wide: bool) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(unpack.decompress(counts), dtype=np.int32)
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                more = np.frombuffer(unpack.decompress(counts), dtype=np.int64 if wide else np.int32)
                 sums[k] = sums[k] + more if k in sums else more.astype(np.int64)
-        levels = {k: np.clip(np.rint(6 * np.log2(1 + v)), 0, 255).astype(np.uint8).tobytes() for k, v in sums.items()}
+        return sums
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, pack = summed(batches, False), zstandard.ZstdCompressor(level=1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sums.keys(), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([pack.compress(x.tobytes()) for x in sums.values()], pa.binary())],
+            names=["block", "lane", "counts"],
+        )
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    tasks = texts.rdd.getNumPartitions()  # of the plan; nothing runs
+    lanes = -(-tasks // FAN_IN)
+    counted = texts.mapInArrow(count, "block int, lane int, counts binary")
+    if lanes > 1:  # a task adds up those of FAN_IN tasks first
+        counted = counted.repartition(32 * lanes, "block", "lane").mapInArrow(merge, "block int, lane int, counts binary")
+    last = lanes > 1
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = {k: np.clip(np.rint(6 * np.log2(1 + v)), 0, 255).astype(np.uint8).tobytes() for k, v in summed(batches, last).items()}
         yield pa.RecordBatch.from_arrays(
             [pa.array(levels.keys(), pa.int32()), pa.array(levels.values(), pa.binary())], names=["block", "levels"]
         )
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "block int, counts binary")
-    summed = counted.repartition(32, "block").mapInArrow(add, "block int, levels binary").collect()
+    found = counted.repartition(32, "block").mapInArrow(level, "block int, levels binary").collect()
     out = np.zeros(size, dtype=np.uint8)
-    for k, levels in summed:
+    for k, levels in found:
         out[k * block : (k + 1) * block] = np.frombuffer(levels, dtype=np.uint8)
     return out
 

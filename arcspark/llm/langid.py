@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import arrow_map, small_batches
+from arcspark.llm.common import arrow_map, small_batches, unused
+from arcspark.plans.scratch import materialise
 
-BITS, SLICE, MAX_LANGS, SMOOTHING, UNKNOWN = 16, 1 << 19, 256, 0.5, "und"
+BITS, SLICE, AT_ONCE, MAX_LANGS, SMOOTHING, UNKNOWN = 16, 1 << 19, 1 << 16, 256, 0.5, "und"
 _MULTIPLIERS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
@@ -105,19 +106,48 @@ class Model:
         self.langs, self.log_prob, self.log_prior = langs, log_prob, log_prior
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        points = code_points(text)
-        if not len(points) or not self.langs:
-            return UNKNOWN, 0.0
-        total = self.log_prior.copy()
-        for part in slices(points):
-            total += self.log_prob[buckets(part)].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+        return self.predict_batch([text])[0]
+
+    def predict_batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and probability of each text: the rows that a batch's n-grams name are gathered and summed by text."""
+        totals = np.tile(self.log_prior, (len(texts), 1))
+        known = np.zeros(len(texts), bool)
+        held: list[np.ndarray] = []
+        whose: list[int] = []
+
+        def add() -> None:
+            if held:
+                starts = np.cumsum([0, *(len(x) for x in held[:-1])])
+                np.add.at(totals, whose, np.add.reduceat(self.log_prob[np.concatenate(held)], starts, axis=0, dtype=np.float64))
+                held.clear()
+                whose.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            points = code_points(text)
+            if not len(points) or not self.langs:
+                continue
+            known[i] = True
+            for part in slices(points):
+                found = buckets(part)
+                if len(found):
+                    held.append(found)
+                    whose.append(i)
+                    size += len(found)
+                if size > AT_ONCE:
+                    add()
+                    size = 0
+        add()
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        best = totals.argmax(axis=1)
+        score = 1 / np.exp(np.minimum(totals - totals.max(axis=1, keepdims=True), 0)).sum(axis=1)
+        return [(self.langs[b], float(x)) if k else (UNKNOWN, 0.0) for b, x, k in zip(best.tolist(), score, known.tolist(), strict=True)]
 
 
 def train(docs: DataFrame) -> Model:
     """Fit on all rows with a language. The driver gets at most MAX_LANGS x (2^BITS + 1) counts."""
-    summed = counts(docs)
+    summed = materialise(counts(docs), "counts")
     found = summed.where("bucket = -1").orderBy("lang").limit(MAX_LANGS + 1)
     table = summed.toArrow() if len(found.take(MAX_LANGS + 1)) <= MAX_LANGS else None
     if table is None:
@@ -140,10 +170,10 @@ def train(docs: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` with ``lang_pred`` and ``score``, from ``text`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    part = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    part = docs.select(*keep, F.col("text").cast("string").alias(*unused(docs, "_text")))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        said = [shared.value.predict(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+        said = shared.value.predict_batch(batch.column(batch.num_columns - 1).to_pylist())
         return pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
             names=[*batch.schema.names[:-1], "lang_pred", "score"],

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import WordCache, arrow_map, claim
+from arcspark.llm.common import WordCache, arrow_map, claim, unused
 
 BITS, SAMPLE, EPOCHS, RATE, DECAY, SEED = 18, 12_000, 30, 0.3, 1e-5, 7
 SCALE, TELLING = 10.0, 12.0
@@ -176,7 +176,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def _part(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(*columns, F.col("text").cast("string").alias("_text"))
+    return docs.select(*columns, F.col("text").cast("string").alias(*unused(docs, "_text")))
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int = SAMPLE) -> Model:

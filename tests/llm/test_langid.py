@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from arcspark.llm import langid
 from arcspark.llm.common import table
 
@@ -28,3 +30,29 @@ def test_long_texts_are_scored_in_slices_as_a_whole(monkeypatch):
     monkeypatch.setattr(langid, "SLICE", 1000)
     parts = [int(b) for p in langid.slices(langid.code_points(text)) for b in langid.buckets(p)]
     assert set(parts) == {int(b) for b in whole} and abs(len(parts) - len(whole)) < len(whole) / 100
+
+
+def test_against_a_plain_naive_bayes(spark, rng):
+    import math
+
+    rows = [(i, "".join(rng.choice("abcdé fgh,ij") for _ in range(rng.choice([0, 3, 40, 200]))), rng.choice(["xx", "yy", "zz", None])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_text", F.lit("no"))
+    counts, seen = {}, {}
+    for _, text, lang in rows:
+        points = langid.code_points(text)
+        if lang and len(points):
+            seen[lang] = seen.get(lang, 0) + 1
+            for b in langid.buckets(points).tolist():
+                counts.setdefault(lang, {})[b] = counts.setdefault(lang, {}).get(b, 0) + 1
+    total = {k: sum(v.values()) + langid.SMOOTHING * 2**langid.BITS for k, v in counts.items()}
+    found = {r.doc_id: r for r in langid.predict(docs, langid.train(docs), "doc_id", "_text").collect()}
+    for i, text, _ in rows:
+        points = langid.code_points(text)
+        if not len(points):
+            assert (found[i].lang_pred, found[i].score) == ("und", 0.0)
+            continue
+        logs = {k: math.log(seen[k] / sum(seen.values())) + sum(math.log((counts[k].get(b, 0) + langid.SMOOTHING) / total[k]) for b in langid.buckets(points).tolist()) for k in seen}
+        top = max(logs.values())
+        share = 1 / sum(math.exp(x - top) for x in logs.values())
+        assert abs(found[i].score - share) < 1e-3
+        assert logs[found[i].lang_pred] >= top - 1e-3 and found[i]._text == "no"

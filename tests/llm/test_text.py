@@ -272,3 +272,38 @@ def test_rewriting_by_brute_force(spark, rng):
                 out += [text[at:a], f"[{kind.upper()}]"]
             at = max(at, b)
         assert found[k] == "".join(out) + text[at:], k
+
+
+def test_scores_against_the_plain_link_function(spark):
+    import math
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = quality.train(docs, quality.graded(table(spark, "/root/testdata/sf0.001", "labels")))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.score(docs, model, "doc_id").collect():
+        at, values = quality.features(texts[r.doc_id])
+        total = sum(float(model.weights[i]) * float(x) for i, x in zip(at.tolist(), values.tolist(), strict=True))
+        tails = [1 / (1 + math.exp(min(max(t - total, -40), 40))) for t in model.thresholds.tolist()]
+        assert math.isclose(r.expected_grade, sum(tails), abs_tol=1e-4) and math.isclose(r.p_wanted, tails[1], abs_tol=1e-4)
+        assert r.keep == (r.p_wanted >= 0.5)
+
+
+def test_fitting_raises_the_plain_likelihood(rng):
+    import numpy as np
+
+    n = 600
+    at = np.array([rng.randrange(40) for _ in range(n * 5)]) + 100
+    values, ends = np.ones(n * 5), np.arange(0, n * 5 + 1, 5)
+    signal = np.add.reduceat((at < 112).astype(float) - (at > 130), ends[:-1])
+    grades = np.clip(np.round(signal / 2 + 1), 0, 2).astype(np.int64)
+    model = quality.fit(at, values, ends, grades, 3)
+
+    def likelihood(weights, thresholds):
+        score = np.add.reduceat(weights[at] * values, ends[:-1])
+        tails = np.column_stack([np.ones(n), *(1 / (1 + np.exp(t - score)) for t in thresholds), np.zeros(n)])
+        return float(np.log(np.maximum(tails[np.arange(n), grades] - tails[np.arange(n), grades + 1], 1e-12)).sum())
+
+    share = [(grades >= k).mean() for k in (1, 2)]
+    plain = likelihood(np.zeros_like(model.weights), [-np.log(p / (1 - p)) for p in share])
+    assert likelihood(model.weights, model.thresholds) > 0.5 * plain
+    assert model.thresholds[0] < model.thresholds[1]
