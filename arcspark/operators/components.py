@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.plans.scratch import materialise
+from arcspark.plans.scratch import discard, materialise
 
 MAX_ROUNDS = 100
 
@@ -44,7 +44,8 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = _with_least(large).select("u", "v", "m")
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        older, now = now, materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(older)
     else:
         raise RuntimeError("components didn't settle")
     found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(

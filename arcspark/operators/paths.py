@@ -18,7 +18,7 @@ from arcspark.functions.semiring import SHORTEST_PATH, Semiring
 from arcspark.graph import Graph, GraphError
 from arcspark.operators.traverse import breadth_first_search
 from arcspark.plans.fixpoint import per_group, rounds
-from arcspark.plans.scratch import materialise
+from arcspark.plans.scratch import discard, materialise
 
 
 def _checked(graph: Graph, weight: str | Column, semiring: Semiring = SHORTEST_PATH) -> DataFrame:
@@ -54,10 +54,11 @@ def _relaxed(arcs: DataFrame, seeds: DataFrame, semiring: Semiring, within: Colu
             offers = offers.where(within)
         best = offers.groupBy("id").agg(semiring.choose(F.col("new")).alias("new"))
         won = best.join(labels, "id", "left").where(F.col("dist").isNull() | semiring.better(F.col("new"), F.col("dist")))
-        frontier = materialise(won.select("id", F.col("new").alias("dist")), "labels")
+        before, frontier = frontier, materialise(won.select("id", F.col("new").alias("dist")), "labels")
         if frontier.isEmpty():
             break
-        labels = materialise(labels.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "labels")
+        older, labels = labels, materialise(labels.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "labels")
+        discard(before, older)
     return labels
 
 

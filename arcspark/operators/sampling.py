@@ -46,14 +46,13 @@ def weighted_sample(items: DataFrame, n: int, weight: str = "weight", seed: int
     keyed = items.withColumn("_group", F.pmod(F.xxhash64(*items.columns), F.lit(4096)))
     groups = keyed.groupBy("_group").agg(F.sum(w).alias("_w"))
     first = _drawn(draws, groups, F.col("_w"), seed).drop("_w")
-    # within a group: cumulative weights, and the draw's place among them
+    # within a group: each row's interval ends where the next begins, and the last ends at the group's total
     place = W.partitionBy("_group").orderBy(*items.columns)
-    upper = F.sum(w).over(place.rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum(w).over(W.partitionBy("_group"))
-    ranges = keyed.withColumns({"_to": upper / total, "_from": (upper - w) / total})
-    u = _uniform("draw", seed + 1)
-    met = first.withColumn("_u", u).join(ranges, "_group").where("_u >= _from and _u < _to")
-    return met.select("draw", *items.columns)
+    ranges = keyed.withColumn("_to", F.sum(w).over(place.rowsBetween(W.unboundedPreceding, 0)))
+    ranges = ranges.withColumns({"_from": F.coalesce(F.lag("_to").over(place), F.lit(0.0)), "_total": F.max("_to").over(W.partitionBy("_group"))})
+    ranges = ranges.where("_from < _to")
+    met = first.withColumn("_u", _uniform("draw", seed + 1)).join(ranges, "_group").withColumn("_at", F.col("_u") * F.col("_total"))
+    return met.where("_at >= _from and (_at < _to or _to = _total)").select("draw", *items.columns)
 
 
 def _uniform(key: str, seed: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from arcspark.graph import Graph, UndirectedGraph
 from arcspark.operators.components import component_labels
 from arcspark.plans.fixpoint import Accumulated, per_group, rounds
-from arcspark.plans.scratch import materialise
+from arcspark.plans.scratch import discard, materialise
 
 #: Arcs of a weak component that a sequential kernel takes.
 TASK_ARCS = 500_000
@@ -232,10 +232,11 @@ def traversal_forest(graph: Graph, sources: DataFrame) -> DataFrame:
     for _ in rounds():
         offered = frontier.select(F.col("id").alias("src"), "tree").join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.min("tree").alias("new"))
         better = offered.join(labels, "id", "left").where(F.col("tree").isNull() | (F.col("new") < F.col("tree")))
-        frontier = materialise(better.select("id", F.col("new").alias("tree")), "forest")
+        before, frontier = frontier, materialise(better.select("id", F.col("new").alias("tree")), "forest")
         if frontier.isEmpty():
             break
-        labels = materialise(labels.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "forest")
+        older, labels = labels, materialise(labels.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "forest")
+        discard(before, older)
     return labels.select("id", F.col("tree.root").alias("tree"))
 
 
@@ -297,10 +298,11 @@ def _least_reaching(arcs: DataFrame, labels: DataFrame) -> DataFrame:
     frontier = labels
     for _ in rounds():
         offered = frontier.select(F.col("id").alias("src"), "label").join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("new"))
-        frontier = materialise(offered.join(labels, "id").where("new < label").select("id", F.col("new").alias("label")), "colour")
+        before, frontier = frontier, materialise(offered.join(labels, "id").where("new < label").select("id", F.col("new").alias("label")), "colour")
         if frontier.isEmpty():
             break
-        labels = materialise(labels.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "colour")
+        older, labels = labels, materialise(labels.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "colour")
+        discard(before, older)
     return labels
 
 

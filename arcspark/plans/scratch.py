@@ -43,11 +43,20 @@ def materialise(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more, so that a loop's disk doesn't grow with its rounds."""
+    for df in tables:
+        if path := df.__dict__.pop("_scratch", None):
+            sweep(df.sparkSession, path)
 
 
 def sweep(spark: SparkSession, folder: str) -> None:
-    """Remove an application's intermediate tables (at its end)."""
+    """Remove a folder of intermediate tables."""
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,14 +93,21 @@ def complete_digraph(spark: SparkSession, n: int) -> Graph:
 def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int = 0) -> Graph:
     """Directed G(n, p): each ordered pair of different vertices is kept with probability p.
 
-    Pairs are arithmetic on a range, kept by a hash of (pair, seed), so the result depends on
-    neither partitioning nor run.
+    A source draws how many arcs it has and then which, from a generator of its own, so the work is
+    that of the arcs kept rather than of all pairs, and the result depends on neither partitioning nor run.
     """
     if not 0 <= p <= 1:
         raise GraphError("p is not a probability")
-    full = complete_digraph(spark, n)
-    draw = F.shiftrightunsigned(F.xxhash64("src", "dst", F.lit(seed)), 11).cast("double") / float(1 << 53)
-    return from_arcs(full.arcs.where(draw < p).select("src", "dst"), full.vertices)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for u in batch.id.tolist():
+                rng = np.random.Generator(np.random.PCG64([seed & (1 << 64) - 1, u]))
+                to = np.sort(rng.choice(n - 1, int(rng.binomial(n - 1, p)), replace=False, shuffle=False)) if n > 1 else np.zeros(0, np.int64)
+                yield pd.DataFrame({"src": np.full(len(to), u), "dst": to + (to >= u)})
+
+    vertices = spark.range(n)
+    return from_arcs(vertices.mapInPandas(draw, "src long, dst long"), vertices)
 
 
 def erdos_renyi_md5(spark: SparkSession, n: int, threshold: int) -> Graph:
