@@ -6,15 +6,16 @@ neighbours with a common prefix (LCP) of at least ``LEAST_RUN`` words lie in one
 and an interval's pages are those that share the substring. What is on enough pages of the
 host is boilerplate: its places are covered, covered blocks go, unique runs stay.
 
-A host of any size: pages are dealt into groups of about ``BATCH_PAGES`` by their content,
+A host of any size: pages are parsed once and dealt into groups of about ``BATCH_PAGES``,
 each group has its suffix array in one task, and an interval is reported with the key of its
 first ``LEAST_RUN`` words and its pages. Reports are added up over the host by a Spark
-aggregation, so that shares are those of the whole host. A group doesn't report what stands
-on less than ``IGNORED`` of its pages; a share over the host is at most that much too small.
-A host of one group is counted exactly. A substring of LEAST_RUN words or more is on
-so many pages only if all its windows of LEAST_RUN words are, and windows cover no more than
-the substrings they form; so these keys lose nothing against longer ones. The marks of a
-host go to all its pages in one shuffle with them.
+aggregation. A group doesn't report what stands on less than ``IGNORED`` of its pages, so a sum
+may be too small, but by no more than that share of the pages of the groups that didn't report:
+where this leaves open whether a substring passes a threshold, a second pass counts it on all
+pages of the host. So counts decide as those over the whole host do, however it is grouped. A
+substring of LEAST_RUN words or more is on so many pages only if all its windows of LEAST_RUN
+words are, and windows cover no more than the substrings they form; so these keys lose nothing
+against longer ones. Both passes and the extraction read the same shuffle of the pages.
 
 Then, block by block,
 
@@ -217,130 +218,131 @@ def placed(pages: DataFrame) -> DataFrame:
     return rows.join(large, "host", "left").withColumn("n_groups", F.coalesce("n_groups", F.lit(1)))
 
 
-def streams(rows: DataFrame) -> DataFrame:
-    """``host, n_groups, host_pages, part, key, copies, words``: token streams; equal ones of a batch are sent once."""
+def parsed_pages(rows: DataFrame) -> DataFrame:
+    """``host, part, n_groups, host_pages, page_id, url, packed``: the blocks of every page, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _begin()
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            seen: dict[tuple, list] = {}
-            for html, host, groups, pages in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                words = stream(tokens(blocks(html.as_py() or ""))).tobytes()
-                key = xxhash.xxh3_64_intdigest(words)
-                if (host, key) in seen:
-                    seen[host, key][5] += 1
-                else:
-                    seen[host, key] = [host, groups, pages, key % groups, key - (1 << 63), 1, packer.compress(words)]
-            if seen:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*seen.values(), strict=True), kinds, strict=True)],
-                    names=["host", "n_groups", "host_pages", "part", "key", "copies", "words"],
-                )
+            packed = []
+            for html in batch.column(6):
+                lines = [f"{inside + 2 * noise}{text}" for text, inside, noise in blocks(html.as_py() or "")]
+                packed.append(packer.compress("\n".join(lines).encode("utf-8", "replace")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(packed, pa.binary())], names=[*batch.schema.names[:6], "packed"])
 
-    return rows.select("html", "host", "n_groups", "host_pages").mapInArrow(
-        run, "host long, n_groups int, host_pages long, part int, key long, copies long, words binary"
+    part = F.pmod(F.xxhash64("page_id", "url") + F.spark_partition_id(), F.col("n_groups")).cast("int")
+    return rows.select("host", part.alias("part"), "n_groups", "host_pages", "page_id", "url", "html").mapInArrow(
+        run, "host long not null, part int not null, n_groups int, host_pages long, page_id long, url string, packed binary"
     )
 
 
-def marks(rows: DataFrame, n: int) -> DataFrame:
-    """``host, n_groups, often, firm``: for hosts that have any, the sorted keys of what is on enough of their pages."""
-    sent = streams(rows).repartition(n, "host", "part").sortWithinPartitions("host", "part", "key")
+def unpacked(packed: bytes) -> list[tuple[str, bool, bool]]:
+    lines = packed.decode("utf-8").split("\n") if packed else []
+    return [(x[1:], bool(int(x[0]) & 1), bool(int(x[0]) & 2)) for x in lines]
+
+
+_COUNTS = "host long not null, n_groups int, host_pages long, key long, own long, n long"
+
+
+def _counts(host: int, groups: int, host_pages: int, key: np.ndarray, own: int, n: np.ndarray) -> pa.RecordBatch:
+    same = ((host, pa.int64()), (groups, pa.int32()), (host_pages, pa.int64()), (own, pa.int64()))
+    host, groups, host_pages, own = (pa.array([x] * len(key), t) for x, t in same)
+    return pa.RecordBatch.from_arrays([host, groups, host_pages, pa.array(key), own, pa.array(n)], names=["host", "n_groups", "host_pages", "key", "own", "n"])
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def reports(sent: DataFrame) -> DataFrame:
+    """``host, n_groups, host_pages, key, own, n``: what stands on ``n`` of the ``own`` pages of a group, if that is enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         unpack = zstandard.ZstdDecompressor()
 
-        def done(host: int, groups: int, host_pages: int | None, pages: list, copies: list) -> pa.RecordBatch | None:
-            own = sum(copies)
+        def done(host: int, part: int, groups: int, host_pages: int | None, copies: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+            own = sum(copies.values())
             least = threshold(own, False) if groups == 1 else max(1, math.ceil(IGNORED * own))
-            if own < least:
-                return None
-            key, n = reported(pages, copies, host, least)
-            if not len(key):
-                return None
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(key), host, np.int64)), pa.array(np.full(len(key), groups, np.int32)),
-                    pa.array(np.full(len(key), own if groups == 1 else host_pages, np.int64)), pa.array(key), pa.array(n),
-                ],
-                names=["host", "n_groups", "host_pages", "key", "n"],
-            )
-
-        group, pages, copies, size = None, [], [], 0
+            if own >= least:
+                key, n = reported([np.frombuffer(w, np.uint16) for w in copies], list(copies.values()), host, least)
+                if len(key):
+                    yield _counts(host, groups, own if groups == 1 else host_pages, key, own, n)
+
+        group, copies, size = None, {}, 0
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5, 6)]
-            for host, groups, host_pages, part, times, words in zip(*columns, strict=True):
-                if group and (group[:4] != (host, groups, host_pages, part) or size > HELD_WORDS and groups > 1):
-                    if out := done(*group[:3], pages, copies):
-                        yield out
-                    pages, copies, size = [], [], 0
-                group = (host, groups, host_pages, part)
-                pages.append(np.frombuffer(unpack.decompress(words), np.uint16) if words else np.zeros(0, np.uint16))
-                copies.append(times)
-                size += len(pages[-1])
-        if group and (out := done(*group[:3], pages, copies)):
-            yield out
-
-    told = sent.mapInArrow(report, "host long, n_groups int, host_pages long, key long, n long")
-    whole = told.groupBy("host", "n_groups", "host_pages", "key").agg(F.sum("n").alias("n"))
-    enough = whole.where(F.col("n") >= F.greatest(F.lit(LEAST_OUTSIDE), F.ceil(OUTSIDE * F.col("host_pages") - 1e-9)))
-    firm = F.col("n") >= F.greatest(F.lit(LEAST_INSIDE), F.ceil(INSIDE * F.col("host_pages") - 1e-9))
-    return enough.groupBy("host", "n_groups").agg(
-        F.sort_array(F.collect_list("key")).alias("often"), F.sort_array(F.collect_list(F.when(firm, F.col("key")))).alias("firm")
-    )
+            for *told, packed in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 6)), strict=True):
+                if group and (group != told or size > HELD_WORDS and told[2] > 1):
+                    yield from done(*group, copies)
+                    copies, size = {}, 0
+                group = told
+                words = stream(tokens(unpacked(unpack.decompress(packed)))).tobytes()
+                if words not in copies:
+                    size += len(words) // 2
+                copies[words] = copies.get(words, 0) + 1
+        if group:
+            yield from done(*group, copies)
 
+    return sent.sortWithinPartitions("host", "part").mapInArrow(run, _COUNTS)
 
-def parsed_pages(rows: DataFrame) -> DataFrame:
-    """``host, part, page_id, url, packed``: the blocks of every page, compressed."""
+
+def recounted(sent: DataFrame, unsure: DataFrame) -> DataFrame:
+    """``host, n_groups, host_pages, key, own, n``: on how many pages of a group the ``keys`` of ``unsure`` stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        _begin()
+        unpack = zstandard.ZstdDecompressor()
+        now, wanted, n, own = None, _NONE, _NONE, 0
         for batch in batches:
-            packed = []
-            for html in batch.column(4):
-                lines = [f"{inside + 2 * noise}{text}" for text, inside, noise in blocks(html.as_py() or "")]
-                packed.append(packer.compress("\n".join(lines).encode("utf-8", "replace")))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary())], names=["host", "part", "page_id", "url", "packed"])
+            columns = [batch.column(k).to_pylist() for k in (0, 2, 3, 6)]
+            for i, (*told, packed) in enumerate(zip(*columns, strict=True)):
+                if told != now:
+                    if now:
+                        yield _counts(*now, wanted, own, n)
+                    wanted = np.array(batch.column(7)[i].values)
+                    now, n, own = told, np.zeros(len(wanted), np.int64), 0
+                here = window_keys(stream(tokens(unpacked(unpack.decompress(packed)))), told[0])
+                n += np.isin(wanted, here)
+                own += 1
+        if now:
+            yield _counts(*now, wanted, own, n)
 
-    part = F.pmod(F.xxhash64("page_id", "url") + F.spark_partition_id(), F.col("n_groups")).cast("int")
-    return rows.select("host", part.alias("part"), "page_id", "url", "html").mapInArrow(run, "host long, part int, page_id long, url string, packed binary")
+    return sent.join(dealt(unsure), ["host", "part"]).mapInArrow(run, _COUNTS)
 
 
-def unpacked(packed: bytes) -> list[tuple[str, bool, bool]]:
-    lines = packed.decode("utf-8").split("\n") if packed else []
-    return [(x[1:], bool(int(x[0]) & 1), bool(int(x[0]) & 2)) for x in lines]
+def dealt(lists: DataFrame) -> DataFrame:
+    """The lists of each host for each of its groups."""
+    return lists.withColumn("part", F.explode_outer(F.sequence(F.lit(0), F.col("n_groups") - 1))).drop("n_groups")
+
+
+def marks(sent: DataFrame) -> DataFrame:
+    """``host, n_groups, often, firm``: for hosts that have any, the sorted keys of what is on enough of their pages."""
+    known = ["host", "n_groups", "host_pages", "key"]
+    n, pages = F.col("n"), F.col("host_pages")
+    outside = F.greatest(F.lit(LEAST_OUTSIDE), F.ceil(OUTSIDE * pages - 1e-9))
+    inside = F.greatest(F.lit(LEAST_INSIDE), F.ceil(INSIDE * pages - 1e-9))
+    most = n + F.floor(IGNORED * (pages - F.col("own")) + 1e-6)
+    unsure = ((n < outside) & (most >= outside)) | ((n < inside) & (most >= inside))
+    whole = reports(sent).groupBy(*known).agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    asked = whole.where(unsure).groupBy("host", "n_groups").agg(F.collect_list("key").alias("keys"))
+    counted = recounted(sent, asked).groupBy(*known).agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    enough = whole.where(~unsure).unionByName(counted).where(n >= outside)
+    return enough.groupBy("host", "n_groups").agg(
+        F.sort_array(F.collect_list("key")).alias("often"), F.sort_array(F.collect_list(F.when(n >= inside, F.col("key")))).alias("firm")
+    )
 
 
 def extract(pages: DataFrame, repetition: bool = True) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``; without ``repetition`` by markup alone."""
     small_batches(pages.sparkSession)
-    n = partitions_for(pages.sparkSession)
-    rows = placed(pages)
-    none = F.lit(None)
-    told = marks(rows, n).select(
-        "host", F.explode(F.sequence(F.lit(0), F.col("n_groups") - 1)).alias("part"), none.cast("long").alias("page_id"),
-        none.cast("string").alias("url"), none.cast("binary").alias("packed"), "often", "firm", F.lit(False).alias("is_page"),
-    )
-    keys = none.cast("array<long>")
-    both = parsed_pages(rows).select("*", keys.alias("often"), keys.alias("firm"), F.lit(True).alias("is_page")).unionByName(told)
-    ordered = both.repartition(n, "host", "part").sortWithinPartitions("host", "part", "is_page")
+    sent = parsed_pages(placed(pages)).repartition(partitions_for(pages.sparkSession), "host", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _begin()
         unpack = zstandard.ZstdDecompressor()
-        now, often, firm = None, _NONE, _NONE
         for batch in batches:
             out = []
-            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 7)]
-            for i, (host, part, page_id, url, packed, is_page) in enumerate(zip(*columns, strict=True)):
-                if (host, part) != now:
-                    now, often, firm = (host, part), _NONE, _NONE
-                if not is_page:
-                    often, firm = (batch.column(k)[i].values.to_numpy() for k in (5, 6))
-                    continue
+            columns = [batch.column(k).to_pylist() for k in (0, 4, 5, 6)]
+            for i, (host, page_id, url, packed) in enumerate(zip(*columns, strict=True)):
+                often, firm = (batch.column(k)[i].values for k in (7, 8))
                 page = unpacked(unpack.decompress(packed))
-                text = chosen(page, tokens(page), host, often, firm, repetition)
+                text = chosen(page, tokens(page), host, *(_NONE if x is None else np.array(x) for x in (often, firm)), repetition)
                 out.append((page_id, url, text, len(text)))
             if out:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
@@ -348,4 +350,4 @@ def extract(pages: DataFrame, repetition: bool = True) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["page_id", "url", "text", "n_chars"]
                 )
 
-    return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return sent.join(dealt(marks(sent)), ["host", "part"], "left").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+import xxhash
 
 from arcspark.llm import html_text
 from arcspark.llm.html_blocks import blocks
@@ -104,3 +105,27 @@ def test_hosts_beyond_the_broadcast(spark, rng, monkeypatch):
     monkeypatch.setattr(html_text, "BATCH_PAGES", 10)
     monkeypatch.setattr(html_text, "BROADCAST_HOSTS", 1)
     assert sorted(r.text for r in html_text.extract(pages).collect()) == sorted(r[3] for r in rows)
+
+
+@pytest.mark.parametrize("ignored, batch, held", [(0.05, 100, 1 << 20), (0.3, 100, 1 << 20), (0.3, 30, 2_000)])
+def test_hosts_of_several_groups_are_counted_exactly(spark, rng, monkeypatch, ignored, batch, held):
+    monkeypatch.setattr(html_text, "IGNORED", ignored)
+    monkeypatch.setattr(html_text, "BATCH_PAGES", batch)
+    monkeypatch.setattr(html_text, "HELD_WORDS", held)
+    enough, rare = "This line is on just enough of the pages here", "And that one is on a page too few of them"
+    left, rows, on_first = {enough: 120, rare: 119}, [], {enough: 0, rare: 0}
+    while len(rows) < 400:
+        own = " ".join(f"{rng.randrange(10**9)}" for _ in range(25))
+        line = next((x for x, n in left.items() if n), "")
+        html = f"<p>{own}</p><p>{line}</p>"
+        first = xxhash.xxh3_64_intdigest(html_text.stream(html_text.tokens(blocks(html))).tobytes()) % 4 == 0
+        if line and first and on_first[line]:
+            continue  # all but one page with the line are in other groups, if the content decides
+        if line:
+            left[line] -= 1
+            on_first[line] += first
+        rows.append((len(rows), "http://one.example/", html, f"{own} {line}" if line == rare else own))
+    rows = [(i, f"{u}{i}", h, t) for i, u, h, t in rows]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == {r[0]: r[3] for r in rows}
+    assert html_text.extract_batch([r[2] for r in rows]) == [r[3] for r in rows]
