@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 import zlib
 
 from arcspark.llm import media
@@ -51,3 +53,16 @@ def test_cuts_follow_content():
     for byte in data[:100]:
         h = ((h << 1) + int(media.GEAR[byte])) & 0xFFFFFFFF
     assert int(media.gear_hashes(data[:100])[-1]) == h
+
+
+def test_shuffles_of_the_store_are_removed(spark, tmp_path):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: set(filter(re.compile(r"shuffle_").match, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(",").split(",")))
+    docs = spark.createDataFrame([(i, f"text {i % 50} " * 200) for i in range(200)], "doc_id long, text string")
+    before, set_before = held(), spark.conf.get(name, None)
+    media.write(docs, str(tmp_path / "store"))
+    until = time.monotonic() + 5
+    while held() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(name, None) == set_before
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 50
