@@ -4,11 +4,12 @@ A vocabulary whose file has the settings in ``SETTINGS`` never joins characters
 white space, ignores it and the case of letters, and splits punctuation that ends a word from
 the letter or digit before it. So the ids of a text are those of its lower-cased
 white-space-separated words, one after the other, and those of a word are those of its core
-and of its last punctuation. Each distinct core is encoded once per worker while it is in the
-cache. A core of Latin-1 letters alone is one word to such a vocabulary and is in normal form
+and of its last punctuation. The distinct words of a slice are cut by Arrow; the cache holds
+cores and punctuation only, and each is encoded once per worker while it is there.
+A core of Latin-1 letters alone is one word to such a vocabulary and is in normal form
 once it is in lower case, so it goes to the byte-pair model without the normaliser and the splitter,
-many at once and told apart by a digit between them. Texts for any other vocabulary are
-encoded whole.
+many at once and told apart by the suffix that ends a word's last token. Texts for any other
+vocabulary are encoded whole.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ from arcspark.llm.common import _CACHES, claim
 #: Words in each of the two generations of the cache.
 CACHE_WORDS = 400_000
 TOKENIZER = "word_bpe_49k.json"
-_PUNCTUATION = string.punctuation.encode()
-_ASCII_CORE = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+_ASCII_CORE = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
 #: The normaliser and splitter (as in the vocabulary file) that the above holds for.
 SETTINGS = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -43,21 +43,46 @@ SETTINGS = {
 }
 #: UTF-8 of lower-case ASCII letters and of Latin-1 letters.
 _WORD = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++")
+#: The second bytes of capital Latin-1 letters, to those of small ones.
+_SMALL = bytes.maketrans(bytes(range(0x80, 0x9F)), bytes(range(0xA0, 0xBF)))
 #: How byte-level vocabularies write the bytes that don't print: in order, from 256 on.
-_BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173]) if b > 32}
-_AT_ONCE, SLICE_BYTES = 2000, 4 << 20
-
-
-def _cores(words: list[bytes]) -> list[bytes]:
-    """The words without their last ASCII punctuation, where a letter or digit comes before that."""
-    trimmed = pc.ascii_rtrim(pa.array(words, pa.binary()).view(pa.string()), string.punctuation).view(pa.binary()).to_pylist()
-    return [core if len(core) == len(word) or _parts(word, core) else word for word, core in zip(words, trimmed, strict=True)]
-
-
-def _parts(word: bytes, core: bytes) -> bool:
-    if not core or b"<|" in word:
-        return False
-    return core[-1] in _ASCII_CORE or core[-1] > 127 and core.decode("utf-8", "replace").lower()[-1].isalpha()
+_BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Those of them in small Latin-1 letters.
+_HIDDEN = [(chr(b), chr(_BYTES[b])) for b in (0x9F, 0xA0, 0xAD)]
+_AT_ONCE, SLICE_BYTES = 500, 4 << 20
+
+
+def _cut(words: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Which words end in ASCII punctuation after a letter or digit; all words without it, and that of these words."""
+    trimmed = pc.ascii_rtrim(words, string.punctuation)
+    sizes, kept = pc.binary_length(words).to_numpy(), pc.binary_length(trimmed).to_numpy()
+    cut = (kept < sizes) & (kept > 0)
+    _, ends, held = trimmed.buffers()
+    data, ends = np.frombuffer(held or b"", np.uint8), np.frombuffer(ends, np.int32)[trimmed.offset + 1 :][: len(trimmed)]
+    last = np.zeros(len(trimmed), np.uint8)
+    last[cut] = data[ends[cut] - 1]
+    cut &= _ASCII_CORE[last] | (last > 127)
+    if (last[cut] > 127).any():
+        open_ = np.flatnonzero(cut & (last > 127))
+        cut[open_] = [x.decode("utf-8", "replace").lower()[-1].isalpha() for x in _listed(trimmed.take(pa.array(open_)))]
+    cut &= ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+    where = pa.array(cut)
+    return cut, pc.if_else(where, trimmed, words), _from(words.filter(where), kept[cut])
+
+
+def _from(words: pa.Array, start: np.ndarray) -> pa.Array:
+    """Each word from byte ``start`` of it on."""
+    sizes = pc.binary_length(words).to_numpy() - start
+    ends = np.cumsum(sizes, dtype=np.int64)
+    _, offsets, data = words.buffers()
+    first = np.frombuffer(offsets, np.int32)[words.offset :][: len(words)] + start if len(words) else start
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(data or b"", np.uint8)[at])])
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    return words.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 class WordEncoder:
@@ -68,7 +93,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._by_word, self._letters = self._settings(), None
+        told = json.loads(self._tokenizer.to_str())
+        self._by_word, self._letters = self._settings(told), None
+        self._last = self._last_tokens(told["model"]) if self._by_word else None
         self._ids: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
         _CACHES.append(self)
@@ -79,13 +106,23 @@ class WordEncoder:
     def clear(self) -> None:
         self._ids, self._older = {}, {}
 
-    def _settings(self) -> bool:
+    @staticmethod
+    def _settings(told: dict) -> bool:
         """Whether the vocabulary may be used word by word."""
-        told = json.loads(self._tokenizer.to_str())
         plain = all(told["model"].get(k) in (None, False, "") for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
         return plain and told["model"]["type"] == "BPE" and told["post_processor"] is None and all(told[k] == v for k, v in SETTINGS.items())
 
-    def _encode_letters(self, words: list[bytes]) -> None:
+    @staticmethod
+    def _last_tokens(model: dict) -> np.ndarray | None:
+        """By id, whether a token ends a word; None if not every byte has a token within and at the end of a word."""
+        suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
+        if not suffix or not all(x in vocab for b in range(256) for x in (chr(_BYTES.get(b, b)), chr(_BYTES.get(b, b)) + suffix)):
+            return None
+        last = np.zeros(max(vocab.values()) + 1, bool)
+        last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        return last
+
+    def _encode_letters(self, words: list[bytes]) -> Iterator[bytes]:
         """Ids of words of Latin-1 letters, by the model itself."""
         if self._letters is None:
             from tokenizers import Tokenizer
@@ -93,61 +130,62 @@ class WordEncoder:
 
             self._letters = Tokenizer(self._tokenizer.model)
             self._letters.pre_tokenizer = WhitespaceSplit()
-        mark = self._letters.encode("1", add_special_tokens=False).ids
         for k in range(0, len(words), _AT_ONCE):
-            part = words[k : k + _AT_ONCE]
-            text = b" 1 ".join([*part, b""]).decode()
+            raw = b" ".join(words[k : k + _AT_ONCE])
+            text = raw.translate(_SMALL).decode("latin-1")
             if not text.isascii():
-                text = text.lower().encode().decode("latin-1").translate(_BYTES)
+                for byte, char in _HIDDEN:
+                    text = text.replace(byte, char)
             ids = np.array(self._letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == mark[0])
-            packed, at = ids.tobytes(), (4 * ends).tolist()
-            self._ids.update(zip(part, map(packed.__getitem__, map(slice, [0, *(x + 4 for x in at)], at)), strict=True))
+            packed, at = ids.tobytes(), (4 * np.flatnonzero(self._last[ids]) + 4).tolist()
+            yield from map(packed.__getitem__, map(slice, [0, *at[:-1]], at))
 
     def _tokenize(self, words: list[bytes]) -> None:
-        letters, latin, rest = [], [], []
+        """Put the ids of these words into the cache."""
+        letters, rest = [], []
         for word in words:
-            (rest if not _WORD.fullmatch(word) else letters if word.isascii() else latin).append(word)
-        self._encode_letters(letters)
-        self._encode_letters(latin)
+            (letters if self._last is not None and (word.isalpha() and word.islower() or _WORD.fullmatch(word)) else rest).append(word)
+        self._ids.update(zip(letters, self._encode_letters(letters), strict=True))
         found = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
         for word, encoding in zip(rest, found, strict=True):
             self._ids[word] = np.array(encoding.ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
         """Put the ids of these distinct words into the cache, from the older generation where it has them."""
-        if len(self._ids) + 2 * len(words) > CACHE_WORDS:
+        if len(self._ids) + len(words) > CACHE_WORDS:
             self._ids, self._older = {}, self._ids
-        ids, older, split = self._ids, self._older, []
-        words = self._remembered(words)
-        wanted = set()
-        for word, core in zip(words, _cores(words), strict=True):
-            wanted.add(core)
-            if len(core) < len(word):
-                tail = word[len(core) :]
-                split.append((word, core, tail))
-                wanted.add(tail)
-        self._tokenize(self._remembered([word for word in wanted if word not in ids]))
-        ids.update([(word, ids[core] + ids[tail]) for word, core, tail in split])
-
-    def _remembered(self, words: list[bytes]) -> list[bytes]:
-        """Move what the older generation has of these words to the cache; the others."""
-        if not self._older:
-            return words
-        found = list(map(self._older.get, words))
-        self._ids.update([(word, x) for word, x in zip(words, found, strict=True) if x is not None])
-        return [word for word, x in zip(words, found, strict=True) if x is None]
+        if self._older:
+            found = list(map(self._older.get, words))
+            self._ids.update([(word, x) for word, x in zip(words, found, strict=True) if x is not None])
+            words = [word for word, x in zip(words, found, strict=True) if x is None]
+        self._tokenize(words)
 
     def _looked_up(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words."""
         ids = list(map(self._ids.get, words))
-        if None in ids:
-            holes = [i for i, x in enumerate(ids) if x is None]
+        holes = [i for i, x in enumerate(ids) if x is None]
+        if holes:
             self._learn([words[i] for i in holes])
             for i in holes:
                 ids[i] = self._ids[words[i]]
         return ids
 
+    def _encode_words(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """Lists of int32 ids of distinct words, and their lengths."""
+        cut, cores, tails = _cut(words)
+        parts = pa.concat_arrays([cores, tails]).dictionary_encode()
+        found = self._looked_up(_listed(parts.dictionary))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lists = _lists(sizes, pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(found))]))
+        at = parts.indices.to_numpy()
+        core, tail = at[: len(cut)], at[len(cut) :]
+        first = np.arange(len(cut)) + np.cumsum(cut) - cut
+        order = np.empty(len(at), np.int32)
+        order[first], order[first[cut] + 1] = core, tail
+        whole = sizes[core]
+        whole[cut] += sizes[tail]
+        return _lists(whole, lists.take(pa.array(order)).flatten()), whole
+
     def encode_array(self, texts: pa.Array) -> pa.ListArray:
         """Lists of int32 ids of whole texts (UTF-8 as binary), in order; null is empty."""
         if not self._by_word:
@@ -158,11 +196,7 @@ class WordEncoder:
         lower = pc.ascii_lower(raw)
         split = pc.ascii_split_whitespace(pc.if_else(special, raw, lower) if pc.any(special).as_py() else lower)
         words = split.values.dictionary_encode()
-        found = self._looked_up(words.dictionary.view(pa.binary()).to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.Array.from_buffers(pa.int32(), int(sizes.sum()), [None, pa.py_buffer(b"".join(found))])
-        )
+        lists, sizes = self._encode_words(words.dictionary)
         ids = lists.take(words.indices).flatten()
         ends = np.concatenate([[0], np.cumsum(sizes[words.indices.to_numpy()])])[split.offsets.to_numpy()]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
@@ -179,6 +213,10 @@ class WordEncoder:
         return next(self.encode_many([raw]))
 
 
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Slices of an array of bytes with about ``most`` of them at most, one text at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())

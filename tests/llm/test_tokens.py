@@ -112,3 +112,37 @@ def test_other_vocabularies_encode_whole_texts():
     assert not e._by_word
     for text in ("Hello  World, again", "", "x\n y é"):
         assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_words_that_differ_by_punctuation_share_a_core():
+    e, text = tokens.WordEncoder(PATH), "Alpha alpha, alpha. (beta) beta; beta!? 7% 7 été, ÉTÉ."
+    assert np.frombuffer(e.encode(text.encode()), "<u4").tolist() == _ids(text)
+    assert len(e) == len("alpha (beta beta 7 été , . ) ; !? %".split()) + 1  # É isn't put in lower case before the look-up
+
+
+def test_all_latin_letters(monkeypatch):
+    monkeypatch.setattr(tokens, "_AT_ONCE", 7)
+    letters = [chr(c) for c in range(0xC0, 0x100)]
+    words = [w for x in letters for w in (x, f"a{x}b", f"{x}{x},", f"z{x}.)")]
+    e = tokens.WordEncoder(PATH)
+    assert list(e.encode_many([w.encode() for w in words])) == [np.array(_ids(w), dtype="<u4").tobytes() for w in words]
+
+
+def test_punctuation_is_cut_from_any_slice():
+    words = tokens.pa.array(["skipped", "a,", "b", "", "...", "c'd').", "日本。", "日本!", "é̂!", "x<|", "5%", "́?"])
+    cut, cores, tails = tokens._cut(words.slice(1))
+    assert cut.tolist() == [True, False, False, False, True, False, True, False, False, True, False]
+    assert cores.to_pylist() == ["a", "b", "", "...", "c'd", "日本。", "日本", "é̂!", "x<|", "5", "́?"]
+    assert tails.to_pylist() == [",", "').", "!", "%"]
+    assert [len(x) for x in tokens._cut(words.slice(0, 0))] == [0, 0, 0]
+
+
+def test_model_without_a_suffix_at_word_ends_is_not_told_apart_by_it():
+    model = {"end_of_word_suffix": "</w>", "vocab": {c + s: i for i, (c, s) in enumerate((chr(tokens._BYTES.get(b, b)), s) for s in ("", "</w>") for b in range(256))}}
+    assert tokens.WordEncoder._last_tokens(model).tolist() == [False] * 256 + [True] * 256
+    assert tokens.WordEncoder._last_tokens({**model, "end_of_word_suffix": None}) is None
+    del model["vocab"]["z</w>"]
+    assert tokens.WordEncoder._last_tokens(model) is None
+    e = tokens.WordEncoder(PATH)
+    e._last = None
+    assert np.frombuffer(e.encode("One été, two".encode()), "<u4").tolist() == _ids("One été, two")
