@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcspark.llm import decontaminate, html_text, jaccard, langid, media, packing, pii, quality, sharding, token_store
+from arcspark.llm import decontaminate, html_text, jaccard, langid, media, packing, pii, quality, sharding, token_store, topk
 from arcspark.llm.common import table
 from arcspark.llm.tokens import tokenizer_path
 
@@ -53,10 +53,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, "doc_id")
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_media_columns, op2_sharding, op3_language_id, op4_ngram_jaccard, op5_token_output, op6_decontamination,
         op7_html_extraction, op8_best_fit_packing, op9_pii, op10_quality_classifier,
+        op11_exact_top_k,
     )
 }
 
@@ -73,4 +78,9 @@ l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where
 r(id, c) using key (id) as (select doc_id, doc_id from documents union select l.y, min(r.c) from r join l on l.x = r.id
 left join recurring.r k on k.id = l.y group by l.y having min(r.c) < coalesce(min(k.c), 9223372036854775807))
 select id as doc_id, coalesce(n.n, 0)::bigint as n_shingles, r.c as component_id from r left join n on n.doc_id = r.id""",
+    "op11_exact_top_k": """with w as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v)::bigint as score from w q join w c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20""",
 }
