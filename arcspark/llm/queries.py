@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcspark.llm import decontaminate, html_text, jaccard, langid, media, packing, pii, quality, sharding, token_store, topk
+from arcspark.llm import decontaminate, fim, html_text, jaccard, langid, media, packing, pii, quality, sharding, token_store, topk
 from arcspark.llm.common import table
 from arcspark.llm.tokens import tokenizer_path
 
@@ -57,11 +57,15 @@ def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_media_columns, op2_sharding, op3_language_id, op4_ngram_jaccard, op5_token_output, op6_decontamination,
         op7_html_extraction, op8_best_fit_packing, op9_pii, op10_quality_classifier,
-        op11_exact_top_k,
+        op11_exact_top_k, op12_fill_in_middle,
     )
 }
 
@@ -78,6 +82,17 @@ l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where
 r(id, c) using key (id) as (select doc_id, doc_id from documents union select l.y, min(r.c) from r join l on l.x = r.id
 left join recurring.r k on k.id = l.y group by l.y having min(r.c) < coalesce(min(k.c), 9223372036854775807))
 select id as doc_id, coalesce(n.n, 0)::bigint as n_shingles, r.c as component_id from r left join n on n.doc_id = r.id""",
+    "op12_fill_in_middle": """with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as x from documents),
+u as (select *, string_split(t, chr(10)) as p, len(t) - len(replace(t, chr(10), '')) + (case when t <> '' and right(t, 1) <> chr(10) then 1 else 0 end) as n,
+('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+l as (select *, case when a = n then len(t) else coalesce(list_sum(list_transform(p[1:a], lambda s: len(s) + 1)), 0) end as i,
+case when b = n then len(t) else coalesce(list_sum(list_transform(p[1:b], lambda s: len(s) + 1)), 0) end as j from c),
+o as (select *, substring(t, 1, i) as pre, substring(t, i + 1, j - i) as mid, substring(t, j + 1) as suf from l)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then i::bigint end as prefix_chars, case when form <> 'plain' then (j - i)::bigint end as middle_chars,
+sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+sha256(case form when 'plain' then t else pre || mid || suf end) as restored_sha256 from o""",
     "op11_exact_top_k": """with w as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
 where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v)::bigint as score from w q join w c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
