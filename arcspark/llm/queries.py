@@ -87,8 +87,8 @@ u as (select *, string_split(t, chr(10)) as p, len(t) - len(replace(t, chr(10),
 ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from d),
 c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
 case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
-l as (select *, case when a = n then len(t) else coalesce(list_sum(list_transform(p[1:a], lambda s: len(s) + 1)), 0) end as i,
-case when b = n then len(t) else coalesce(list_sum(list_transform(p[1:b], lambda s: len(s) + 1)), 0) end as j from c),
+l as (select *, case when a = n then len(t) else coalesce(list_sum(list_transform(p[1:a], lambda s: len(s) + 1)), 0)::bigint end as i,
+case when b = n then len(t) else coalesce(list_sum(list_transform(p[1:b], lambda s: len(s) + 1)), 0)::bigint end as j from c),
 o as (select *, substring(t, 1, i) as pre, substring(t, i + 1, j - i) as mid, substring(t, j + 1) as suf from l)
 select doc_id, n::bigint as n, form, case when form <> 'plain' then i::bigint end as prefix_chars, case when form <> 'plain' then (j - i)::bigint end as middle_chars,
 sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
