@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcspark.llm import decontaminate, fim, html_text, jaccard, langid, media, packing, pii, quality, sharding, token_store, topk
+from arcspark.llm import decontaminate, fim, html_text, jaccard, langid, media, packing, pii, quality, sharding, token_store, topk, trie
 from arcspark.llm.common import table
 from arcspark.llm.tokens import tokenizer_path
 
@@ -61,11 +61,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_media_columns, op2_sharding, op3_language_id, op4_ngram_jaccard, op5_token_output, op6_decontamination,
         op7_html_extraction, op8_best_fit_packing, op9_pii, op10_quality_classifier,
-        op11_exact_top_k, op12_fill_in_middle,
+        op11_exact_top_k, op12_fill_in_middle, op13_prefix_trie,
     )
 }
 
@@ -93,6 +97,19 @@ o as (select *, substring(t, 1, i) as pre, substring(t, i + 1, j - i) as mid, su
 select doc_id, n::bigint as n, form, case when form <> 'plain' then i::bigint end as prefix_chars, case when form <> 'plain' then (j - i)::bigint end as middle_chars,
 sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
 sha256(case form when 'plain' then t else pre || mid || suf end) as restored_sha256 from o""",
+    "op13_prefix_trie": """with t as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as (select c, list({'role': role, 'text': text} order by turn nulls first, role, sha256(len(role) || ':' || role || text)) as s,
+xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+lambda k, x: list_reduce([xor(k, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 4 as h from t group by c),
+r as (select o.c, list_concat(case when b.c is null then o.s[1:0] else b.s[1:o.h] end, o.s[o.h + 1:]) as s from o left join o b on b.c = o.c - o.c % 20),
+k as (select c, d, d = len(s) as last, s[1:d] as s from (select c, s, unnest(range(0, len(s) + 1)) as d from r)),
+g as (select s, d, min(c) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (last), '')) as ends from k group by s, d),
+n as (select *, s[1:d - 1] as up, (n_convs - 1) * (case when d = 0 then 0 else len(regexp_extract_all(s[d].text, '[^\x20\x09-\x0D]+')) end) as saved from g),
+c as (select up, d - 1 as d, count(*) as n_children from n where d > 0 group by all),
+f as (select n.*, coalesce(c.n_children, 0) as n_children from n left join c on c.d = n.d and c.up = n.s)
+select f.conv_id, f.d::bigint as depth, any_value(p.conv_id) as parent_conv_id, f.n_convs::bigint as n_convs, f.n_children::bigint as n_children, count(*) filter (x.n_children = 0)::bigint as n_leaves,
+sum(x.saved)::bigint as saved_tokens, f.ends as ends_sha256 from f left join n p on p.d = f.d - 1 and p.s = f.up and f.d > 0 join f x on x.d >= f.d and x.s[1:f.d] = f.s
+group by f.s, f.conv_id, f.d, f.n_convs, f.n_children, f.ends""",
     "op11_exact_top_k": """with w as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
 where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v)::bigint as score from w q join w c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
