@@ -8,14 +8,15 @@ tail probability of the wanted grade is at least ``keep_from``.
 Features: hashed words (lower case, outer punctuation off) and hashed word shapes, with
 value SCALE * sqrt(share of the words), and how far the document repeats its words and lines.
 
-The model is fitted in the driver on at most ``SAMPLE`` rated documents, those whose hashed
+The model is fitted in one task on at most ``SAMPLE`` rated documents, those whose hashed
 ids are least; only features whose presence there tells grades apart (likelihood-ratio
-statistic of at least ``TELLING``) get a weight. Every whole text of the table is scored. The weights, 2^BITS floats, are
+statistic of at least ``TELLING``) get a weight and go to that task. Every whole text of the table is scored. The weights, 2^BITS floats, are
 broadcast.
 
 Defined cases: null or empty text, or text without words, has no word features and is scored
 by its emptiness alone (as the ratings have it); ratings that are null or name no document are not used; a document
-rated several times counts with its lowest grade; without usable ratings of two grades all
+rated several times counts with its lowest grade, and one with several texts is learned from by the
+least of them (by its bytes; null where it has no other); columns of ``docs`` named like those of ``ratings`` don't clash; without usable ratings of two grades all
 documents get the middle of the scale and are kept; repeated rows are scored each for
 itself; other columns are kept by ``select`` and not read by ``score``.
 """
@@ -24,15 +25,17 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcspark.llm.common import WordCache, arrow_map, claim, unused
+from arcspark.llm.common import WordCache, arrow_map, claim, small_batches, unused
+from arcspark.plans.scratch import discard, materialise
 
 BITS, SAMPLE, EPOCHS, RATE, DECAY, SEED = 18, 12_000, 30, 0.3, 1e-5, 7
 SCALE, TELLING = 10.0, 12.0
@@ -106,23 +109,16 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling(at: np.ndarray, ends: np.ndarray, grades: np.ndarray, n_grades: int) -> np.ndarray:
-    """Which features get a weight: the largest likelihood-ratio statistic over the grade boundaries."""
-    sizes, total = np.diff(ends), np.bincount(at, minlength=1 << BITS).astype(float)
-    best = np.zeros(1 << BITS)
-    for k in range(1, n_grades):
-        low = grades < k
-        here, share = np.bincount(at[np.repeat(low, sizes)], minlength=1 << BITS), low.mean()
-        best = np.maximum(best, 2 * (_surprise(here, total * share) + _surprise(total - here, total * (1 - share))))
-    chosen = best >= TELLING
-    chosen[bucket(b"always", b"")] = True
-    return chosen
+def _telling(sizes: list[int]) -> Column:
+    """The largest likelihood-ratio statistic over the grade boundaries, of counts ``n_0, n_1, ...`` by grade; ``sizes``: documents of each grade."""
+    def surprise(seen: Column, share: float) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / (total * F.lit(share)))).otherwise(0.0)
 
-
-def _surprise(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """seen * log(seen / expected), 0 where nothing was seen."""
-    some = seen > 0
-    return np.where(some, seen * np.log(np.where(some, seen, 1) / np.where(some, expected, 1)), 0.0)
+    total, here, stats = sum((F.col(f"n_{k}") for k in range(len(sizes))), F.lit(0)), F.lit(0), []
+    for k in range(1, len(sizes)):
+        here, share = here + F.col(f"n_{k - 1}"), sum(sizes[:k]) / sum(sizes)
+        stats.append(2 * (surprise(here, share) + surprise(total - here, 1 - share)))
+    return F.greatest(*stats, F.lit(0.0))
 
 
 def fit(at: np.ndarray, values: np.ndarray, ends: np.ndarray, grades: np.ndarray, n_grades: int) -> Model:
@@ -130,9 +126,6 @@ def fit(at: np.ndarray, values: np.ndarray, ends: np.ndarray, grades: np.ndarray
 
     Document i has the features ``at[ends[i]:ends[i + 1]]`` with their values; none is empty.
     """
-    kept = telling(at, ends, grades, n_grades)[at]
-    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(kept, ends[:-1]))])
-    at, values = at[kept], values[kept]
     weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     share = np.array([(grades >= k).mean() for k in range(1, n_grades)]) if len(grades) else np.full(n_grades - 1, 0.5)
     start = -np.log(np.clip(share, 1e-3, 1 - 1e-3) / np.clip(1 - share, 1e-3, 1))
@@ -182,11 +175,13 @@ def _part(docs: DataFrame, *columns: str) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows of ``ratings`` (doc_id, grade) that name a document.
 
-    Only the sample's features reach the driver; its ids are broadcast (bounded by ``sample``).
+    The sample's ids are broadcast (bounded by ``sample``). Features are counted by grade in Spark, and one
+    task fits the telling ones of the sample; their names and the model, of fixed size, reach the driver.
     """
-    ids = docs.select("doc_id").distinct()
-    chosen = ratings.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    part = _part(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "doc_id", "grade")
+    small_batches(docs.sparkSession)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    chosen = ratings.select("doc_id", "grade").join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    part = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(x.as_py()) for x in batch.column(2)]
@@ -195,17 +190,35 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample: int =
             names=["doc_id", "grade", "at", "value"],
         )
 
-    kinds = dict(part.dtypes)
-    table = arrow_map(part, rows, f"doc_id {kinds['doc_id']}, grade int, at array<int>, value array<float>", _begin).toArrow().sort_by("doc_id")
-    grades = table["grade"].to_numpy()
-    if len(np.unique(grades)) < 2:
+    schema = f"doc_id {dict(part.dtypes)['doc_id']}, grade int, at array<int>, value array<float>"
+    found = materialise(arrow_map(part, rows, schema, _begin), "features", compression="zstd")
+    sizes = dict(found.groupBy("grade").count().collect())
+    if len(sizes) < 2:
         return Model(np.zeros(1 << BITS, dtype=np.float32), np.zeros(n_grades - 1))
-    at, value = table["at"].combine_chunks(), table["value"].combine_chunks()
-    del table
-    model = fit(at.flatten().to_numpy(), value.flatten().to_numpy(), at.offsets.to_numpy() - at.offsets[0].as_py(), grades.astype(np.int64), n_grades)
-    del at, value
-    pa.default_memory_pool().release_unused()
-    return model
+    here = found.select("grade", F.explode("at").alias("at")).groupBy("at").agg(*(F.count(F.when(F.col("grade") == k, 1)).alias(f"n_{k}") for k in range(n_grades)))
+    told = here.where(_telling([sizes.get(k, 0) for k in range(n_grades)]) >= TELLING).select("at")
+    wanted = np.zeros(1 << BITS, dtype=bool)
+    wanted[[bucket(b"always", b""), *(r[0] for r in told.collect())]] = True  # at most 2^BITS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
+    def trim(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = np.unpackbits(shared.value).astype(bool)
+        at, value = batch.column(2), batch.column(3)
+        ends, mask = at.offsets.to_numpy() - at.offsets[0].as_py(), kept[at.flatten().to_numpy()]
+        ends = pa.array(np.concatenate([[0], np.cumsum(mask)])[ends].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, x.flatten().filter(pa.array(mask))) for x in (at, value)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=batch.schema.names)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).sort_by("doc_id")
+        at, value = table["at"].combine_chunks(), table["value"].combine_chunks()
+        model = fit(at.flatten().to_numpy(), value.flatten().to_numpy(), at.offsets.to_numpy() - at.offsets[0].as_py(), table["grade"].to_numpy().astype(np.int64), n_grades)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.thresholds)], names=["weights", "thresholds"])
+
+    row = arrow_map(found, trim, schema).repartition(1).mapInArrow(fitted, "weights binary, thresholds binary").first()
+    shared.destroy()
+    discard(found)
+    return Model(np.frombuffer(row.weights, np.float32), np.frombuffer(row.thresholds, np.float64))
 
 
 def score(docs: DataFrame, model: Model, *columns: str, wanted: int = 2, keep_from: float = 0.5) -> DataFrame:

@@ -227,6 +227,44 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
 
+def test_several_texts_and_clashing_names(spark):
+    """The model is the same for any order and partitioning of the rows, whatever other columns are called."""
+    import numpy as np
+
+    docs, rated = table(spark, "/root/testdata/sf0.001", "documents"), quality.graded(table(spark, "/root/testdata/sf0.001", "labels"))
+    more = docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("zz "), "text"))
+    both = docs.unionByName(more).unionByName(docs.where("doc_id % 2 = 0")).withColumns({c: F.lit("x") for c in ("grade", "at", "value", "_text", "keep")})
+    one, other = quality.train(both.repartition(2), rated), quality.train(both.repartition(30, "text").orderBy(F.desc("text")), rated)
+    assert np.array_equal(one.weights, other.weights) and np.array_equal(one.thresholds, other.thresholds) and one.weights.any()
+    assert quality.score(both, one, "doc_id", "grade").columns == ["doc_id", "grade", "expected_grade", "p_wanted", "keep"]
+    assert quality.select(both, rated).columns == both.columns
+
+
+def test_chosen_features_by_brute_force(spark):
+    """Weights go to the features whose likelihood ratio passes, computed plainly."""
+    import math
+
+    docs, rated = table(spark, "/root/testdata/sf0.001", "documents"), quality.graded(table(spark, "/root/testdata/sf0.001", "labels"))
+    rows = docs.join(rated, "doc_id").select("text", "grade").collect()
+    seen, n = {}, [sum(r.grade == k for r in rows) for k in range(3)]
+    for r in rows:
+        for at in quality.features(r.text)[0].tolist():
+            seen.setdefault(at, [0, 0, 0])[r.grade] += 1
+
+    def ratio(counts):
+        best = 0.0
+        for k in (1, 2):
+            low, share = sum(counts[:k]), sum(n[:k]) / sum(n)
+            parts = ((low, share), (sum(counts) - low, 1 - share))
+            best = max(best, 2 * sum(c * math.log(c / (sum(counts) * s)) for c, s in parts if c))
+        return best
+
+    chosen = {at for at, counts in seen.items() if ratio(counts) >= quality.TELLING} | {quality.bucket(b"always", b"")}
+    model = quality.train(docs, rated)
+    assert {i for i, w in enumerate(model.weights.tolist()) if w} <= chosen
+    assert sum(model.weights[i] != 0 for i in chosen) > 0.9 * len(chosen)
+
+
 def test_thresholds_are_ordered_and_tails_fall():
     import numpy as np
 
