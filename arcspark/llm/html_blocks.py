@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 #: Elements, roles and names that mark what isn't main text.
 NO_CONTENT = frozenset("nav header footer aside form button select option textarea fieldset menu dialog search noscript template svg iframe object canvas title head".split())
@@ -23,6 +25,14 @@ NAMES = frozenset(
 )
 #: Names that are judged as parts of longer names only outside the article, where an ``entry-header`` can't be.
 WEAK_NAMES = frozenset("header form widget toolbar aside reply replies".split())
+#: Parts of a longer name that, beside one of the above, leave it a name of the layout; inside the article it
+#: counts only if all its parts are such, as ``related-posts`` is and ``ad-hoc-analysis`` isn't.
+BESIDE = frozenset(
+    "area areas article articles bar bars block blocks body bottom box boxes button buttons card cards column container content entry feed group holder icon icons inner item items "
+    "left link links list lists main news outer page pages panel post posts right row section sections slot stories story text thread title top unit units wrap wrapper zone".split()
+)
+#: Elements whose id may name them; on headings, paragraphs and the like it names what they say.
+CONTAINERS = frozenset("article aside center details div dl figure footer form header hgroup iframe main menu nav ol section table ul".split())
 #: Words that make the name after them a mark of the layout.
 LAYOUT = frozenset("no has with without is not".split())
 BLOCKS = frozenset(
@@ -74,6 +84,8 @@ def _named(value: str, inside: bool, whole: bool) -> bool:
             if len(parts) > 1 and parts[0] in ("comment", "reply") and parts[1].isdigit():
                 return True
             continue
+        if inside and not all(part in NAMES or part in WEAK_NAMES or part in BESIDE or part in LAYOUT or part.isdigit() or not part for part in parts):
+            continue
         if len(parts) > 1 and any(
             (part in NAMES or part in WEAK_NAMES and not inside) and not (k and parts[k - 1] in LAYOUT)
             for k, part in enumerate(parts)
@@ -91,7 +103,7 @@ def declared_noise(tag: str, attributes: str, inside: bool = False) -> int:
         value, name = (a or b or c).lower(), name.lower()
         if name == "hidden" or name == "style" and _UNSEEN.search(value) or name == "role" and value.strip() in NO_CONTENT_ROLES:
             return FIRM
-        if name in ("class", "id") and _named(value, inside, tag in MAIN):
+        if (name == "class" or name == "id" and tag in CONTAINERS) and _named(value, inside, tag in MAIN):
             found = NAMED
     return found
 
@@ -100,15 +112,28 @@ def _is_main(tag: str, attributes: str) -> bool:
     return tag in MAIN or "role" in attributes and any(n.lower() == "role" and (a or b or c).lower().strip() == "main" for n, a, b, c in _ATTRIBUTE.findall(attributes))
 
 
+def _markup(page: str) -> Iterator[re.Match]:
+    """Tags, comments and elements without content, in order. What has no ``>`` ahead is looked at once, not from each ``<``."""
+    last, at = page.rfind(">"), page.find("<")
+    while at >= 0:
+        if at > last and not page.startswith("<!--", at):
+            at = page.find("<!--", at)
+            continue
+        m = _MARKUP.match(page, at)
+        if m:
+            yield m
+        at = page.find("<", m.end() if m else at + 1)
+
+
 class Tree:
     """``tags``, ``attributes``, ``above`` (parent) and ``shut`` (by its own end tag) of each element; ``pieces`` of text."""
 
     def __init__(self, page: str) -> None:
         self.tags, self.attributes, self.above, self.shut = [""], [""], [-1], [True]
         self.pieces: list[tuple[int, int, int, int]] = []  # block, element, start, end
-        self._open, self._head = [0], False
+        self._open, self._head, self._held = [0], False, Counter()
         block = at = 0
-        for m in _MARKUP.finditer(page):
+        for m in _markup(page):
             if m.start() > at:
                 self.pieces.append((block, self._open[-1], at, m.start()))
             at = m.end()
@@ -126,16 +151,20 @@ class Tree:
                     self.attributes.append(attributes)
                     self.above.append(self._open[-2])
                     self.shut.append(False)
+                    self._held[tag] += 1
                     self._head |= tag == "head"
         if at < len(page):
             self.pieces.append((block, self._open[-1], at, len(page)))
 
     def _close(self, wanted, stops) -> int | None:
         """Close the innermost open element of these tags, if none of ``stops`` is nearer; its number."""
+        if not any(self._held[tag] for tag in wanted):
+            return None
         for k in range(len(self._open) - 1, 0, -1):
             tag = self.tags[self._open[k]]
             if tag in wanted:
                 found = self._open[k]
+                self._held.subtract(self.tags[i] for i in self._open[k:])
                 del self._open[k:]
                 return found
             if tag in stops:

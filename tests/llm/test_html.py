@@ -73,6 +73,40 @@ def test_blocks_of_loose_markup(page, text):
     assert html_text.chosen(parsed, html_text.tokens(parsed), 0, html_text._NONE, html_text._NONE) == text
 
 
+@pytest.mark.parametrize("fragment", [
+    '<h2 id="related-work">Related</h2>', '<h2 id="comments">Comments on the theorem</h2>', '<h2 id="modal-verbs">Verbs</h2>', '<h2 id="sharing-memory">Memory</h2>',
+    '<p id="overlay">Overlay networks</p>', '<section class="ad-hoc-analysis">Analysis</section>', '<div id="menu-of-the-day">Soup</div>',
+    '<span id="footer">text-level</span>', '<div class="comment-on-the-text">a note</div>', '<blockquote id="share">quoted</blockquote>',
+])
+def test_names_keep_article_text(fragment):
+    text = fragment[fragment.index(">") + 1 : fragment.rindex("<")]
+    page = f"<nav>go</nav><article><p>first</p>{fragment}<p>last</p></article>"
+    parsed = blocks(page)
+    assert html_text.chosen(parsed, html_text.tokens(parsed), 0, html_text._NONE, html_text._NONE) == f"first {text} last"
+
+
+@pytest.mark.parametrize("fragment", [
+    '<div id="comments">nice</div>', '<div class="comment-list"><p>nice</div>', '<section class="related-posts">x</section>', '<div class="ad ad-slot-3">buy</div>',
+    '<ul class="share-buttons"><li>x</ul>', '<div class="cookie-notice">x</div>', '<p class="advert">buy</p>', '<div id="comment-12">nice</div>', '<div class="newsletter-box">x</div>',
+])
+def test_comments_and_adverts_of_an_article_go(fragment):
+    parsed = blocks(f"<article><p>first</p>{fragment}<p>last</p></article>")
+    assert html_text.chosen(parsed, html_text.tokens(parsed), 0, html_text._NONE, html_text._NONE) == "first last"
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<a b="' * 200_000, None), ("<script " * 120_000, None), ("<p>a</p>" + "<!x " * 200_000, None), ("<div>" * 200_000 + "deep", "deep"), ("<p>a<b " * 100_000 + "<!-- b", None),
+    ("<p>a > b <!-- c", "a > b"), ("a<!-- b > c", "a"), ("<p>a</p>1 < 2 <b", "a 1 < 2 <b"),
+])
+def test_long_broken_markup(page, text):
+    import time
+
+    began = time.process_time()
+    parsed = blocks(page)
+    assert time.process_time() - began < 5
+    assert text is None or " ".join(t for t, _, _ in parsed) == text
+
+
 def _site(rng, n, host, marked=False):
     rows = []
     for i in range(n):
