@@ -20,7 +20,8 @@ nothing. Items of fewer than ``WINDOW`` words are matched by windows of their ow
 Windows of numbers alone match nothing.
 
 Defined cases: null texts hold no words; an empty benchmark or table gives no matches;
-repeated rows of a document or an item count once; other columns are not read by
+repeated rows of a document or an item count once; different texts under one id are compared each for itself, and
+the pair of ids has one row, that of its best alignment; other columns are not read by
 ``matches`` and are kept by ``clean``.
 """
 
@@ -133,10 +134,10 @@ def _value(word: bytes) -> str:
     return word.strip(_PUNCTUATION).decode("utf-8", "replace").lower()
 
 
-HITS = "id long, size int, hash long, pos int, template boolean, slots array<struct<at:int,value:string>>"
+HITS = "id long, key long, size int, hash long, pos int, template boolean, slots array<struct<at:int,value:string>>"
 
 
-def _rows(doc_id: int, text: str | None, sizes: tuple[int, ...], table: np.ndarray | None) -> Iterator[tuple]:
+def _rows(doc_id: int, key: int, text: str | None, sizes: tuple[int, ...], table: np.ndarray | None) -> Iterator[tuple]:
     hashes, slot, words, own, number = canonical(text)
     for size in sizes:
         for template in (True, False):
@@ -147,26 +148,26 @@ def _rows(doc_id: int, text: str | None, sizes: tuple[int, ...], table: np.ndarr
                 at = np.flatnonzero(slot[i : i + size]) if template else ()
                 # numbers are told from names by a place below 0
                 slots = [{"at": -1 - int(k) if number[i + k] else int(k), "value": _value(words[i + k])} for k in at]
-                yield doc_id, size, int(h[i].astype(np.int64)), i, template, slots
+                yield doc_id, key, size, int(h[i].astype(np.int64)), i, template, slots
 
 
 def _found(df: DataFrame, key: str, sizes: tuple[int, ...], table: np.ndarray | None) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(table)
     small_batches(df.sparkSession)
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())])))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                names=["id", "size", "hash", "pos", "template", "slots"],
+                names=["id", "key", "size", "hash", "pos", "template", "slots"],
             )
 
         _begin()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for row in _rows(doc_id, text.as_py(), sizes, shared.value):
+            for doc_id, text_key, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), strict=True):
+                for row in _rows(doc_id, text_key, text.as_py(), sizes, shared.value):
                     rows.append(row)
                     if len(rows) == 20_000:
                         yield sent(rows)
@@ -174,8 +175,13 @@ def _found(df: DataFrame, key: str, sizes: tuple[int, ...], table: np.ndarray |
             if rows:
                 yield sent(rows)
 
-    part = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return part.mapInArrow(run, HITS)
+    return _texts(df, key).mapInArrow(run, HITS)
+
+
+def _texts(df: DataFrame, key: str) -> DataFrame:
+    """``id, key, text``: texts of one id are told apart by their hash."""
+    text = F.col("text").cast("string")
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def _table(asked: DataFrame) -> np.ndarray:
@@ -200,14 +206,13 @@ def _table(asked: DataFrame) -> np.ndarray:
 
 
 def _lengths(benchmark: DataFrame) -> DataFrame:
-    """``item_id, words``: how many canonical words each item has."""
+    """``id, key, words``: how many canonical words each item's text has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(canonical(x.as_py())[0]) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=["item_id", "words"])
+            n = [len(canonical(x.as_py())[0]) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32())], names=["id", "key", "words"])
 
-    part = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return part.mapInArrow(run, "item_id long, words int").groupBy("item_id").agg(F.max("words").alias("words"))
+    return _texts(benchmark, "item_id").mapInArrow(run, "id long, key long, words int").distinct()
 
 
 def judged(hits: list[tuple], need: int, band: int) -> tuple[int, int, bool] | None:
@@ -256,16 +261,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
     short = sorted(r[0] for r in lengths.where(f"words < {window} and words >= 1").select("words").distinct().collect())
     sizes = (*short, window)  # at most ``window`` numbers
     asked = materialise(_found(benchmark, "item_id", sizes, None), "windows")
-    asked = asked.join(lengths.withColumnRenamed("item_id", "id"), "id").where(F.col("size") == F.least("words", F.lit(window)))
+    asked = asked.join(lengths, ["id", "key"]).where(F.col("size") == F.least("words", F.lit(window)))
     table = _table(asked)
 
     hits = _found(docs, "doc_id", sizes, table)
-    asked = asked.select(F.col("id").alias("item_id"), "size", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "template", "words").dropDuplicates(["item_id", "size", "item_pos", "template"])
+    asked = asked.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "size", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "template", "words").dropDuplicates(["item_id", "item_key", "size", "item_pos", "template"])
     if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         asked = F.broadcast(asked)  # so that a window that very many documents share isn't gathered
     met = hits.join(asked, ["size", "hash", "template"])
-    each = met.groupBy("id", "item_id", "pos", "item_pos").agg(F.max(F.struct("template", "size", "words", "slots", "item_slots")).alias("m"))
-    pairs = each.groupBy("id", "item_id").agg(
+    pair = ["id", "key", "item_id", "item_key"]
+    each = met.groupBy(*pair, "pos", "item_pos").agg(F.max(F.struct("template", "size", "words", "slots", "item_slots")).alias("m"))
+    pairs = each.groupBy(*pair).agg(
         F.max("m.words").alias("words"), F.collect_list(F.struct("pos", "item_pos", "m.size", "m.slots", "m.item_slots")).alias("hits")
     )
     need = F.least(F.lit(run), F.ceil(F.col("words") * F.lit(share)))
@@ -285,7 +291,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: in
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     names = ["doc_id", "item_id", "covered", "item_words", "n_slots", "reparameterised", "contaminated"]
-    return pairs.mapInArrow(judge, "doc_id long, item_id long, covered long, item_words long, n_slots long, reparameterised boolean, contaminated boolean")
+    found = pairs.mapInArrow(judge, "doc_id long, item_id long, covered long, item_words long, n_slots long, reparameterised boolean, contaminated boolean")
+    best = F.max(F.struct(*names[2:])).alias("best")  # of all texts of the two ids
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -121,6 +121,18 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
 
+def test_several_texts_of_one_id(spark):
+    """Each text of an item and of a document is compared, whatever the order and partitioning of the rows."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(150)]
+    one, two, three = (" ".join(words[a : a + 40]) for a in (0, 50, 100))
+    items = spark.createDataFrame([(1, one), (1, two), (1, one), (2, three), (2, None), (2, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"then {one} so"), (11, f"then {two} so"), (12, "clean"), (12, f"{three} end"), (12, "clean too"), (13, "clean"), (10, two)], "doc_id long, text string")
+    for n in (2, 200):
+        found = decontaminate.matches(docs.repartition(n), items.repartition(n, "text")).collect()
+        assert sorted((r.doc_id, r.item_id, r.covered, r.item_words) for r in found) == [(10, 1, 40, 40), (11, 1, 40, 40), (12, 2, 40, 40)]
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [13]
+
+
 def test_verbatim_leaks(spark):
     items = [(1, "What is 7 times 8?"), (2, "Name three colours"), (3, "Alpha 12 Beta 15 Gamma 17 Delta 19 Epsilon 23 Zeta 29 Eta 31 Theta 37"), (4, "how many sides has a square")]
     items = spark.createDataFrame(items, "item_id long, text string")
