@@ -1,13 +1,15 @@
 """Shortest paths over semirings, and their relatives, by rounds of relaxation.
 
 A round extends only labels that improved, picks the best offer for each vertex (map-side
-first) and keeps it where it beats the vertex's label. For values that ``plus`` never improves
-and whose order it keeps, the fixpoint is that of settling vertices in order.
+first), keeps it where it beats the vertex's label, and writes these improvements only. For values that ``plus`` never
+improves and whose order it keeps, the fixpoint is that of settling vertices in order. Lengths that add up
+are settled in buckets, which gives bounds for ending a search early.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,8 +19,12 @@ from pyspark.sql import functions as F
 from arcspark.functions.semiring import SHORTEST_PATH, Semiring
 from arcspark.graph import Graph, GraphError
 from arcspark.operators.traverse import breadth_first_search
-from arcspark.plans.fixpoint import per_group, rounds
+from arcspark.plans.fixpoint import COMPACT_EVERY, per_group, rounds
 from arcspark.plans.scratch import discard, materialise
+from arcspark.sources.builders import numbered
+
+#: The width of a bucket, in means of the arcs' lengths.
+DELTA_MEANS = 4
 
 
 def _checked(graph: Graph, weight: str | Column, semiring: Semiring = SHORTEST_PATH) -> DataFrame:
@@ -45,21 +51,91 @@ def _seeds(graph: Graph, sources: DataFrame, semiring: Semiring) -> DataFrame:
     return at.join(graph.vertices.select("id"), "id", "left_semi")
 
 
-def _relaxed(arcs: DataFrame, seeds: DataFrame, semiring: Semiring, within: Column | None = None) -> DataFrame:
-    labels = materialise(seeds, "labels")
-    frontier = labels
-    for _ in rounds():
-        offers = frontier.select(F.col("id").alias("src"), "dist").join(arcs, "src").select(F.col("dst").alias("id"), semiring.plus(F.col("dist"), F.col("w")).alias("new"))
-        if within is not None:
-            offers = offers.where(within)
-        best = offers.groupBy("id").agg(semiring.choose(F.col("new")).alias("new"))
-        won = best.join(labels, "id", "left").where(F.col("dist").isNull() | semiring.better(F.col("new"), F.col("dist")))
-        before, frontier = frontier, materialise(won.select("id", F.col("new").alias("dist")), "labels")
-        if frontier.isEmpty():
-            break
-        older, labels = labels, materialise(labels.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "labels")
-        discard(before, older)
-    return labels
+class Labels:
+    """The best label of each vertex, from written tables of improvements; many of them are merged into one."""
+
+    def __init__(self, first: DataFrame, semiring: Semiring) -> None:
+        self.parts, self.semiring = [first], semiring
+
+    def add(self, part: DataFrame) -> None:
+        """A round writes what improved; the rest stays as it is written."""
+        if len(self.parts) >= COMPACT_EVERY:
+            merged = materialise(self.table(), "labels")
+            discard(*self.parts[:-1])  # the last is what the next round goes on from
+            self.parts = [merged]
+        self.parts.append(part)
+
+    def table(self) -> DataFrame:
+        """``id, dist``"""
+        if len(self.parts) == 1:
+            return self.parts[0]
+        every = self.parts[0]
+        for part in self.parts[1:]:
+            every = every.unionByName(part)
+        return every.groupBy("id").agg(self.semiring.choose(F.col("dist")).alias("dist"))
+
+
+class Search:
+    """Labels settled bucket by bucket (delta-stepping).
+
+    A bucket holds the labels of lengths from the least open one up to ``delta`` more. Arcs of at most ``delta``
+    are relaxed within it until nothing improves; longer ones then once, as they lead to later buckets only.
+    When a bucket ends, all labels below ``bound`` are settled. Without ``length`` (of a label; for
+    values that don't add up) there is one bucket of everything.
+    """
+
+    def __init__(self, arcs: DataFrame, seeds: DataFrame, semiring: Semiring, within: Column | None = None, length: Callable[[Column], Column] | None = None, delta: float | None = None) -> None:
+        self.semiring, self.within, self.length, self.delta = semiring, within, length, delta
+        self.labels, self.bound, self.light, self.heavy = Labels(materialise(seeds, "labels"), semiring), None, arcs, None
+        if length is not None:
+            told = arcs.agg(F.avg("w"), F.max("w")).first()
+            self.delta = delta if delta is not None else DELTA_MEANS * float(told[0] or 1) or 1.0
+            if told[1] is not None and told[1] > self.delta:
+                self.light, self.heavy = arcs.where(F.col("w") <= F.lit(self.delta)), arcs.where(F.col("w") > F.lit(self.delta))
+
+    def _relax(self, frontier: DataFrame, arcs: DataFrame) -> DataFrame | None:
+        """One round: what improved, written; None if nothing did."""
+        offers = frontier.select(F.col("id").alias("src"), "dist").join(arcs, "src").select(F.col("dst").alias("id"), self.semiring.plus(F.col("dist"), F.col("w")).alias("new"))
+        if self.within is not None:
+            offers = offers.where(self.within)
+        best = offers.groupBy("id").agg(self.semiring.choose(F.col("new")).alias("new"))
+        won = best.join(self.labels.table(), "id", "left").where(F.col("dist").isNull() | self.semiring.better(F.col("new"), F.col("dist")))
+        part = materialise(won.select("id", F.col("new").alias("dist")), "labels")
+        if part.isEmpty():
+            discard(part)
+            return None
+        self.labels.add(part)
+        return part
+
+    def advance(self) -> bool:
+        """Settle the next bucket; False if no label is open."""
+        frontier, inside = self.labels.table(), None
+        if self.length is not None:
+            at = self.length(F.col("dist"))
+            least = (frontier if self.bound is None else frontier.where(at >= F.lit(self.bound))).agg(F.min(at)).first()[0]
+            if least is None:
+                return False
+            self.bound = float(least) + self.delta
+            inside = (at >= F.lit(least)) & (at < F.lit(self.bound))
+            frontier = frontier.where(inside)
+        for _ in rounds():
+            part = self._relax(frontier, self.light)
+            if part is None:
+                break
+            frontier = part if inside is None else part.where(inside)
+        if self.heavy is not None:
+            self._relax(self.labels.table().where(inside), self.heavy)
+        return inside is not None
+
+    def run(self) -> DataFrame:
+        for _ in rounds():
+            if not self.advance():
+                break
+        return self.labels.table()
+
+
+def _itself(label: Column) -> Column:
+    return label
 
 
 def _tight(arcs: DataFrame, labels: DataFrame, semiring: Semiring) -> DataFrame:
@@ -70,27 +146,65 @@ def _tight(arcs: DataFrame, labels: DataFrame, semiring: Semiring) -> DataFrame:
 
 def shortest_paths(
     graph: Graph, weight: str | Column, sources: DataFrame, semiring: Semiring = SHORTEST_PATH,
-    store_paths: bool = False, max_dist: float | None = None,
+    store_paths: bool = False, max_dist: float | None = None, targets: DataFrame | None = None, limit: int | None = None, delta: float | None = None,
 ) -> DataFrame:
     """``id, dist`` (and ``pred_arc, pred_vertex``) of the vertices reached from ``sources`` (id[, offset]).
 
     Of equally good predecessors the search over tight arcs takes the fewest hops from a
     source, then the least arc id, so paths end also where arcs of value zero form cycles.
-    ``max_dist`` stops at this value (inclusive).
+
+    Three early ends, of which the last two need lengths that add up: ``max_dist`` stops at this value
+    (inclusive); ``targets`` (id) ends the search once all of them are settled, and gives the vertices no farther
+    than the farthest of them (all vertices, if one isn't reached); ``limit`` gives the first so many vertices in
+    the order in which they are settled, by (dist, id). ``delta`` is the width of a bucket.
     """
+    adds = semiring is SHORTEST_PATH
+    if (targets is not None or limit is not None) and not adds:
+        raise GraphError("an early end needs lengths that add up")
     arcs = materialise(_checked(graph, weight, semiring), "arcs")
     seeds = materialise(_seeds(graph, sources, semiring), "seeds")
     within = None
     if max_dist is not None:
         within = F.col("new") <= max_dist if semiring.best == "min" else F.col("new") >= max_dist
-    labels = _relaxed(arcs, seeds, semiring, within)
+    search = Search(arcs, seeds, semiring, within, _itself if adds else None, delta)
+    if targets is None and limit is None:
+        labels = search.run()
+    else:
+        labels = _until(search, targets, limit)
     if not store_paths:
         return labels
+    labels = materialise(labels, "labels")
     roots = seeds.join(labels, ["id", "dist"], "left_semi").select("id")
     tree = breadth_first_search(Graph(labels.select("id"), materialise(_tight(arcs, labels, semiring), "tight")), roots)
     return labels.join(tree.select("id", "pred_arc", "pred_vertex"), "id", "left")
 
 
+def _until(search: Search, targets: DataFrame | None, limit: int | None) -> DataFrame:
+    """The settled labels that were asked for, with no bucket more than they take."""
+    wanted = None if targets is None else materialise(targets.select("id").distinct(), "targets")
+    asked = 0 if wanted is None else wanted.count()
+    farthest = None
+    for _ in rounds():
+        if limit is not None and limit <= 0 or not search.advance():
+            break
+        settled = search.labels.table().where(F.col("dist") < F.lit(search.bound))
+        if limit is not None and settled.count() >= limit:
+            break
+        if wanted is not None:
+            met = settled.join(wanted, "id", "left_semi").agg(F.count("*"), F.max("dist")).first()
+            if met[0] == asked:
+                farthest = met[1]
+                break
+    found = search.labels.table()
+    if search.bound is not None:
+        found = found.where(F.col("dist") < F.lit(search.bound))
+    if farthest is not None:
+        found = found.where(F.col("dist") <= F.lit(farthest))
+    if asked == 0 and wanted is not None:
+        found = found.limit(0)
+    return found if limit is None else numbered(found, "pos", "dist", "id").where(F.col("pos") < max(limit, 0)).select("id", "dist")
+
+
 def path_to(found: DataFrame, targets: DataFrame) -> DataFrame:
     """``target, pos, arc_id``: the arcs of the path to each target (id), pos from 0 at the source.
 
@@ -112,38 +226,41 @@ def path_to(found: DataFrame, targets: DataFrame) -> DataFrame:
     return arcs.select("target", (length - 1 - F.col("behind")).alias("pos"), F.col("pred_arc").alias("arc_id"))
 
 
-def bidirectional_shortest_path(graph: Graph, weight: str | Column, sources: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bidirectional_shortest_path(
+    graph: Graph, weight: str | Column, sources: DataFrame, targets: DataFrame, delta: float | None = None, settled: list[int] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """One source-to-target distance by two searches: a row (dist), null if none, and the path's (pos, arc_id).
 
-    Each side only keeps labels below the best meeting found so far. A vertex that is both a
-    source and a target is a path of no arcs.
+    The side that is settled less far goes on, bucket by bucket, and only keeps labels below the best meeting found so
+    far. A path that isn't met yet is at least as long as both sides' bounds together, so the search ends when these
+    reach the best meeting. A vertex that is both a source and a target is a path of no arcs. ``settled``
+    is given the number of labels of each side.
     """
-    from arcspark.operators.views import reverse
-
     arcs = materialise(_checked(graph, weight), "arcs")
     back = arcs.select("arc_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    sides = [(arcs, materialise(_seeds(graph, sources, SHORTEST_PATH), "seeds")), (back, materialise(_seeds(graph, targets, SHORTEST_PATH), "seeds"))]
-    labels, fronts = [s for _, s in sides], [s for _, s in sides]
-    best: float | None = None
+    seeds = [materialise(_seeds(graph, ends, SHORTEST_PATH), "seeds") for ends in (sources, targets)]
+    sides = [Search(one, at, SHORTEST_PATH, None, _itself, delta) for one, at in zip((arcs, back), seeds, strict=True)]
+    best = None
     for k in rounds():
-        met = labels[0].join(labels[1].select("id", F.col("dist").alias("other")), "id").agg(F.min(F.col("dist") + F.col("other"))).first()[0]
-        best = met if best is None or met is not None and met < best else best
-        side = k % 2 if not fronts[k % 2].isEmpty() else 1 - k % 2
-        if fronts[side].isEmpty():
-            break
-        offers = fronts[side].select(F.col("id").alias("src"), "dist").join(sides[side][0], "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        if best is not None:
-            offers = offers.where(F.col("new") < best)
-        won = offers.join(labels[side], "id", "left").where(F.col("dist").isNull() | (F.col("new") < F.col("dist")))
-        fronts[side] = materialise(won.select("id", F.col("new").alias("dist")), "front")
-        labels[side] = materialise(labels[side].join(fronts[side].select("id"), "id", "left_anti").unionByName(fronts[side]), "labels")
+        both = [side.labels.table() for side in sides]
+        met = both[0].join(both[1].select("id", F.col("dist").alias("other")), "id").agg(F.min(F.col("dist") + F.col("other"))).first()[0]
+        if met is not None and (best is None or met < best):
+            best = met
+            for side in sides:
+                side.within = F.col("new") < F.lit(best)
+        bounds = [side.bound or 0.0 for side in sides]
+        if best is not None and sum(bounds) >= best or not sides[bounds[1] < bounds[0]].advance():
+            break  # a side with nothing open has met all that it can
+    labels = [materialise(side.labels.table(), "labels") for side in sides]
+    if settled is not None:
+        settled += [x.count() for x in labels]
     dist = graph.spark.createDataFrame([(best,)], "dist long" if best is None or isinstance(best, int) else "dist double")
     middle = labels[0].join(labels[1].select("id", F.col("dist").alias("other")), "id").where(F.col("dist") + F.col("other") == (best if best is not None else -1))
     at = materialise(middle.orderBy("id").limit(1).select("id"), "middle")
     halves = []
-    for side, seeds in enumerate((sources, targets)):
-        tight = Graph(graph.vertices, _tight(sides[side][0], labels[side], SHORTEST_PATH))
-        roots = _seeds(graph, seeds, SHORTEST_PATH).join(labels[side], ["id", "dist"], "left_semi").select("id")
+    for side in range(2):
+        tight = Graph(graph.vertices, _tight((arcs, back)[side], labels[side], SHORTEST_PATH))
+        roots = seeds[side].join(labels[side], ["id", "dist"], "left_semi").select("id")
         halves.append(path_to(breadth_first_search(tight, roots), at))
     first = halves[0].select("pos", "arc_id")
     n = first.agg(F.count("*").alias("n"))
@@ -160,7 +277,8 @@ def network_voronoi(graph: Graph, weight: str | Column, kernels: DataFrame) -> D
     )
     zero = F.lit(0).cast(dict(arcs.dtypes)["w"])
     seeds = kernels.select("id").distinct().join(graph.vertices.select("id"), "id", "left_semi")
-    found = _relaxed(arcs, seeds.select("id", F.struct(zero.alias("dist"), F.col("id").alias("kernel")).alias("dist")), pair)
+    first = seeds.select("id", F.struct(zero.alias("dist"), F.col("id").alias("kernel")).alias("dist"))
+    found = Search(arcs, first, pair, None, lambda label: label["dist"]).run()
     return found.select("id", F.col("dist.dist").alias("dist"), F.col("dist.kernel").alias("kernel"))
 
 
