@@ -398,7 +398,10 @@ def unbounded_knapsack_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.groupBy("problem_id").agg(F.sum(F.col("value") * F.col("count")).alias("value"))
 
 
-@query()
+@query("""with w as (select p_partkey, p_retailprice as weight, floor(p_retailprice * pow(2, 52 - floor(log2((select max(p_retailprice) from part)))))::hugeint as w from part),
+i as (select *, sum(w) over (order by p_partkey, weight rows unbounded preceding) - w as place from w where w > 0), t as (select sum(w)::hugeint as total from i),
+d as (select draw, ((('0x' || md5(draw || ':7')[1:15])::bigint::hugeint * total) >> 60) as place from range(10000) r(draw), t)
+select draw, p_partkey, weight from d asof join i on d.place >= i.place""")
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("weight"))
     return sampling.weighted_sample(items, 10_000, seed=7)
