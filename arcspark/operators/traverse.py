@@ -1,21 +1,24 @@
 """Traversals: breadth first, depth first, topological order, forests, strong and weak components.
 
 Breadth-first search, forests and components are rounds of joins. Depth-first search is
-sequential by nature and runs as one task per search. Topological order and strong components
-are sequential within a weak component, so small weak components each run as one task, side
-by side, and large ones by rounds of joins.
+sequential by nature and runs as one task per search, but for forests. Topological order (once chains are
+contracted) and strong components are sequential within a weak component, so small weak components
+each run as one task, side by side, and large ones by rounds of joins.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arcspark.graph import Graph, UndirectedGraph
+from arcspark.operators.chains import chain_places, list_sums
 from arcspark.operators.components import component_labels
 from arcspark.plans.fixpoint import Accumulated, per_group, rounds
 from arcspark.plans.scratch import discard, materialise
+from arcspark.sources.builders import numbered
 
 #: Arcs of a weak component that a sequential kernel takes.
 TASK_ARCS = 500_000
@@ -91,8 +94,16 @@ def reached(graph: Graph, found: DataFrame) -> DataFrame:
 
 
 def depth_first_search(graph: Graph, sources: DataFrame, most_arcs: int = TASK_ARCS * 10) -> DataFrame:
-    """``id, pos, depth, pred_arc, pred_vertex`` in preorder; arcs are tried in order of arc id, sources of id."""
+    """``id, pos, depth, pred_arc, pred_vertex`` in preorder; arcs are tried in order of arc id, sources of id.
+
+    Where no vertex has two arcs in and no source has any, what is reached is a forest, and its preorder is that
+    of an Euler tour whose places are found by doubling, in no single task. Other graphs are searched by one
+    task, of at most ``most_arcs`` arcs.
+    """
     s = sources.select("id").distinct().join(graph.vertices.select("id"), "id", "left_semi")
+    ins = graph.arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    if ins.where("n > 1").isEmpty() and ins.join(s, "id", "left_semi").isEmpty():
+        return _preorder(graph, s)
     none = F.lit(None).cast("long")
     rows = graph.arcs.select(F.lit(0).alias("g"), "arc_id", "src", "dst").unionByName(
         s.select(F.lit(0).alias("g"), none.alias("arc_id"), F.col("id").alias("src"), none.alias("dst"))
@@ -123,6 +134,28 @@ def depth_first_search(graph: Graph, sources: DataFrame, most_arcs: int = TASK_A
     return per_group(rows, "g", run, "id long, pos long, depth long, pred_arc long, pred_vertex long", most_arcs)
 
 
+def _preorder(graph: Graph, roots: DataFrame) -> DataFrame:
+    """Preorder of the trees below ``roots``: an Euler tour enters each vertex (2 * id) and leaves it (2 * id + 1)."""
+    arcs = materialise(graph.arcs.select("arc_id", "src", "dst"), "arcs")
+    roots = numbered(roots, "n", "id")
+    brothers = W.partitionBy("src").orderBy("arc_id")
+    kids = arcs.select("src", F.col("dst").alias("id"), F.lead("dst").over(brothers).alias("brother"), F.row_number().over(brothers).alias("n"))
+    kids = materialise(kids, "children")
+    heirs = roots.select("id", (F.col("n") - 1).alias("n")).where("n >= 0").select("n", F.col("id").alias("brother"))
+    tops = roots.join(heirs, "n", "left").select(F.lit(None).cast("long").alias("src"), "id", "brother")
+    every = kids.select("src", "id", "brother").unionByName(tops)
+    first = kids.where("n = 1").select(F.col("src").alias("id"), F.col("id").alias("child"))
+    one, enter, leave = F.lit(1).cast("long"), lambda c: 2 * F.col(c), lambda c: 2 * F.col(c) + 1
+    entered = every.join(first, "id", "left").select(enter("id").alias("id"), F.coalesce(enter("child"), leave("id")).alias("next"), one.alias("entered"), one.alias("deeper"))
+    left = every.select(leave("id").alias("id"), F.coalesce(enter("brother"), leave("src")).alias("next"), F.lit(0).cast("long").alias("entered"), (-one).alias("deeper"))
+    sums = list_sums(materialise(entered.unionByName(left), "tour"), ["entered", "deeper"])
+    end = roots.agg(F.max(F.struct("n", "id")).alias("x")).select((2 * F.col("x.id") + 1).alias("last"))
+    met = materialise(sums.where("id % 2 = 0").join(F.broadcast(end), "last").select((F.col("id") / 2).cast("long").alias("id"), "entered", "deeper"), "preorder")
+    n = met.agg(F.count("*").alias("n"))
+    tree = met.join(arcs.select(F.col("dst").alias("id"), F.col("arc_id").alias("pred_arc"), F.col("src").alias("pred_vertex")), "id", "left").join(F.broadcast(n))
+    return tree.select("id", (F.col("n") - F.col("entered")).alias("pos"), (-F.col("deeper")).alias("depth"), "pred_arc", "pred_vertex")
+
+
 def connected_components(graph: UndirectedGraph) -> DataFrame:
     """``id, component`` for every vertex; a component is named by its least vertex."""
     found = component_labels(graph.edges, "src", "dst")
@@ -152,65 +185,83 @@ def topological_sort(graph: Graph, task_arcs: int = TASK_ARCS) -> DataFrame:
     """``id, rank, pred_arc, pred_vertex`` of the vertices on or behind no cycle.
 
     ``rank`` is the number of arcs on the longest path to the vertex; (rank, id) is a
-    topological order; the predecessor is the least arc from rank - 1.
+    topological order; the predecessor is the least arc from rank - 1. Chains are contracted to arcs of
+    their length first, so a chain of any length costs no round for each of its arcs and no task.
     """
+    places, turning = chain_places(graph)
+    places = materialise(places, "places")
+    gone = places.select("id").unionByName(turning)
+    ends = graph.vertices.select("id").join(gone, "id", "left_anti")
+    arcs = graph.arcs.select("src", "dst").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
+    behind = arcs.join(places.select(F.col("id").alias("src"), "head", "place"), "src", "left")
+    length = F.coalesce("place", F.lit(0).cast("long")) + 1
+    short = behind.groupBy(F.coalesce("head", "src").alias("src"), "dst").agg(F.max(length).alias("length"))
+    short = Graph(materialise(ends, "ends"), materialise(short.withColumn("arc_id", F.lit(0).cast("long")), "contracted"))
+    ranks = materialise(_longest(short, task_arcs), "ranks")
+    along = places.join(ranks.withColumnRenamed("id", "head"), "head").select("id", (F.col("rank") + F.col("place")).alias("rank"))
+    return _with_predecessors(graph, materialise(ranks.unionByName(along), "ranks"))
+
+
+def _with_predecessors(graph: Graph, ranks: DataFrame) -> DataFrame:
+    before, after = (ranks.select(F.col("id").alias(end), F.col("rank").alias(r)) for end, r in (("src", "r"), ("dst", "q")))
+    tight = graph.arcs.select("arc_id", "src", "dst").join(before, "src").join(after, "dst").where("r + 1 = q")
+    best = tight.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("arc_id", "src")).alias("p"))
+    return ranks.join(best, "id", "left").select("id", "rank", F.col("p.arc_id").alias("pred_arc"), F.col("p.src").alias("pred_vertex"))
+
+
+def _longest(graph: Graph, task_arcs: int) -> DataFrame:
+    """``id, rank``: the longest path to each vertex by the arcs' ``length``; a task for each small weak component, rounds for the rest."""
     small, large = _by_size(graph, task_arcs)
 
     def kahn(pdf: pd.DataFrame) -> pd.DataFrame:
-        arcs = pdf.loc[pdf.arc_id.notna(), ["arc_id", "src", "dst"]].astype("int64")
-        waiting = {int(v): 0 for v in pdf.loc[pdf.arc_id.isna(), "src"]}
-        out: dict[int, list[int]] = {}
-        for _, u, v in arcs.itertuples(index=False):
-            out.setdefault(u, []).append(v)
+        waiting = dict.fromkeys(pdf.loc[pdf.length.isna(), "src"].astype("int64").tolist(), 0)
+        out: dict[int, list[tuple[int, int]]] = {}
+        for u, v, n in pdf.loc[pdf.length.notna(), ["src", "dst", "length"]].astype("int64").itertuples(index=False):
+            out.setdefault(u, []).append((v, n))
             waiting[v] += 1
-        level, rank = [v for v, n in waiting.items() if not n], {}
-        for r in range(len(waiting) + 1):
-            if not level:
-                break
-            rank.update((v, r) for v in level)
-            after = []
-            for u in level:
-                for v in out.get(u, ()):
-                    waiting[v] -= 1
-                    if not waiting[v]:
-                        after.append(v)
-            level = after
-        best: dict[int, tuple[int, int]] = {}
-        for arc, u, v in arcs.itertuples(index=False):
-            if v in rank and u in rank and rank[u] + 1 == rank[v] and (v not in best or arc < best[v][0]):
-                best[v] = (arc, u)
-        rows = [(v, r, *best.get(v, (None, None))) for v, r in rank.items()]
-        return pd.DataFrame(rows, columns=["id", "rank", "pred_arc", "pred_vertex"]).astype({"pred_arc": "Int64", "pred_vertex": "Int64"})
-
-    done = per_group(_parts(graph, small), "component", kahn, "id long, rank long, pred_arc long, pred_vertex long")
-    if large.isEmpty():
-        return done
-    return done.unionByName(_peeled(graph, large))
+        free, rank = [v for v, n in waiting.items() if not n], dict.fromkeys(waiting, 0)
+        for u in free:  # grows on the way
+            for v, n in out.get(u, ()):
+                rank[v] = max(rank[v], rank[u] + n)
+                waiting[v] -= 1
+                if not waiting[v]:
+                    free.append(v)
+        return pd.DataFrame([(v, rank[v]) for v in free], columns=["id", "rank"]).astype("int64")
+
+    none = F.lit(None).cast("long")
+    arcs = graph.arcs.join(small.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", "length")
+    parts = arcs.unionByName(small.select("component", F.col("id").alias("src"), none.alias("dst"), none.alias("length")))
+    done = per_group(parts, "component", kahn, "id long, rank long")
+    return done if large.isEmpty() else done.unionByName(_peeled(graph, large))
 
 
 def _peeled(graph: Graph, members: DataFrame) -> DataFrame:
-    """Ranks by rounds: those without remaining in-arcs leave, level by level."""
-    arcs = graph.arcs.select("arc_id", "src", "dst")
-    left = materialise(members.select("id"), "left")
-    inside = materialise(arcs.join(left.select(F.col("id").alias("src")), "src", "left_semi"), "inside")
+    """``id, rank`` by rounds: those without remaining in-arcs leave, and offer their rank and the arc's length to those they lead to."""
+    left = materialise(members.select("id", F.lit(0).cast("long").alias("rank")), "left")
+    inside = materialise(graph.arcs.select("src", "dst", "length").join(left.select(F.col("id").alias("src")), "src", "left_semi"), "inside")
     parts: Accumulated | None = None
-    for rank in rounds():
-        free = materialise(left.join(inside.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("rank", F.lit(rank - 1).cast("long")), "level")
+    for _ in rounds():
+        free = materialise(left.join(inside.select(F.col("dst").alias("id")), "id", "left_anti"), "level")
         if free.isEmpty():
             break
         if parts is None:
             parts = Accumulated(free)
         else:
             parts.add(free)
-        left = materialise(left.join(free.select("id"), "id", "left_anti"), "left")
-        inside = materialise(inside.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "inside")
-    none = F.lit(None).cast("long")
-    if parts is None:
-        return members.limit(0).select("id", F.lit(0).cast("long").alias("rank"), none.alias("pred_arc"), none.alias("pred_vertex"))
-    ranks = parts.table()
-    tight = arcs.join(ranks.select(F.col("id").alias("src"), F.col("rank").alias("r")), "src").join(ranks.select(F.col("id").alias("dst"), F.col("rank").alias("q")), "dst").where("r + 1 = q")
-    best = tight.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("arc_id", "src")).alias("p"))
-    return ranks.join(best, "id", "left").select("id", "rank", F.col("p.arc_id").alias("pred_arc"), F.col("p.src").alias("pred_vertex"))
+        going = inside.join(free.select(F.col("id").alias("src"), "rank"), "src")
+        offers = going.groupBy(F.col("dst").alias("id")).agg(F.max(F.col("rank") + F.col("length")).alias("offer"))
+        rest = left.join(free.select("id"), "id", "left_anti").join(offers, "id", "left").select("id", F.greatest("rank", F.coalesce("offer", "rank")).alias("rank"))
+        older = left, inside
+        left, inside = materialise(rest, "left"), materialise(inside.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "inside")
+        discard(*older)
+    return members.limit(0).select("id", F.lit(0).cast("long").alias("rank")) if parts is None else parts.table()
+
+
+def critical_path(order: DataFrame, targets: DataFrame) -> DataFrame:
+    """``target, pos, arc_id``: a longest path to each target (id) that has a rank, its arcs from pos 0 on; ``order`` as ``topological_sort`` gives it."""
+    from arcspark.operators.paths import path_to
+
+    return path_to(order, targets.join(order.select("id"), "id", "left_semi"))
 
 
 def is_acyclic(graph: Graph, order: DataFrame | None = None) -> bool:
@@ -335,6 +386,4 @@ def component_order(graph: Graph, strong: DataFrame) -> DataFrame:
     arcs = graph.arcs.join(c.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
     condensed = arcs.where("a <> b").select(F.col("b").alias("src"), F.col("a").alias("dst")).distinct()
     order = topological_sort(Graph(c.select(F.col("component").alias("id")).distinct(), condensed.withColumn("arc_id", F.monotonically_increasing_id())))
-    from arcspark.sources.builders import numbered
-
     return numbered(order.select(F.col("id").alias("component"), "rank"), "component_id", "rank", "component").drop("rank")
