@@ -1,4 +1,4 @@
-"""Maximum flow and minimum cut: one exact solver task per problem, problems side by side."""
+"""Maximum flow and minimum cut: one exact solver task per problem, and rounds of joins for problems beyond a task."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arcspark.graph import GraphError
-from arcspark.plans.fixpoint import per_group
+from arcspark.graph import Graph, GraphError
+from arcspark.operators.traverse import breadth_first_search
+from arcspark.plans.fixpoint import per_group, rounds
+from arcspark.plans.scratch import discard, materialise
+from arcspark.sources.builders import numbered
 
 MAX_ARCS = 2_000_000
 
@@ -85,8 +89,8 @@ def max_flow(arcs: DataFrame, terminals: DataFrame, capacity: str = "capacity",
     """``problem_id, arc_id, src, dst, capacity, flow, source_cut, target_cut`` for every arc.
 
     ``arcs``: problem_id, arc_id, src, dst and capacities; ``terminals``: problem_id, s, t.
-    Flows are those of blocking flows along shortest augmenting paths, arcs in order of id, so
-    they are the same on every run. ``source_cut`` marks the arcs that leave the set reachable
+    Flows are those of blocking flows along shortest augmenting paths, arcs in order of id, and of ``_by_rounds``
+    for problems of more than ``max_arcs`` arcs, so they are the same on every run. ``source_cut`` marks the arcs that leave the set reachable
     from s in the residual network, ``target_cut`` those that enter the set that reaches t; both
     are minimum cuts. GraphError: negative or null capacities, or s = t.
     """
@@ -95,8 +99,11 @@ def max_flow(arcs: DataFrame, terminals: DataFrame, capacity: str = "capacity",
         raise GraphError("capacities must be 0 or more")
     if not terminals.where("s is null or t is null or s = t").isEmpty():
         raise GraphError("a problem needs two different terminals")
-    kind = dict(arcs.dtypes)[capacity]
+    kinds = dict(arcs.dtypes)
+    kind = kinds[capacity]
     rows = arcs.select("problem_id", "arc_id", "src", "dst", c.alias("capacity")).join(terminals.select("problem_id", "s", "t"), "problem_id")
+    large = materialise(rows.groupBy("problem_id").count().where(F.col("count") > max_arcs).select("problem_id"), "large")
+    none_large = large.isEmpty()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arc_id").reset_index(drop=True)
@@ -110,9 +117,102 @@ def max_flow(arcs: DataFrame, terminals: DataFrame, capacity: str = "capacity",
         pdf["target_cut"] = [u not in far and v in far for u, v in zip(pdf.src, pdf.dst, strict=True)]
         return pdf[["problem_id", "arc_id", "src", "dst", "capacity", "flow", "source_cut", "target_cut"]]
 
-    id_kind = dict(arcs.dtypes)["problem_id"]
-    schema = f"problem_id {id_kind}, arc_id long, src long, dst long, capacity {kind}, flow {kind}, source_cut boolean, target_cut boolean"
-    return per_group(rows, "problem_id", solve, schema, max_arcs)
+    schema = f"problem_id {kinds['problem_id']}, arc_id long, src long, dst long, capacity {kind}, flow {kind}, source_cut boolean, target_cut boolean"
+    if none_large:
+        return per_group(rows, "problem_id", solve, schema, max_arcs)
+    done = per_group(rows.join(large, "problem_id", "left_anti"), "problem_id", solve, schema, max_arcs)
+    return done.unionByName(_by_rounds(rows.join(large, "problem_id", "left_semi"), kind))
+
+
+def _residual(arcs: DataFrame) -> DataFrame:
+    """``arc_id, way, u, v, room``: what may still be sent along each arc (way 1) and taken back (way -1)."""
+    ahead = arcs.select("arc_id", F.lit(1).alias("way"), F.col("src").alias("u"), F.col("dst").alias("v"), (F.col("capacity") - F.col("flow")).alias("room"))
+    back = arcs.select("arc_id", F.lit(-1).alias("way"), F.col("dst").alias("u"), F.col("src").alias("v"), F.col("flow").alias("room"))
+    return ahead.unionByName(back).where("room > 0 and u <> v")
+
+
+def _reached(vertices: DataFrame, residual: DataFrame, start: DataFrame, towards: bool) -> DataFrame:
+    """``id, dist``: hops from ``start`` over arcs with room, or to it."""
+    ends = (F.col("v").alias("src"), F.col("u").alias("dst")) if towards else (F.col("u").alias("src"), F.col("v").alias("dst"))
+    return breadth_first_search(Graph(vertices, residual.select("arc_id", *ends)), start).select("id", "dist")
+
+
+def _by_rounds(rows: DataFrame, kind: str) -> DataFrame:
+    """Large problems, all at once, by push and relabel in rounds of joins.
+
+    Every arc from a source is filled; a vertex that gets more than it gives sends the excess on, over arcs
+    with room to vertices one hop nearer to its target (or back to the source, where the target is out of reach), in
+    order of arc id. When no excess can move, hops are found anew by searches in the residual network. A round
+    sends each vertex's excess one hop further, all vertices at a time. Real capacities count in units of 1e-10.
+    """
+    exact = "decimal(38,10)" if kind in ("double", "float") else "decimal(38,0)" if kind in ("bigint", "int", "smallint", "tinyint") else kind
+    ends = rows.select("problem_id", F.col("src").alias("v")).unionByName(rows.select("problem_id", F.col("dst").alias("v")))
+    ends = ends.unionByName(rows.select("problem_id", F.explode(F.array("s", "t")).alias("v"))).distinct()
+    names = materialise(numbered(ends, "id", "problem_id", "v"), "names")
+    at = lambda end: names.select("problem_id", F.col("v").alias(end), F.col("id").alias(f"{end}_id"))
+    known = rows
+    for end in ("src", "dst", "s", "t"):
+        known = known.join(at(end), ["problem_id", end])
+    known = numbered(known, "key", "problem_id", "arc_id", "src", "dst")
+    known = materialise(known.select("key", "problem_id", "arc_id", "src", "dst", "src_id", "dst_id", "s_id", "t_id", F.col("capacity").cast(exact).alias("capacity")), "problem")
+    sources, targets = (materialise(known.select(F.col(f"{x}_id").alias("id")).distinct(), "terminals") for x in "st")
+    vertices, n = names.select("id"), names.count()
+
+    zero = F.lit(0).cast(exact)
+    filled = F.when((F.col("src_id") == F.col("s_id")) & (F.col("dst_id") != F.col("s_id")), F.col("capacity")).otherwise(zero).cast(exact)
+    arcs = materialise(known.select(F.col("key").alias("arc_id"), F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "capacity", filled.alias("flow")), "flow")
+    inner = materialise(vertices.join(sources, "id", "left_anti").join(targets, "id", "left_anti"), "inner")
+    excess = materialise(arcs.where("flow > 0").groupBy(F.col("dst").alias("id")).agg(F.sum("flow").cast(exact).alias("excess")).join(inner, "id", "left_semi"), "excess")
+    labels = None
+    for _ in rounds():
+        if excess.isEmpty():
+            break
+        residual = _residual(arcs)
+        moved = None
+        if labels is not None:
+            moved = _pushed(residual, excess, labels, exact)
+        if moved is None:
+            if labels is not None:
+                discard(labels)
+            near = materialise(_reached(vertices, residual, targets, True), "near")
+            home = _reached(vertices, residual, sources, True).join(near.select("id"), "id", "left_anti").select("id", (F.col("dist") + n).alias("hops"))
+            nearer = near.join(sources, "id", "left_anti").select("id", F.col("dist").alias("hops"))
+            labels = materialise(nearer.unionByName(home).unionByName(near.join(sources, "id", "left_semi").select("id", F.lit(n).cast("long").alias("hops"))), "hops")
+            moved = _pushed(residual, excess, labels, exact)
+            if moved is None:
+                raise GraphError("excess that can't move")
+        sums = moved.groupBy("arc_id").agg(F.sum(F.col("way") * F.col("amount")).cast(exact).alias("more"))
+        gains = moved.select(F.col("v").alias("id"), F.col("amount").alias("x")).unionByName(moved.select(F.col("u").alias("id"), (-F.col("amount")).cast(exact).alias("x")))
+        gains = gains.unionByName(excess.select("id", F.col("excess").alias("x"))).groupBy("id").agg(F.sum("x").cast(exact).alias("excess"))
+        older = arcs, excess, moved
+        arcs = materialise(arcs.join(sums, "arc_id", "left").select("arc_id", "src", "dst", "capacity", (F.col("flow") + F.coalesce("more", zero)).cast(exact).alias("flow")), "flow")
+        excess = materialise(gains.where("excess > 0").join(inner, "id", "left_semi"), "excess")
+        discard(*older)
+
+    residual = _residual(arcs)
+    near = _reached(vertices, residual, sources, False).select("id", F.lit(True).alias("near"))
+    far = _reached(vertices, residual, targets, True).select("id", F.lit(True).alias("far"))
+    sides = materialise(vertices.join(near, "id", "left").join(far, "id", "left").select("id", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("far", F.lit(False)).alias("far")), "sides")
+    cut = known.join(arcs.select(F.col("arc_id").alias("key"), "flow"), "key")
+    for end in ("src", "dst"):
+        cut = cut.join(sides.select(F.col("id").alias(f"{end}_id"), F.col("near").alias(f"{end}_near"), F.col("far").alias(f"{end}_far")), f"{end}_id")
+    return cut.select(
+        "problem_id", "arc_id", "src", "dst", F.col("capacity").cast(kind).alias("capacity"), F.col("flow").cast(kind).alias("flow"),
+        (F.col("src_near") & ~F.col("dst_near")).alias("source_cut"), (~F.col("src_far") & F.col("dst_far")).alias("target_cut"),
+    )
+
+
+def _pushed(residual: DataFrame, excess: DataFrame, labels: DataFrame, exact: str) -> DataFrame | None:
+    """``arc_id, way, u, v, amount``: the excess of each vertex over its arcs to vertices one hop nearer, in order; None if none can move."""
+    mine = excess.select(F.col("id").alias("u"), "excess").join(labels.select(F.col("id").alias("u"), F.col("hops").alias("high")), "u")
+    fit = residual.join(mine, "u").join(labels.select(F.col("id").alias("v"), F.col("hops").alias("low")), "v").where("high = low + 1")
+    before = F.coalesce(F.sum("room").over(W.partitionBy("u").orderBy("arc_id", "way").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    amount = F.least(F.col("room"), F.col("excess") - F.col("before")).cast(exact)
+    moved = materialise(fit.withColumn("before", before).where("before < excess").select("arc_id", "way", "u", "v", amount.alias("amount")), "moved")
+    if moved.isEmpty():
+        discard(moved)
+        return None
+    return moved
 
 
 def flow_value(flows: DataFrame, terminals: DataFrame) -> DataFrame:

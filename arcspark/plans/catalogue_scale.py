@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspark.operators import knapsack
-from arcspark.plans.catalogue import _ITEMS, query
+from arcspark.operators import flow, knapsack, paths, traverse
+from arcspark.plans.catalogue import _CHAIN, _HANDOFF, _ITEMS, _least_user, query
+from arcspark.plans.catalogue_more import _LENGTHS, certified
 from arcspark.sources import datasets
+from arcspark.sources.datasets import read
 
 
 def _budgets(items: DataFrame, budget: int) -> DataFrame:
@@ -34,3 +36,43 @@ def unbounded_knapsack_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``knapsack_selection``, with parts taken any number of times."""
     items = datasets.knapsack_items(spark, sf_dir)
     return knapsack.knapsack(items, _budgets(items, 60), repeat=True).select("problem_id", "item_id", "count")
+
+
+# searches that end early
+
+
+@query(f"with recursive {_HANDOFF}, {_LENGTHS} select id, dist from b order by dist, id limit 100")
+def nearest_hundred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred users that a search from the first one settles."""
+    return paths.shortest_paths(datasets.handoff(spark, sf_dir), "w", _least_user(spark, sf_dir), limit=100, delta=1)
+
+
+@query(f"with recursive {_HANDOFF}, {_LENGTHS} select id, dist from b where dist <= (select min(dist) from b where id = (select max(user_id) from events))")
+def until_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users no farther from the first one than the last one is, the search ending there."""
+    last = read(spark, sf_dir, "events").agg(F.max("user_id").cast("long").alias("id"))
+    return paths.shortest_paths(datasets.handoff(spark, sf_dir), "w", _least_user(spark, sf_dir), targets=last, delta=1)
+
+
+# chains
+
+
+@query(f"""with {_CHAIN}, arcs as (select src, row_number() over (order by src, dst) - 1 as arc_id from c where dst is not null),
+o as (select event_id, last_value(event_id) over w as target, row_number() over w - 1 as pos from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following))
+select target, pos, arc_id from o join arcs on arcs.src = o.event_id""")
+def critical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest path to the last event of each user."""
+    g = datasets.chain(spark, sf_dir)
+    last = g.vertices.select("id").join(g.arcs.select(F.col("src").alias("id")), "id", "left_anti")
+    return traverse.critical_path(traverse.topological_sort(g), last)
+
+
+# flows beyond a task
+
+
+@query(f"""with {_HANDOFF} select arc_id, src, dst, true as within, true as conserved, true as is_cut_value from a where src <> dst""")
+def large_flow_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A maximum flow over all handoffs from the first user to the last, by rounds, proved arc by arc as ``flow_certificate`` is."""
+    arcs = datasets.handoff(spark, sf_dir).arcs.where("src <> dst").select(F.lit(1).alias("problem_id"), "arc_id", "src", "dst", F.col("w").alias("capacity"))
+    ends = read(spark, sf_dir, "events").agg(F.min("user_id").cast("long").alias("s"), F.max("user_id").cast("long").alias("t")).select(F.lit(1).alias("problem_id"), "s", "t")
+    return certified(flow.max_flow(arcs, ends, max_arcs=0), ends)
