@@ -1,14 +1,13 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps; and under insertions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcspark.plans.fixpoint import rounds
 from arcspark.plans.scratch import discard, materialise
 
-MAX_ROUNDS = 100
-
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """Rows (u, v) with m, the least v of the same u (aggregated before the join)."""
@@ -35,7 +34,7 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
     )
     alone = ends.where("u = v").select(F.col("u").alias("id")).distinct()
     before = None
-    for _ in range(MAX_ROUNDS):
+    for _ in rounds():
         state = _state(now)
         if state == before or not state[0]:
             break
@@ -46,10 +45,25 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         older, now = now, materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
         discard(older)
-    else:
-        raise RuntimeError("components didn't settle")
     found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
     rest = alone.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
     return found.unionByName(rest)
+
+
+def merge_edges(labels: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``labels`` (id, component) after a batch of edges, without the edges before.
+
+    ``labels`` name each component by its least vertex, as ``component_labels`` does: a forest of stars. Edges become
+    links between components, whose own components rename the stars that merge; other stars aren't looked at again.
+    Endpoints without a label are new vertices; null endpoints link nothing.
+    """
+    ends = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null")
+    new = ends.select(F.col("u").alias("id")).unionByName(ends.select(F.col("v").alias("id"))).distinct().join(labels, "id", "left_anti")
+    stars = materialise(labels.select("id", "component").unionByName(new.select("id", F.col("id").alias("component"))), "stars")
+    for end in ("u", "v"):
+        ends = ends.join(stars.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")), end)
+    links = ends.where("_u <> _v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct()
+    names = materialise(component_labels(links, "u", "v"), "names").select(F.col("id").alias("component"), F.col("component").alias("_name"))
+    return stars.join(names, "component", "left").select("id", F.coalesce("_name", "component").alias("component"))

@@ -301,13 +301,18 @@ def pareto_paths(graph: Graph, blue: str, red: str, sources: DataFrame, max_labe
     fresh = kept
     for _ in rounds():
         offers = fresh.select(F.col("id").alias("src"), "blue", "red").join(arcs, "src").select(F.col("dst").alias("id"), (F.col("blue") + F.col("b")).alias("blue"), (F.col("red") + F.col("r")).alias("red"))
-        now = materialise(pruned(kept.unionByName(offers.distinct()).distinct()), "front")
-        fresh = materialise(now.join(kept, ["id", "blue", "red"], "left_anti"), "fresh")
-        kept = now
-        if fresh.isEmpty():
+        offers = materialise(pruned(offers.distinct()), "offers")  # an offered label that another one beats goes before it meets a front
+        met = materialise(kept.join(offers.select("id").distinct(), "id", "left_semi"), "met")
+        now = materialise(pruned(met.unionByName(offers).distinct()), "front")
+        after = materialise(now.join(met, ["id", "blue", "red"], "left_anti"), "fresh")
+        if after.isEmpty():
             break
-        if (kept.groupBy("id").count().agg(F.max("count")).first()[0] or 0) > max_labels:
+        if (now.groupBy("id").count().agg(F.max("count")).first()[0] or 0) > max_labels:
             raise GraphError(f"a vertex has over {max_labels} labels")
+        changed = after.select("id").distinct()
+        older, kept = kept, materialise(kept.join(changed, "id", "left_anti").unionByName(now.join(changed, "id", "left_semi")), "front")
+        discard(offers, met, now, older, *(() if fresh is older else (fresh,)))
+        fresh = after
     return kept
 
 

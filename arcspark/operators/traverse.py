@@ -188,6 +188,11 @@ def topological_sort(graph: Graph, task_arcs: int = TASK_ARCS) -> DataFrame:
     topological order; the predecessor is the least arc from rank - 1. Chains are contracted to arcs of
     their length first, so a chain of any length costs no round for each of its arcs and no task.
     """
+    return _with_predecessors(graph, topological_ranks(graph, task_arcs))
+
+
+def topological_ranks(graph: Graph, task_arcs: int = TASK_ARCS) -> DataFrame:
+    """``id, rank`` alone, as ``topological_sort`` gives them; written."""
     places, turning = chain_places(graph)
     places = materialise(places, "places")
     gone = places.select("id").unionByName(turning)
@@ -199,7 +204,7 @@ def topological_sort(graph: Graph, task_arcs: int = TASK_ARCS) -> DataFrame:
     short = Graph(materialise(ends, "ends"), materialise(short.withColumn("arc_id", F.lit(0).cast("long")), "contracted"))
     ranks = materialise(_longest(short, task_arcs), "ranks")
     along = places.join(ranks.withColumnRenamed("id", "head"), "head").select("id", (F.col("rank") + F.col("place")).alias("rank"))
-    return _with_predecessors(graph, materialise(ranks.unionByName(along), "ranks"))
+    return materialise(ranks.unionByName(along), "ranks")
 
 
 def _with_predecessors(graph: Graph, ranks: DataFrame) -> DataFrame:
@@ -358,9 +363,22 @@ def _least_reaching(arcs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _coloured(graph: Graph, members: DataFrame) -> DataFrame:
-    """Strong components by colouring: v is with its colour c, the least vertex that reaches it, iff v reaches c within the colour."""
-    left = materialise(members.select("id"), "left")
-    parts: Accumulated | None = None
+    """Strong components by trimming, then by forward and backward searches from many pivots at once.
+
+    Vertices on or behind no cycle, or before none, are components of their own; topological orders of the graph and its
+    reverse find them all. Of the rest, v is with its colour c, the least vertex that reaches it, iff v reaches c within the colour.
+    """
+    left, parts = materialise(members.select("id"), "left"), None
+    for ends in (("src", "dst"), ("dst", "src")):
+        arcs = graph.arcs.select("arc_id", *(F.col(a).alias(b) for a, b in zip(ends, ("src", "dst"), strict=True)))
+        inside = arcs.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi")
+        alone = topological_ranks(Graph(left, materialise(inside, "inside")))
+        part = materialise(alone.select("id", F.col("id").alias("component")), "strong")
+        if parts is None:
+            parts = Accumulated(part)
+        else:
+            parts.add(part)
+        left = materialise(left.join(part.select("id"), "id", "left_anti"), "left")
     for _ in rounds():
         if left.isEmpty():
             break
@@ -372,12 +390,9 @@ def _coloured(graph: Graph, members: DataFrame) -> DataFrame:
         back = materialise(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
         found = breadth_first_search(Graph(left, back.withColumn("arc_id", F.lit(0))), colours.where("id = label").select("id"))
         part = materialise(found.select("id").join(colours, "id").select("id", F.col("label").alias("component")), "strong")
-        if parts is None:
-            parts = Accumulated(part)
-        else:
-            parts.add(part)
+        parts.add(part)
         left = materialise(left.join(part.select("id"), "id", "left_anti"), "left")
-    return parts.table() if parts else members.limit(0).select("id", F.col("id").alias("component"))
+    return parts.table()
 
 
 def component_order(graph: Graph, strong: DataFrame) -> DataFrame:

@@ -56,9 +56,10 @@ def static_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return builders.indexed(builders.static_graph(25, arcs)).arcs.select("arc_id", "src", "dst")
 
 
-@query("select 0::bigint as n_vertices, 0::bigint as n_arcs")
+@query("select count(*) as n_vertices, 0::bigint as n_arcs from nation")
 def empty_graph_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = builders.empty_graph(spark)
+    """The empty graph once it is given a vertex for each nation."""
+    g = builders.empty_graph(spark).add_vertices(datasets.nations(spark, sf_dir))
     return g.vertices.agg(F.count("*").alias("n_vertices")).join(F.broadcast(g.arcs.agg(F.count("*").alias("n_arcs"))))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcspark.operators import flow, knapsack, paths, traverse
+from arcspark.operators.components import component_labels, merge_edges
 from arcspark.plans.catalogue import _CHAIN, _HANDOFF, _ITEMS, _least_user, query
 from arcspark.plans.catalogue_more import _LENGTHS, certified
 from arcspark.sources import datasets
@@ -76,3 +77,18 @@ def large_flow_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = datasets.handoff(spark, sf_dir).arcs.where("src <> dst").select(F.lit(1).alias("problem_id"), "arc_id", "src", "dst", F.col("w").alias("capacity"))
     ends = read(spark, sf_dir, "events").agg(F.min("user_id").cast("long").alias("s"), F.max("user_id").cast("long").alias("t")).select(F.lit(1).alias("problem_id"), "s", "t")
     return certified(flow.max_flow(arcs, ends, max_arcs=0), ends)
+
+
+# components under insertions
+
+
+@query(f"""with recursive {_HANDOFF}, e as (select src as u, dst as v from a union select dst, src from a),
+r(id, c) using key (id) as (select id, id from v union select e.v, min(r.c) from r join e on e.u = r.id left join recurring.r k on k.id = e.v group by e.v having min(r.c) < min(k.c))
+select id, c as component from r""")
+def merged_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak components of the handoffs, their arcs arriving in three batches."""
+    arcs = datasets.handoff(spark, sf_dir).arcs
+    labels = component_labels(arcs.where("arc_id % 3 = 0"))
+    for k in (1, 2):
+        labels = merge_edges(labels, arcs.where(F.col("arc_id") % 3 == k))
+    return labels
