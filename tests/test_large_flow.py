@@ -9,7 +9,7 @@ from arcspark.operators import flow
 
 def problems(spark, rng, kind):
     arcs, ends = [], []
-    for p in range(4):
+    for p in range(2):
         n = 9 + p
         ends.append((p, 0, n - 1))
         for i in range(4 * n):
