@@ -6,15 +6,16 @@ so equal passages give equal chunks wherever they stand. Then
 1. one scan finds each payload's SHA-256 and its chunks' digests and lengths (metadata);
 2. Spark joins on the digests pick one owner for every distinct chunk, and this plan is written;
 3. payloads, compressed, meet their chunk plan in one shuffle on the payload digest and
-   are written as store rows: the chunks they own with bytes, the others as references.
+   are written as store rows: the recipe, the chunks they own with bytes, the others as references.
    Every distinct chunk is in the store once. The shuffles of this and the step before are
    removed when the step ends, so only one copy of the payloads lies beside the store;
 4. reading back, payloads without references are rebuilt from their row; for the others,
-   only chunks flagged as shared are joined in by digest. The bytes are verified against
-   the payload digest, and features are computed from them.
+   only chunks flagged as shared are joined in by digest. The bytes are verified chunk by chunk
+   against the recipe and as a whole against the payload digest, and features are computed from them.
 
-Stored form of a payload (``media``): the magic ``GCK1`` and then, chunk by chunk in order,
-the length (uint32, little-endian) and the bytes as 8-bit samples.
+Stored form of a payload (``media``): its recipe, a column of its store row: the magic ``GCR1`` and then,
+chunk by chunk in order, the length (uint32, little-endian) and the digest (16 bytes) under which the
+store holds the chunk's 8-bit samples. ``media_bytes`` and ``media_sha256`` are those of the recipe as read from disk.
 
 Defined cases: null text counts as empty and is padded like any other; equal texts share
 one store row; an empty table gives an empty store and no rows; repeated rows are returned
@@ -39,12 +40,14 @@ from arcspark.plans.scratch import discard, materialise, scratch_path, shuffles_
 
 UNIT, TAIL = 192, 16
 LEAST, MASK, MOST = 512, (1 << 11) - 1, 8192
-MAGIC = b"GCK1"
+MAGIC = b"GCR1"
+#: Bytes of a chunk's digest.
+DIGEST = 16
 #: Bytes of a payload's SHA-256 that joins carry, and the compression levels of shuffled payloads and of
 #: the store (an executor has many of its writers, so their buffers are to be small).
 KEY, LEVEL, STORE_LEVEL = 16, 9, 6
 STORE = (
-    "payload binary, sha256 binary, own array<struct<seq:int,digest:binary,shared:boolean,data:binary>>, "
+    "payload binary, sha256 binary, media binary, own array<struct<seq:int,digest:binary,shared:boolean,data:binary>>, "
     "refs array<struct<seq:int,digest:binary>>"
 )
 
@@ -90,6 +93,15 @@ def chunks_of(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def digest_of(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=DIGEST).digest()
+
+
+def entry_of(chunk: bytes, digest: bytes) -> bytes:
+    """What a recipe says of a chunk."""
+    return len(chunk).to_bytes(4, "little") + digest
+
+
 def cuts(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, payload, digests``: metadata of every document's chunks."""
 
@@ -97,7 +109,7 @@ def cuts(docs: DataFrame) -> DataFrame:
         out = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data, size = payload_of(text.as_py())
-            digests = [hashlib.blake2b(c, digest_size=16).digest() for c in chunks_of(data)]
+            digests = [digest_of(c) for c in chunks_of(data)]
             out.append((doc_id, size, hashlib.sha256(data).digest()[:KEY], digests))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
         return pa.RecordBatch.from_arrays(
@@ -160,24 +172,26 @@ def write(docs: DataFrame, path: str) -> DataFrame:
     joined = once.join(planned.hint("merge"), "payload", "left").select("payload", "packed", "owned")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        unpack, sums, own, refs = zstandard.ZstdDecompressor(), [], [], []
+        unpack, sums, media, own, refs = zstandard.ZstdDecompressor(), [], [], [], []
         for packed, owned in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             mine = {x["seq"]: x["shared"] for x in owned or ()}
-            here, there, whole = [], [], unpack.decompress(packed)
+            here, there, recipe, whole = [], [], [MAGIC], unpack.decompress(packed)
             sums.append(hashlib.sha256(whole).digest())
             for seq, data in enumerate(chunks_of(whole)):
-                digest = hashlib.blake2b(data, digest_size=16).digest()
+                digest = digest_of(data)
+                recipe.append(entry_of(data, digest))
                 if seq in mine:
                     here.append({"seq": seq, "digest": digest, "shared": mine[seq], "data": data})
                 else:
                     there.append({"seq": seq, "digest": digest})
+            media.append(b"".join(recipe))
             own.append(here)
             refs.append(there)
         ref = [("seq", pa.int32()), ("digest", pa.binary())]
         full = pa.struct([*ref, ("shared", pa.bool_()), ("data", pa.binary())])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sums, pa.binary()), pa.array(own, pa.list_(full)), pa.array(refs, pa.list_(pa.struct(ref)))],
-            names=["payload", "sha256", "own", "refs"],
+            [batch.column(0), pa.array(sums, pa.binary()), pa.array(media, pa.binary()), pa.array(own, pa.list_(full)), pa.array(refs, pa.list_(pa.struct(ref)))],
+            names=["payload", "sha256", "media", "own", "refs"],
         )
 
     stored = arrow_map(joined, rows, STORE).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", STORE_LEVEL)
@@ -188,17 +202,17 @@ def write(docs: DataFrame, path: str) -> DataFrame:
 
 
 def rebuilt(spark: SparkSession, path: str) -> DataFrame:
-    """``payload, sha256, parts``: all chunks (seq, data) of every stored payload."""
+    """``payload, sha256, media, parts``: the recipe and all chunks (seq, data) of every stored payload."""
     stored = spark.read.schema(STORE).parquet(path)
     whole = stored.where(F.size("refs") == 0).select(
-        "payload", "sha256", F.transform("own", lambda x: F.struct(x["seq"].alias("seq"), x["data"].alias("data"))).alias("parts")
+        "payload", "sha256", "media", F.transform("own", lambda x: F.struct(x["seq"].alias("seq"), x["data"].alias("data"))).alias("parts")
     )
     rest = stored.where(F.size("refs") > 0)
     shared = stored.select(F.explode("own").alias("c")).where("c.shared").select("c.digest", "c.data")
     wanted = rest.select("payload", F.explode("refs").alias("r")).select("payload", "r.seq", "r.digest")
     fetched = wanted.join(shared, "digest").groupBy("payload").agg(F.collect_list(F.struct("seq", "data")).alias("fetched"))
     mended = rest.join(fetched, "payload").select(
-        "payload", "sha256",
+        "payload", "sha256", "media",
         F.concat(F.transform("own", lambda x: F.struct(x["seq"].alias("seq"), x["data"].alias("data"))), "fetched").alias("parts"),
     )
     return whole.unionByName(mended)
@@ -216,17 +230,16 @@ def feature_of(data: bytes, chunks: int) -> str:
 
 
 def features(parts: DataFrame) -> DataFrame:
-    """Digests and features of the rebuilt payloads; raises where bytes don't verify."""
+    """Digests and features of the rebuilt payloads; raises where bytes don't verify against recipe and payload digest."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for key, told, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for key, told, media, held in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             ordered = [x["data"] for x in sorted(held, key=lambda x: x["seq"])]
             data = b"".join(ordered)
             digest = hashlib.sha256(data).digest()
-            if digest != told or digest[:KEY] != key:
+            if media != b"".join([MAGIC, *(entry_of(x, digest_of(x)) for x in ordered)]) or digest != told or digest[:KEY] != key:
                 raise ValueError(f"payload {key.hex()} doesn't verify")
-            media = b"".join([MAGIC, *(y for x in ordered for y in (len(x).to_bytes(4, "little"), x))])
             out.append((key, len(data), digest, zlib.crc32(data[-TAIL:]), len(media), hashlib.sha256(media).digest(), feature_of(data, len(ordered))))
         i, b, s = pa.int64(), pa.binary(), pa.string()
         return pa.RecordBatch.from_arrays(

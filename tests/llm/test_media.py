@@ -66,3 +66,24 @@ def test_shuffles_of_the_store_are_removed(spark, tmp_path):
         time.sleep(0.1)
     assert not held() - before and spark.conf.get(name, None) == set_before
     assert spark.read.parquet(str(tmp_path / "store")).count() == 50
+
+
+def test_recipes_on_disk_rebuild_the_payloads(spark, tmp_path, odd_docs):
+    """The stored form by a plain reader: recipes and chunks as they lie in the store's files."""
+    store = str(tmp_path / "store")
+    told = {(r.doc_id, r.payload_sha256): r for r in media.round_trip(odd_docs, store).collect()}
+    stored = spark.read.parquet(store).collect()
+    chunks = {bytes(c.digest): bytes(c.data) for r in stored for c in r.own}
+    by_payload = {}
+    for r in stored:
+        recipe, at, parts = bytes(r.media), 4, []
+        assert recipe[:4] == b"GCR1" and (len(recipe) - 4) % 20 == 0
+        while at < len(recipe):
+            parts.append(chunks[recipe[at + 4 : at + 20]])
+            assert len(parts[-1]) == int.from_bytes(recipe[at : at + 4], "little")
+            at += 20
+        by_payload[hashlib.sha256(b"".join(parts)).hexdigest()] = len(recipe), hashlib.sha256(recipe).hexdigest()
+    for r in odd_docs.collect():
+        sha = _want(r.doc_id, r.text)[3]
+        found = told[r.doc_id, sha]
+        assert (found.media_bytes, found.media_sha256) == by_payload[sha]
