@@ -9,10 +9,24 @@ from arcspark.plans.fixpoint import rounds
 from arcspark.plans.scratch import discard, materialise
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """Rows (u, v) with m, the least v of the same u (aggregated before the join)."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u")
+#: Rows of one vertex from which on it is a centre of its own, and how many of these there can be.
+CENTRE_ROWS, MAX_CENTRES = 1_000_000, 1_000_000
+
+
+def _with_least(pairs: DataFrame, size: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (u, v) with m, the least v of the same u, and the tables written for it; ``size``: at least the number of rows.
+
+    The least are found map-side first. A u with a MAX_CENTRES-th of all rows or more, and at least CENTRE_ROWS, has
+    them told by a broadcast, so that the centre of a star isn't one task of the join.
+    """
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hot = max(CENTRE_ROWS, size // MAX_CENTRES)
+    if size <= hot:
+        return pairs.join(least.select("u", "m"), "u"), []
+    least = materialise(least, "least")
+    centres = F.broadcast(least.where(F.col("n") > hot).select("u", "m"))
+    rest = pairs.join(centres, "u", "left_anti").join(least.where(F.col("n") <= hot).select("u", "m"), "u")
+    return pairs.join(centres, "u").select("u", "v", "m").unionByName(rest.select("u", "v", "m")), [least]
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -40,11 +54,16 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
             break
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        small = _with_least(large).select("u", "v", "m")
+        told, written = _with_least(both, 2 * state[0])
+        large = told.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        if written:
+            large = materialise(large, "large")
+            written.append(large)
+        told, more = _with_least(large, 2 * state[0])
+        small = told.select("u", "v", "m")
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         older, now = now, materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(older)
+        discard(older, *written, *more)
     found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
@@ -52,6 +71,11 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
     return found.unionByName(rest)
 
 
+def count_components(labels: DataFrame) -> int:
+    """How many components ``labels`` (id, component) name; each has the id of one of its vertices."""
+    return labels.where("id = component").count()
+
+
 def merge_edges(labels: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``labels`` (id, component) after a batch of edges, without the edges before.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from arcspark.functions.semiring import SHORTEST_PATH, Semiring
 from arcspark.graph import Graph, GraphError
 from arcspark.operators.traverse import breadth_first_search
-from arcspark.plans.fixpoint import COMPACT_EVERY, per_group, rounds
+from arcspark.plans.fixpoint import COMPACT_EVERY, Accumulated, per_group, rounds
 from arcspark.plans.scratch import discard, materialise
 from arcspark.sources.builders import numbered
 
@@ -378,10 +378,14 @@ def _settled_in_rounds(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
         if first.c is None or first.any != 0:
             break
         now = materialise(open_.where((F.col("dist") == first.c.dist) & (F.col("colour") == first.c.colour)), "now")
-        done = now if done is None else materialise(done.unionByName(now), "done")
+        if done is None:
+            done = Accumulated(now)
+        else:
+            done.add(now)
         length = F.col("b") if first.c.colour == 0 else F.col("r")
         offers = now.select(F.col("id").alias("src"), "dist", "colour").join(arcs, "src").select(F.col("dst").alias("id"), (F.col("dist") + length).alias("dist"), "colour")
-        both = open_.unionByName(offers).join(done.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("dist", "colour")).alias("c"))
-        open_ = materialise(both.select("id", "c.dist", "c.colour"), "open")
+        both = open_.unionByName(offers).join(done.table().select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("dist", "colour")).alias("c"))
+        older, open_ = open_, materialise(both.select("id", "c.dist", "c.colour"), "open")
+        discard(older)
     empty = seeds.limit(0).select("id", F.lit(0).cast("long").alias("dist"))
-    return empty if done is None else done.where("colour = 0").select("id", "dist")
+    return empty if done is None else done.table().where("colour = 0").select("id", "dist")

@@ -48,8 +48,9 @@ def breadth_first_search(graph: Graph, sources: DataFrame, max_hops: int | None
             members, _ = _by_size(graph, TASK_ARCS)
             mine = materialise(members.join(frontier.join(members, "id").select("component").distinct(), "component", "left_semi").select("id", "component"), "small")
             if not mine.isEmpty():
-                seen.add(materialise(_finished(graph, mine, frontier, seen.table(), max_hops), "bfs"))
+                ended = materialise(_finished(graph, mine, frontier, seen.table(), max_hops), "bfs")
                 frontier = materialise(frontier.join(mine.select("id"), "id", "left_anti"), "bfs")
+                seen.add(ended)
                 if frontier.isEmpty():
                     break
     return seen.table()
@@ -372,13 +373,15 @@ def _coloured(graph: Graph, members: DataFrame) -> DataFrame:
     for ends in (("src", "dst"), ("dst", "src")):
         arcs = graph.arcs.select("arc_id", *(F.col(a).alias(b) for a, b in zip(ends, ("src", "dst"), strict=True)))
         inside = arcs.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi")
-        alone = topological_ranks(Graph(left, materialise(inside, "inside")))
+        inside = materialise(inside, "inside")
+        alone = topological_ranks(Graph(left, inside))
         part = materialise(alone.select("id", F.col("id").alias("component")), "strong")
         if parts is None:
             parts = Accumulated(part)
         else:
             parts.add(part)
-        left = materialise(left.join(part.select("id"), "id", "left_anti"), "left")
+        older, left = left, materialise(left.join(part.select("id"), "id", "left_anti"), "left")
+        discard(older, inside)
     for _ in rounds():
         if left.isEmpty():
             break
@@ -391,7 +394,8 @@ def _coloured(graph: Graph, members: DataFrame) -> DataFrame:
         found = breadth_first_search(Graph(left, back.withColumn("arc_id", F.lit(0))), colours.where("id = label").select("id"))
         part = materialise(found.select("id").join(colours, "id").select("id", F.col("label").alias("component")), "strong")
         parts.add(part)
-        left = materialise(left.join(part.select("id"), "id", "left_anti"), "left")
+        older, left = left, materialise(left.join(part.select("id"), "id", "left_anti"), "left")
+        discard(older, inside, back)
     return parts.table()
 
 

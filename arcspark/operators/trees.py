@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from arcspark.graph import GraphError, UndirectedGraph
 from arcspark.operators.components import component_labels
 from arcspark.plans.fixpoint import rounds
-from arcspark.plans.scratch import materialise
+from arcspark.plans.scratch import discard, materialise
+from arcspark.sources.builders import numbered
 
 
-def spanning_forest(graph: UndirectedGraph, cost: str) -> DataFrame:
+def spanning_forest(graph: UndirectedGraph, cost: str, ordered: bool = False) -> DataFrame:
     """``edge_id, src, dst, cost`` of the least spanning forest; ties go to the lesser edge id.
 
+    ``ordered`` adds ``pos``, the place of each edge by (cost, edge_id) from 0 on.
+
     Each round every component takes its cheapest outgoing edge by (cost, edge_id), which are
     all different, so the chosen edges are those of the sequential greedy algorithm with this
     tie-break. Components at least halve in number. Self-loops are never taken.
@@ -29,15 +32,16 @@ def spanning_forest(graph: UndirectedGraph, cost: str) -> DataFrame:
         taken = materialise(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), "taken")
         if taken.isEmpty():
             break
-        chosen = taken if chosen is None else materialise(chosen.unionByName(taken), "forest")
+        before, chosen = chosen, taken if chosen is None else materialise(chosen.unionByName(taken), "forest")
         merged = materialise(component_labels(taken, "a", "b"), "merged")
         moved = left
         for end in ("a", "b"):
             names = merged.select(F.col("id").alias(end), F.col("component").alias("_to"))
             moved = moved.join(names, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-        left = materialise(moved.where("a <> b"), "edges")
-    out = edges.limit(0) if chosen is None else chosen
-    return out.select("edge_id", "src", "dst", "cost")
+        older, left = left, materialise(moved.where("a <> b"), "edges")
+        discard(older, merged, *([] if before is None else [before, taken]))
+    out = (edges.limit(0) if chosen is None else chosen).select("edge_id", "src", "dst", "cost")
+    return numbered(out, "pos", "cost", "edge_id") if ordered else out
 
 
 def spanning_tree(graph: UndirectedGraph, cost: str, root: int) -> DataFrame:

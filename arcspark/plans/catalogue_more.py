@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arcspark.functions import rational as R
 from arcspark.graph import Graph
-from arcspark.operators import flow, paths, planar, traverse, trees, views
+from arcspark.operators import flow, paths, planar, queues, traverse, trees, views
 from arcspark.plans.scratch import materialise
 from arcspark.plans.catalogue import _CHAIN, _HANDOFF, _TRADE, _flow_arcs, _least_user, _terminals, query
 from arcspark.sources import builders, datasets, dot
@@ -88,8 +87,8 @@ def settled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select p_brand, p_partkey, pos from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice, p_partkey) - 1 as pos from part) where pos < 5""")
 def heap_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five least of each brand, as a heap of (price, key) gives them."""
-    place = F.row_number().over(W.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")) - 1
-    return read(spark, sf_dir, "part").select("p_brand", "p_partkey", place.cast("long").alias("pos")).where("pos < 5")
+    parts = read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("priority"))
+    return queues.first(parts, 5, "p_brand").select("p_brand", F.col("id").alias("p_partkey"), "pos")
 
 
 @query(f"""with recursive {_HANDOFF}, {_LENGTHS} select dist as total, true as starts, true as ends, true as joined from b where id = (select max(user_id) from events)""")
@@ -202,6 +201,17 @@ def planar_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planar.faces(g).join(d.out_degree().withColumnRenamed("id", "face"), "face").join(d.in_degree().withColumnRenamed("id", "face"), "face")
 
 
+@query("""with n as (select count(*)::bigint as n from orders), i as (select unnest(range(0, (select n + 1 from n)))::bigint as i),
+b as (select 6 * i as arc_id, i as face, i as x1, 0 as y1, i as x2, 1 as y2 from i union all select 6 * i + 1, i + 1, i, 1, i, 0 from i, n where i < n
+union all select 6 * i + 3, i + 1, i + 1, 1, i, 1 from i, n where i < n union all select 6 * i + 4, i + 1, i, 0, i + 1, 0 from i, n where i < n)
+select arc_id, face, x1, y1::bigint as y1, x2, y2::bigint as y2 from b where face > 0""")
+def planar_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arcs that bound the squares of the strip, with their coordinates."""
+    g = _strip(spark, sf_dir)
+    arcs = planar.bounding_arcs(g, planar.faces(g).where("face > 0")).select("arc_id", F.col("face").cast("long").alias("face"))
+    return arcs.join(planar.arc_coordinates(g), "arc_id").select("arc_id", "face", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
 @query("""select n_nationkey::bigint as pos, '  ' || n_nationkey || ' [label="' || n_name || '", pos="' || n_nationkey || ',' || n_regionkey || '!", color="red"];' as line from nation""")
 def dot_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation")

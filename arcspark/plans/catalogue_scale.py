@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcspark.operators import flow, knapsack, paths, traverse
-from arcspark.operators.components import component_labels, merge_edges
-from arcspark.plans.catalogue import _CHAIN, _HANDOFF, _ITEMS, _least_user, query
+from arcspark.operators import flow, knapsack, paths, queues, traverse, trees, views
+from arcspark.operators.components import component_labels, count_components, merge_edges
+from arcspark.plans.catalogue import _CHAIN, _HANDOFF, _ITEMS, ORACLE_SQL, _least_user, query
 from arcspark.plans.catalogue_more import _LENGTHS, certified
 from arcspark.sources import datasets
 from arcspark.sources.datasets import read
@@ -92,3 +92,32 @@ def merged_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in (1, 2):
         labels = merge_edges(labels, arcs.where(F.col("arc_id") % 3 == k))
     return labels
+
+
+@query("select count(distinct user_id) as n_weak, count(*) as n_strong from events")
+def component_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many weak and strong components the chains of the users' events have."""
+    g = datasets.chain(spark, sf_dir)
+    n = [count_components(f(g)) for f in (traverse.weakly_connected_components, traverse.strongly_connected_components)]
+    return spark.createDataFrame([tuple(n)], "n_weak long, n_strong long")
+
+
+# orders and queues
+
+
+@query(f"select *, row_number() over (order by cost, edge_id) - 1 as pos from ({ORACLE_SQL['spanning_forest']})")
+def forest_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the least spanning forest, the cheapest first."""
+    return trees.spanning_forest(views.undirect(datasets.trade(spark, sf_dir)), "w", ordered=True)
+
+
+@query("""with lines as (select l_partkey, min(l_quantity)::bigint as least, max(l_quantity)::bigint as most from lineitem group by 1),
+q as (select p_brand, p_partkey, case when l_partkey is null then p_size else greatest(least(p_size, least), least(most, 20)) end::bigint as priority from part left join lines on l_partkey = p_partkey)
+select p_brand, pos - 5 as pos, p_partkey, priority from (select *, row_number() over (partition by p_brand order by priority, p_partkey) - 1 as pos from q) where pos between 5 and 9""")
+def heap_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each brand by size, promoted to the least quantity sold and demoted to the greatest (20 at most): the five after the first five have gone."""
+    parts = read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("priority"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_quantity").cast("long").alias("least"), F.max("l_quantity").cast("long").alias("most"))
+    up, down = lines.select("id", F.col("least").alias("priority")), lines.select("id", F.least("most", F.lit(20)).alias("priority"))
+    queue = queues.updated(queues.updated(parts, up, "promote"), down, "demote")
+    return queues.first(queues.popped(queue, 5, "p_brand"), 5, "p_brand").select("p_brand", "pos", F.col("id").alias("p_partkey"), "priority")

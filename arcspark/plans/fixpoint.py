@@ -14,21 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcspark.graph import GraphError
-from arcspark.plans.scratch import materialise
+from arcspark.plans.scratch import discard, materialise
 
 MAX_ROUNDS, COMPACT_EVERY, MAX_TASK_ROWS = 10_000, 16, 5_000_000
 
 
 class Accumulated:
-    """The union of written round tables, rewritten as one when there are many."""
+    """The union of written round tables, which are its own: many are rewritten as one and removed."""
 
     def __init__(self, first: DataFrame) -> None:
-        self.parts = [first]
+        self.parts, self.last = [first], None
 
     def add(self, part: DataFrame) -> None:
         self.parts.append(part)
         if len(self.parts) >= COMPACT_EVERY:
-            self.parts = [materialise(self.table().coalesce(max(1, self.table().rdd.getNumPartitions() // COMPACT_EVERY)), "rounds")]
+            merged = materialise(self.table().coalesce(max(1, self.table().rdd.getNumPartitions() // COMPACT_EVERY)), "rounds")
+            discard(*self.parts[:-1], *([] if self.last is None else [self.last]))
+            self.parts, self.last = [merged], part  # the last is what the next round goes on from
 
     def table(self) -> DataFrame:
         out = self.parts[0]
