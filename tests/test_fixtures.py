@@ -292,6 +292,19 @@ def test_dot(spark):
     assert got == ['digraph { size="5,7";', '  0 [label="a\\"b\\\\c", pos="1.0,2.5!"];', '  1 [label="a\\"b\\\\c", pos="1.0,2.5!"];', '  0 -> 1 [color="red"];', "}"]
 
 
+def test_hashed_random_graph_is_neither_sorted_nor_shuffled(spark, monkeypatch):
+    from hashlib import md5
+
+    want = [(u, v) for u in range(30) for v in range(30) if u != v and int(md5(f"{u},{v}".encode()).hexdigest()[:8], 16) < 1 << 30]
+    plans = []
+    write = builders.materialise
+    monkeypatch.setattr(builders, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    found = rows(builders.erdos_renyi_md5(spark, 30, 1 << 30).arcs, "arc_id", "src", "dst")
+    assert found == [(k, u, v) for k, (u, v) in enumerate(want)]
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "Sort" not in plans[0]
+    assert builders.erdos_renyi_md5(spark, 5, 1 << 32).arcs.count() == 20 and builders.erdos_renyi_md5(spark, 5, 0).arcs.count() == 0
+
+
 def test_planar_dual(spark):
     # a triangle 0-1-2: inner face 0, outer face 1
     arcs = [(0, 0, 1, 3, 0), (1, 1, 2, 4, 0), (2, 2, 0, 5, 0), (3, 1, 0, 0, 1), (4, 2, 1, 1, 1), (5, 0, 2, 2, 1)]
