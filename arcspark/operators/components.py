@@ -1,8 +1,10 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps; and under insertions."""
+"""Connected components of an edge table, by random contraction; and under insertions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import random
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcspark.plans.fixpoint import rounds
@@ -29,16 +31,27 @@ def _with_least(pairs: DataFrame, size: int) -> tuple[DataFrame, list[DataFrame]
     return pairs.join(centres, "u").select("u", "v", "m").unionByName(rest.select("u", "v", "m")), [least]
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1] or 0
+def _mixed(v: Column, k: int) -> Column:
+    """The order of vertices in round ``k``, by bits flipped at random: which of two comes first is as likely as not. Twice gives the vertex again."""
+    return v.bitwiseXOR(F.lit(random.Random(k).getrandbits(64) - (1 << 63)))
+
+
+def _renamed(rows: DataFrame, end: str, names: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` with the name ``_{end}`` of an end (``names``: u, r); those of centres (``hot``) are told by a broadcast."""
+    at = lambda t: t.select(F.col("u").alias(end), F.col("r").alias(f"_{end}"))
+    if hot is None:
+        return rows.join(at(names), end)
+    centres = F.broadcast(at(hot))
+    rest = rows.join(centres.select(end), end, "left_anti").join(at(names), end)
+    return rows.join(centres, end).unionByName(rest)
 
 
 def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``id, component`` for every endpoint; the component is its least endpoint.
 
-    Every step shrinks or keeps the edge set and moves it towards stars on the least
-    vertices; each round is written to the shared folder, so a round costs its edges only.
+    In each round every vertex takes the name of the first of itself and its neighbours, in an order drawn for the round, and edges
+    within one name go. That leaves some half of the vertices on a chain and fewer elsewhere, so all rounds together
+    cost a few times the edges, and long chains no more than others. Names are followed back from the last round to the first.
     Null endpoints and self-loops link nothing, but a self-loop's vertex is labelled.
     """
     ends = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
@@ -47,27 +60,40 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> Da
         ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     alone = ends.where("u = v").select(F.col("u").alias("id")).distinct()
-    before = None
-    for _ in rounds():
-        state = _state(now)
-        if state == before or not state[0]:
+    levels: list[tuple[DataFrame, DataFrame | None]] = []
+    for k in rounds():
+        n = now.count()
+        if not n:
             break
-        before = state
+        limit = max(CENTRE_ROWS, 2 * n // MAX_CENTRES)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        told, written = _with_least(both, 2 * state[0])
-        large = told.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        if written:
-            large = materialise(large, "large")
-            written.append(large)
-        told, more = _with_least(large, 2 * state[0])
-        small = told.select("u", "v", "m")
-        hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        older, now = now, materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(older, *written, *more)
-    found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
-    rest = alone.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
+        counted = [F.count("*").alias("n")] if 2 * n > limit else []
+        first = both.groupBy("u").agg(F.min(_mixed(F.col("v"), k)).alias("m"), *counted)
+        name = _mixed(F.least("m", _mixed(F.col("u"), k)), k).alias("r")
+        names = materialise(first.select("u", name, *(["n"] if counted else [])), "names")
+        hot = names.where(F.col("n") > limit).select("u", "r") if counted else None
+        hot = None if hot is None or hot.isEmpty() else hot
+        levels.append((names, hot))
+        both_named = _renamed(_renamed(now, "u", names, hot), "v", names, hot).where("_u <> _v")
+        older, now = now, materialise(both_named.select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).distinct(), "edges")
+        discard(older)
+    if not levels:
+        return alone.select("id", F.col("id").alias("component"))
+    roots = levels[-1][0].select("u", "r")
+    for (names, hot), (after, _) in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        last = roots.select(F.col("u").alias("r"), F.col("r").alias("_r"))
+        rows = names.select("u", "r")
+        if hot is None:
+            further = rows.join(last, "r", "left")
+        else:
+            centres = F.broadcast(last.join(F.broadcast(hot.select(F.col("u").alias("r"))), "r"))
+            rest = rows.join(centres.select("r"), "r", "left_anti").join(last, "r", "left")
+            further = rows.join(centres, "r").unionByName(rest)
+        older, roots = roots, materialise(further.select("u", F.coalesce("_r", "r").alias("r")), "roots")
+        discard(older, after)
+    told, _ = _with_least(roots.select(F.col("r").alias("u"), F.col("u").alias("v")), roots.count())
+    found = told.select(F.col("v").alias("id"), F.col("m").alias("component"))
+    rest = alone.join(roots.select(F.col("u").alias("id")), "id", "left_anti").select("id", F.col("id").alias("component"))
     return found.unionByName(rest)
 
 
