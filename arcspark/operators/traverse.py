@@ -8,6 +8,8 @@ each run as one task, side by side, and large ones by rounds of joins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,6 +24,8 @@ from arcspark.sources.builders import numbered
 
 #: Arcs of a weak component that a sequential kernel takes.
 TASK_ARCS = 500_000
+#: Rows of a bin of weak components that a task takes together, about.
+BIN_ROWS = 50_000
 #: Hops that a breadth-first search makes by rounds before small components go on in tasks.
 ROUND_HOPS = 24
 
@@ -171,10 +175,22 @@ def _by_size(graph: Graph, task_arcs: int) -> tuple[DataFrame, DataFrame]:
     """``id, component`` of vertices in weak components with at most ``task_arcs`` arcs, and of the rest."""
     weak = materialise(weakly_connected_components(graph), "weak")
     sizes = graph.arcs.select(F.col("src").alias("id")).join(weak, "id").groupBy("component").count()
-    large = sizes.where(F.col("count") > task_arcs).select("component")
+    large = materialise(sizes.where(F.col("count") > task_arcs).select("component"), "large")
+    if large.isEmpty():
+        return weak.select("id", "component"), weak.limit(0).select("id", "component")
     return weak.join(large, "component", "left_anti").select("id", "component"), weak.join(large, "component", "left_semi").select("id", "component")
 
 
+def _in_bins(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` for weak components (``component``) of at most TASK_ARCS arcs, small ones in bins of some BIN_ROWS rows: many calls for a few rows each would cost more than the work.
+
+    For kernels that take any union of components. Bins have no share in the result.
+    """
+    rows = materialise(rows, "parts")
+    bins = max(1, rows.count() // BIN_ROWS)
+    return per_group(rows.withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(bins))), "bin", run, schema)
+
+
 def _parts(graph: Graph, members: DataFrame) -> DataFrame:
     """Rows (component, arc_id, src, dst) of the members' arcs, and (component, null, id, null) of the members."""
     none = F.lit(None).cast("long")
@@ -237,7 +253,7 @@ def _longest(graph: Graph, task_arcs: int) -> DataFrame:
     none = F.lit(None).cast("long")
     arcs = graph.arcs.join(small.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", "length")
     parts = arcs.unionByName(small.select("component", F.col("id").alias("src"), none.alias("dst"), none.alias("length")))
-    done = per_group(parts, "component", kahn, "id long, rank long")
+    done = _in_bins(parts, kahn, "id long, rank long")
     return done if large.isEmpty() else done.unionByName(_peeled(graph, large))
 
 
@@ -343,7 +359,7 @@ def strongly_connected_components(graph: Graph, task_arcs: int = TASK_ARCS) -> D
                         rows += [(v, min(group)) for v in group]
         return pd.DataFrame(rows, columns=["id", "component"])
 
-    done = per_group(_parts(graph, small), "component", tarjan, "id long, component long")
+    done = _in_bins(_parts(graph, small), tarjan, "id long, component long")
     if large.isEmpty():
         return done
     return done.unionByName(_coloured(graph, large))
