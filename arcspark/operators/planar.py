@@ -18,12 +18,12 @@ def bounding_arcs(graph: Graph, of: DataFrame) -> DataFrame:
     return graph.arcs.join(of.select("face").distinct(), "face", "left_semi").select(*graph.arcs.columns)
 
 
-def arc_coordinates(graph: Graph) -> DataFrame:
-    """``arc_id, x1, y1, x2, y2``: where each arc starts and ends."""
-    out = graph.arcs.select("arc_id", "src", "dst")
+def arc_coordinates(graph: Graph, *keep: str) -> DataFrame:
+    """``arc_id, x1, y1, x2, y2``: where each arc starts and ends; and the properties to ``keep``."""
+    out = graph.arcs.select("arc_id", "src", "dst", *keep)
     for end, k in (("src", 1), ("dst", 2)):
         out = out.join(graph.vertices.select(F.col("id").alias(end), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")), end)
-    return out.select("arc_id", "x1", "y1", "x2", "y2")
+    return out.select("arc_id", "x1", "y1", "x2", "y2", *keep)
 
 
 def dual(graph: Graph) -> Graph:

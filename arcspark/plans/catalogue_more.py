@@ -208,8 +208,8 @@ select arc_id, face, x1, y1::bigint as y1, x2, y2::bigint as y2 from b where fac
 def planar_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arcs that bound the squares of the strip, with their coordinates."""
     g = _strip(spark, sf_dir)
-    arcs = planar.bounding_arcs(g, planar.faces(g).where("face > 0")).select("arc_id", F.col("face").cast("long").alias("face"))
-    return arcs.join(planar.arc_coordinates(g), "arc_id").select("arc_id", "face", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    bounds = Graph(g.vertices, planar.bounding_arcs(g, planar.faces(g).where("face > 0")))
+    return planar.arc_coordinates(bounds, "face").select("arc_id", *(F.col(c).cast("long").alias(c) for c in ("face", "x1", "y1", "x2", "y2")))
 
 
 @query("""select n_nationkey::bigint as pos, '  ' || n_nationkey || ' [label="' || n_name || '", pos="' || n_nationkey || ',' || n_regionkey || '!", color="red"];' as line from nation""")

@@ -315,6 +315,7 @@ def test_planar_dual(spark):
     assert rows(planar.faces(g)) == [(0, 3), (1, 3)]
     assert rows(planar.bounding_arcs(g, spark.createDataFrame([(1,)], "face long")), "arc_id") == [(3,), (4,), (5,)]
     assert rows(planar.arc_coordinates(g))[1] == (1, 1.0, 0.0, 0.0, 1.0)
+    assert rows(planar.arc_coordinates(g, "face").drop("face")) == rows(planar.arc_coordinates(g)) and planar.arc_coordinates(g, "face").columns[-1] == "face"
     d = planar.dual(g)
     assert rows(d.vertices) == [(0,), (1,)] and rows(d.arcs, "arc_id", "src", "dst") == [(0, 1, 0), (1, 1, 0), (2, 1, 0), (3, 0, 1), (4, 0, 1), (5, 0, 1)]
     with pytest.raises(GraphError):
