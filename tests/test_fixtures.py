@@ -322,6 +322,25 @@ def test_planar_dual(spark):
         planar.dual(Graph(g.vertices, g.arcs.withColumn("twin", F.lit(0))))
 
 
+def test_dual_deals_each_arc_once(spark, monkeypatch):
+    plans = []
+    write = planar.materialise
+    monkeypatch.setattr(planar, "materialise", lambda df, *args, **options: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *args, **options))
+
+    def dual(*arcs):
+        table = spark.createDataFrame(arcs, "arc_id long, src long, dst long, twin int, face int, label string")
+        return planar.dual(Graph(spark.createDataFrame([(0,), (1,)], "id long"), table))
+
+    there, back, own = (0, 0, 1, 1, 5, "a"), (1, 1, 0, 0, 6, None), (2, 1, 1, 2, 7, "c")
+    d = dual(there, back, own)
+    assert rows(d.arcs) == [(0, 6, 5, 1, "a"), (1, 5, 6, 0, None), (2, 7, 7, 2, "c")] and rows(d.vertices) == [(5,), (6,), (7,)]
+    assert [dict(d.arcs.dtypes)[c] for c in ("src", "twin", "label")] == ["bigint", "int", "string"]
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1 and "Join" not in plans[0]
+    for bad in ([there], [there, (*back[:3], None, *back[4:])], [there, (1, 1, 0, 2, 6, "b"), own], [there, there, back], [(0, 0, 1, None, 5, "a")]):
+        with pytest.raises(GraphError):
+            dual(*bad)
+
+
 def test_rationals_are_exact(spark):
     big = 10**12
     row = spark.range(1).select(
