@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from arcspark.graph import Graph, GraphError
 from arcspark.operators.traverse import breadth_first_search
 from arcspark.plans.fixpoint import per_group, rounds
-from arcspark.plans.scratch import discard, materialise
+from arcspark.plans.scratch import discard, materialise, told
 from arcspark.sources.builders import numbered
 
 MAX_ARCS = 2_000_000
@@ -124,16 +124,16 @@ def max_flow(arcs: DataFrame, terminals: DataFrame, capacity: str = "capacity",
     return done.unionByName(_by_rounds(rows.join(large, "problem_id", "left_semi"), kind))
 
 
-def _residual(arcs: DataFrame) -> DataFrame:
-    """``arc_id, way, u, v, room``: what may still be sent along each arc (way 1) and taken back (way -1)."""
-    ahead = arcs.select("arc_id", F.lit(1).alias("way"), F.col("src").alias("u"), F.col("dst").alias("v"), (F.col("capacity") - F.col("flow")).alias("room"))
-    back = arcs.select("arc_id", F.lit(-1).alias("way"), F.col("dst").alias("u"), F.col("src").alias("v"), F.col("flow").alias("room"))
-    return ahead.unionByName(back).where("room > 0 and u <> v")
+def _with_room(arcs: DataFrame, sent: DataFrame) -> DataFrame:
+    """``arc_id, src, dst``: arcs along which more can be sent, and the other way those from which some can be taken back; ``arc_id`` is the key."""
+    full = told(sent.where("flow >= capacity").select("key"))
+    ahead = arcs.select("key", "src", "dst").join(full, "key", "left_anti")
+    return ahead.unionByName(sent.select("key", F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("key", "arc_id")
 
 
 def _reached(vertices: DataFrame, residual: DataFrame, start: DataFrame, towards: bool) -> DataFrame:
     """``id, dist``: hops from ``start`` over arcs with room, or to it."""
-    ends = (F.col("v").alias("src"), F.col("u").alias("dst")) if towards else (F.col("u").alias("src"), F.col("v").alias("dst"))
+    ends = (F.col("dst").alias("src"), F.col("src").alias("dst")) if towards else ("src", "dst")
     return breadth_first_search(Graph(vertices, residual.select("arc_id", *ends)), start).select("id", "dist")
 
 
@@ -144,71 +144,89 @@ def _by_rounds(rows: DataFrame, kind: str) -> DataFrame:
     with room to vertices one hop nearer to its target (or back to the source, where the target is out of reach), in
     order of arc id. When no excess can move, hops are found anew by searches in the residual network. A round
     sends each vertex's excess one hop further, all vertices at a time. Real capacities count in units of 1e-10.
+    Arcs are written once; a round writes those that carry flow only, and reads the others without a shuffle while few vertices have excess.
     """
     exact = "decimal(38,10)" if kind in ("double", "float") else "decimal(38,0)" if kind in ("bigint", "int", "smallint", "tinyint") else kind
+    pairs = materialise(rows.select("problem_id", "s", "t").distinct(), "pairs")
     ends = rows.select("problem_id", F.col("src").alias("v")).unionByName(rows.select("problem_id", F.col("dst").alias("v")))
-    ends = ends.unionByName(rows.select("problem_id", F.explode(F.array("s", "t")).alias("v"))).distinct()
+    ends = ends.unionByName(pairs.select("problem_id", F.explode(F.array("s", "t")).alias("v"))).distinct()
     names = materialise(numbered(ends, "id", "problem_id", "v"), "names")
-    at = lambda end: names.select("problem_id", F.col("v").alias(end), F.col("id").alias(f"{end}_id"))
-    known = rows
-    for end in ("src", "dst", "s", "t"):
+    n = names.count()
+    at = lambda end: told(names.select("problem_id", F.col("v").alias(end), F.col("id").alias(f"{end}_id")), n)
+    known = rows.select("problem_id", "arc_id", "src", "dst", F.col("capacity").cast(exact).alias("capacity"))
+    for end in ("src", "dst"):
         known = known.join(at(end), ["problem_id", end])
-    known = numbered(known, "key", "problem_id", "arc_id", "src", "dst")
-    known = materialise(known.select("key", "problem_id", "arc_id", "src", "dst", "src_id", "dst_id", "s_id", "t_id", F.col("capacity").cast(exact).alias("capacity")), "problem")
-    sources, targets = (materialise(known.select(F.col(f"{x}_id").alias("id")).distinct(), "terminals") for x in "st")
-    vertices, n = names.select("id"), names.count()
-
-    zero = F.lit(0).cast(exact)
-    filled = F.when((F.col("src_id") == F.col("s_id")) & (F.col("dst_id") != F.col("s_id")), F.col("capacity")).otherwise(zero).cast(exact)
-    arcs = materialise(known.select(F.col("key").alias("arc_id"), F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "capacity", filled.alias("flow")), "flow")
-    inner = materialise(vertices.join(sources, "id", "left_anti").join(targets, "id", "left_anti"), "inner")
-    excess = materialise(arcs.where("flow > 0").groupBy(F.col("dst").alias("id")).agg(F.sum("flow").cast(exact).alias("excess")).join(inner, "id", "left_semi"), "excess")
+    known = materialise(known.withColumn("key", F.monotonically_increasing_id()), "problem")
+    sources, targets = (materialise(pairs.join(at(x), ["problem_id", x]).select(F.col(f"{x}_id").alias("id")).distinct(), "terminals") for x in "st")
+    vertices, terminals = names.select("id"), told(sources.unionByName(targets), 2 * sources.count())
+    arcs = known.where("src_id <> dst_id and capacity > 0").select("key", "arc_id", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "capacity")
+
+    sent = materialise(arcs.join(told(sources.withColumnRenamed("id", "src")), "src", "left_semi").select(*arcs.columns, F.col("capacity").alias("flow")), "flow")
+    excess = sent.groupBy(F.col("dst").alias("id")).agg(F.sum("flow").cast(exact).alias("excess")).join(terminals, "id", "left_anti")
+    excess = materialise(excess, "excess")
     labels = None
     for _ in rounds():
-        if excess.isEmpty():
+        n_excess = excess.count()
+        if not n_excess:
             break
-        residual = _residual(arcs)
         moved = None
         if labels is not None:
-            moved = _pushed(residual, excess, labels, exact)
+            moved = _pushed(arcs, sent, excess, labels, (n_excess, n), exact)
         if moved is None:
             if labels is not None:
                 discard(labels)
+            residual = _with_room(arcs, sent)
             near = materialise(_reached(vertices, residual, targets, True), "near")
-            home = _reached(vertices, residual, sources, True).join(near.select("id"), "id", "left_anti").select("id", (F.col("dist") + n).alias("hops"))
-            nearer = near.join(sources, "id", "left_anti").select("id", F.col("dist").alias("hops"))
-            labels = materialise(nearer.unionByName(home).unionByName(near.join(sources, "id", "left_semi").select("id", F.lit(n).cast("long").alias("hops"))), "hops")
-            moved = _pushed(residual, excess, labels, exact)
+            # what can't reach a target has its way home among its like
+            apart = residual.join(told(near.select(F.col("id").alias("src"))), "src", "left_anti")
+            home = _reached(vertices, apart, sources, True).join(told(near.select("id")), "id", "left_anti").select("id", (F.col("dist") + n).alias("hops"))
+            nearer = near.join(told(sources), "id", "left_anti").select("id", F.col("dist").alias("hops"))
+            labels = materialise(nearer.unionByName(home).unionByName(near.join(told(sources), "id", "left_semi").select("id", F.lit(n).cast("long").alias("hops"))), "hops")
+            moved = _pushed(arcs, sent, excess, labels, (n_excess, n), exact)
             if moved is None:
                 raise GraphError("excess that can't move")
-        sums = moved.groupBy("arc_id").agg(F.sum(F.col("way") * F.col("amount")).cast(exact).alias("more"))
+        ahead = F.col("way") == 1
+        more = moved.select(
+            "key", "arc_id", F.when(ahead, F.col("u")).otherwise(F.col("v")).alias("src"), F.when(ahead, F.col("v")).otherwise(F.col("u")).alias("dst"),
+            "capacity", (F.col("way") * F.col("amount")).cast(exact).alias("flow"),
+        )
         gains = moved.select(F.col("v").alias("id"), F.col("amount").alias("x")).unionByName(moved.select(F.col("u").alias("id"), (-F.col("amount")).cast(exact).alias("x")))
         gains = gains.unionByName(excess.select("id", F.col("excess").alias("x"))).groupBy("id").agg(F.sum("x").cast(exact).alias("excess"))
-        older = arcs, excess, moved
-        arcs = materialise(arcs.join(sums, "arc_id", "left").select("arc_id", "src", "dst", "capacity", (F.col("flow") + F.coalesce("more", zero)).cast(exact).alias("flow")), "flow")
-        excess = materialise(gains.where("excess > 0").join(inner, "id", "left_semi"), "excess")
+        older = sent, excess, moved
+        sums = sent.unionByName(more).groupBy(*arcs.columns).agg(F.sum("flow").cast(exact).alias("flow"))
+        sent = materialise(sums.where("flow > 0"), "flow")
+        excess = materialise(gains.where("excess > 0").join(terminals, "id", "left_anti"), "excess")
         discard(*older)
 
-    residual = _residual(arcs)
+    residual = _with_room(arcs, sent)
     near = _reached(vertices, residual, sources, False).select("id", F.lit(True).alias("near"))
     far = _reached(vertices, residual, targets, True).select("id", F.lit(True).alias("far"))
     sides = materialise(vertices.join(near, "id", "left").join(far, "id", "left").select("id", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("far", F.lit(False)).alias("far")), "sides")
-    cut = known.join(arcs.select(F.col("arc_id").alias("key"), "flow"), "key")
+    cut = known.join(told(sent.select("key", "flow")), "key", "left")
     for end in ("src", "dst"):
-        cut = cut.join(sides.select(F.col("id").alias(f"{end}_id"), F.col("near").alias(f"{end}_near"), F.col("far").alias(f"{end}_far")), f"{end}_id")
+        cut = cut.join(told(sides.select(F.col("id").alias(f"{end}_id"), F.col("near").alias(f"{end}_near"), F.col("far").alias(f"{end}_far")), n), f"{end}_id")
     return cut.select(
-        "problem_id", "arc_id", "src", "dst", F.col("capacity").cast(kind).alias("capacity"), F.col("flow").cast(kind).alias("flow"),
+        "problem_id", "arc_id", "src", "dst", F.col("capacity").cast(kind).alias("capacity"), F.coalesce("flow", F.lit(0).cast(exact)).cast(kind).alias("flow"),
         (F.col("src_near") & ~F.col("dst_near")).alias("source_cut"), (~F.col("src_far") & F.col("dst_far")).alias("target_cut"),
     )
 
 
-def _pushed(residual: DataFrame, excess: DataFrame, labels: DataFrame, exact: str) -> DataFrame | None:
-    """``arc_id, way, u, v, amount``: the excess of each vertex over its arcs to vertices one hop nearer, in order; None if none can move."""
-    mine = excess.select(F.col("id").alias("u"), "excess").join(labels.select(F.col("id").alias("u"), F.col("hops").alias("high")), "u")
-    fit = residual.join(mine, "u").join(labels.select(F.col("id").alias("v"), F.col("hops").alias("low")), "v").where("high = low + 1")
-    before = F.coalesce(F.sum("room").over(W.partitionBy("u").orderBy("arc_id", "way").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+def _pushed(arcs: DataFrame, sent: DataFrame, excess: DataFrame, labels: DataFrame, sizes: tuple[int, int], exact: str) -> DataFrame | None:
+    """``key, arc_id, way, u, v, capacity, amount``: the excess of each vertex over its arcs (way 1) and back along flows to it (way -1).
+
+    They lead to vertices one hop nearer, in order of arc id. None if no excess can move. ``sizes``: rows of excess and, at most, of labels.
+    """
+    n, n_labels = sizes
+    mine = told(labels.join(told(excess, n), "id").select(F.col("id").alias("u"), "excess", F.col("hops").alias("high")), n)
+    ahead = mine.join(arcs.withColumnsRenamed({"src": "u", "dst": "v"}), "u").join(told(sent.select("key", "flow")), "key", "left")
+    ahead = ahead.withColumns({"way": F.lit(1), "room": (F.col("capacity") - F.coalesce("flow", F.lit(0).cast(exact))).cast(exact)}).drop("flow")
+    back = mine.join(sent.withColumnsRenamed({"dst": "u", "src": "v"}), "u").withColumn("way", F.lit(-1)).withColumnRenamed("flow", "room")
+    fit = ahead.unionByName(back).where("room > 0").join(told(labels.select(F.col("id").alias("v"), F.col("hops").alias("low")), n_labels), "v").where("high = low + 1")
+    order = W.partitionBy("u").orderBy("arc_id", "way", "key").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("room").over(order), F.lit(0))
     amount = F.least(F.col("room"), F.col("excess") - F.col("before")).cast(exact)
-    moved = materialise(fit.withColumn("before", before).where("before < excess").select("arc_id", "way", "u", "v", amount.alias("amount")), "moved")
+    moved = fit.withColumn("before", before).where("before < excess").select("key", "arc_id", "way", "u", "v", "capacity", amount.alias("amount"))
+    moved = materialise(moved, "moved")
     if moved.isEmpty():
         discard(moved)
         return None

@@ -19,7 +19,8 @@ from arcspark.graph import Graph, UndirectedGraph
 from arcspark.operators.chains import chain_places, list_sums
 from arcspark.operators.components import component_labels
 from arcspark.plans.fixpoint import Accumulated, per_group, rounds
-from arcspark.plans.scratch import discard, materialise
+from arcspark.plans import scratch
+from arcspark.plans.scratch import discard, materialise, told
 from arcspark.sources.builders import numbered
 
 #: Arcs of a weak component that a sequential kernel takes.
@@ -35,19 +36,28 @@ def breadth_first_search(graph: Graph, sources: DataFrame, max_hops: int | None
 
     The predecessor is the least arc id from the hop before; sources have none. What is still going on
     after ``ROUND_HOPS`` rounds is finished by one task for each weak component of at most TASK_ARCS
-    arcs, so that long chains need no round for each hop; larger components go on by rounds.
+    arcs, so that long chains need no round for each hop; larger components go on by rounds. While few vertices
+    are seen, arcs to them go before the shuffle.
     """
     none = F.lit(None).cast("long")
     seeds = sources.select("id").distinct().join(graph.vertices.select("id"), "id", "left_semi")
     frontier = materialise(seeds.select("id", F.lit(0).cast("long").alias("dist"), none.alias("pred_arc"), none.alias("pred_vertex")), "bfs")
     seen, arcs = Accumulated(frontier), graph.arcs.select("arc_id", "src", "dst")
+    n = n_seen = frontier.count()
     for hop in rounds(max_hops):
-        reached = frontier.select(F.col("id").alias("src")).join(arcs, "src").groupBy(F.col("dst").alias("id"))
-        best = reached.agg(F.min(F.struct("arc_id", "src")).alias("p")).join(seen.table().select("id"), "id", "left_anti")
+        reached = told(frontier.select(F.col("id").alias("src")), n).join(arcs, "src").withColumnRenamed("dst", "id")
+        before, few = seen.table().select("id"), n_seen <= scratch.TOLD_ROWS
+        if few:
+            reached = reached.join(told(before, n_seen), "id", "left_anti")
+        best = reached.groupBy("id").agg(F.min(F.struct("arc_id", "src")).alias("p"))
+        if not few:
+            best = best.join(before, "id", "left_anti")
         frontier = materialise(best.select("id", F.lit(hop).cast("long").alias("dist"), F.col("p.arc_id").alias("pred_arc"), F.col("p.src").alias("pred_vertex")), "bfs")
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
         seen.add(frontier)
+        n_seen += n
         if hop == ROUND_HOPS:
             members, _ = _by_size(graph, TASK_ARCS)
             mine = materialise(members.join(frontier.join(members, "id").select("component").distinct(), "component", "left_semi").select("id", "component"), "small")
@@ -55,7 +65,8 @@ def breadth_first_search(graph: Graph, sources: DataFrame, max_hops: int | None
                 ended = materialise(_finished(graph, mine, frontier, seen.table(), max_hops), "bfs")
                 frontier = materialise(frontier.join(mine.select("id"), "id", "left_anti"), "bfs")
                 seen.add(ended)
-                if frontier.isEmpty():
+                n, n_seen = frontier.count(), n_seen + ended.count()
+                if not n:
                     break
     return seen.table()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arcspark.functions import rational as R
 from arcspark.graph import Graph
 from arcspark.operators import flow, paths, planar, queues, traverse, trees, views
-from arcspark.plans.scratch import materialise
+from arcspark.plans.scratch import materialise, told
 from arcspark.plans.catalogue import _CHAIN, _HANDOFF, _TRADE, _flow_arcs, _least_user, _terminals, query
 from arcspark.sources import builders, datasets, dot
 from arcspark.sources.datasets import read
@@ -132,15 +132,17 @@ def flow_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def certified(flows: DataFrame, ends: DataFrame) -> DataFrame:
     """Of one problem, by arc: the flow is within the capacity, conserved at both ends of the arc, and worth as much as either cut."""
     flows = materialise(flows, "flows")
-    moved = flows.select(F.col("src").alias("id"), (-F.col("flow")).alias("f")).unionByName(flows.select(F.col("dst").alias("id"), F.col("flow").alias("f")))
+    some = flows.where("flow <> 0")
+    moved = some.select(F.col("src").alias("id"), (-F.col("flow")).alias("f")).unionByName(some.select(F.col("dst").alias("id"), F.col("flow").alias("f")))
     loose = moved.groupBy("id").agg(F.sum("f").alias("f")).where("f <> 0").join(ends, F.col("id").isin(F.col("s"), F.col("t")), "left_anti").select("id")
+    loose = materialise(loose, "loose")
     value = flow.flow_value(flows, ends).select("value")
     cuts = [flow.minimum_cut(flows, side).agg(F.sum("capacity").alias(side)) for side in ("source", "target")]
-    told = value.join(F.broadcast(cuts[0])).join(F.broadcast(cuts[1])).select(((F.col("value") == F.col("source")) & (F.col("value") == F.col("target"))).alias("is_cut_value"))
+    worth = value.join(F.broadcast(cuts[0])).join(F.broadcast(cuts[1])).select(((F.col("value") == F.col("source")) & (F.col("value") == F.col("target"))).alias("is_cut_value"))
     at = flows
     for end in ("src", "dst"):
-        at = at.join(loose.select(F.col("id").alias(end), F.lit(True).alias(f"loose_{end}")), end, "left")
-    return at.join(F.broadcast(told)).select(
+        at = at.join(told(loose.select(F.col("id").alias(end), F.lit(True).alias(f"loose_{end}"))), end, "left")
+    return at.join(F.broadcast(worth)).select(
         "arc_id", "src", "dst", F.col("flow").between(0, F.col("capacity")).alias("within"),
         (F.col("loose_src").isNull() & F.col("loose_dst").isNull()).alias("conserved"), "is_cut_value",
     )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from arcspark.graph import GraphError
 from arcspark.operators import flow
+from arcspark.plans import scratch
 
 
 def problems(spark, rng, kind):
@@ -41,6 +42,34 @@ def test_flows_by_rounds(spark, rng, kind, most):
     flows.unpersist()
 
 
+def test_a_round_writes_only_arcs_with_flow(spark, monkeypatch):
+    # 0 to 4 by way of 1, 2 and 3, and 400 arcs beside, which no flow takes
+    rows = [(1, 0, 0, 1, 5), (1, 1, 1, 2, 3), (1, 2, 2, 3, 9), (1, 3, 3, 4, 2)] + [(1, 4 + k, 10 + k, 11 + k, 1) for k in range(400)]
+    arcs = spark.createDataFrame(rows, "problem_id int, arc_id long, src long, dst long, capacity long")
+    ends = spark.createDataFrame([(1, 0, 4)], "problem_id int, s long, t long")
+    written = []
+    write = flow.materialise
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(flow, "materialise", counted)
+    found = {r.arc_id: r.flow for r in flow.max_flow(arcs, ends, max_arcs=0).collect()}
+    assert len(found) == 404 and {k: f for k, f in found.items() if f} == {0: 2, 1: 2, 2: 2, 3: 2}
+    assert max(n for name, n in written if name in ("flow", "moved", "excess")) <= 4
+    assert [n for _, n in written].count(404) == 1
+
+
+def test_flows_beyond_broadcasts(spark, rng, monkeypatch):
+    arcs, ends = problems(spark, rng, "long")
+    arcs, ends = arcs.where("problem_id = 0"), ends.where("problem_id = 0")
+    told = sorted(map(tuple, flow.max_flow(arcs, ends, max_arcs=0).collect()))
+    monkeypatch.setattr(scratch, "TOLD_ROWS", 0)
+    assert sorted(map(tuple, flow.max_flow(arcs, ends, max_arcs=0).collect())) == told
+
+
 def test_terminals_without_arcs(spark):
     arcs = spark.createDataFrame([(1, 0, 5, 6, 2)], "problem_id int, arc_id long, src long, dst long, capacity long")
     ends = spark.createDataFrame([(1, 7, 8)], "problem_id int, s long, t long")
